@@ -65,21 +65,45 @@ def classify_field_col(name: Column) -> Column:
     return out
 
 
+def first_match_index(c: Column) -> Column:
+    """1-based index of the first PII pattern found in ``c`` (null if none).
+
+    Every pattern but e-mail needs a digit and e-mail needs an '@', so two cheap
+    scans skip the regexes for most text. Computed once, in its own projection,
+    and reused by the value, count and type columns.
+    """
+    has_at = F.instr(c, "@") > 0
+    has_digit = c.rlike(r"(?U)\d")
+    out = None
+    for i, (name, _) in enumerate(PII_PATTERNS, 1):
+        guard = has_at if name == "email" else has_digit
+        hit = guard & c.rlike(java_pattern(name))
+        out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
+    return out
+
+
+def replace_by_index(c: Column, idx: Column, replacement: str = DEFAULT_REPLACEMENT) -> Column:
+    """Substitute only the pattern chosen by :func:`first_match_index`."""
+    repl = quote_replacement(replacement)
+    out = None
+    for i, (name, _) in enumerate(PII_PATTERNS, 1):
+        step = F.regexp_replace(c, java_pattern(name), repl)
+        out = F.when(idx == i, step) if out is None else out.when(idx == i, step)
+    return out.otherwise(c)
+
+
+def type_by_index(idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n, _ in PII_PATTERNS]), idx)
+
+
 def redact_first(c: Column, replacement: str = DEFAULT_REPLACEMENT) -> tuple[Column, Column]:
     """Reference semantics: substitute only the first pattern that matches.
 
-    Returns (new value, matched type or null).
+    Returns (new value, matched type or null). Operators should stage
+    :func:`first_match_index` in an earlier projection instead (see redact).
     """
-    repl = quote_replacement(replacement)
-    value = None
-    kind = None
-    for name, _ in PII_PATTERNS:
-        p = java_pattern(name)
-        hit = c.rlike(p)
-        value = (F.when(hit, F.regexp_replace(c, p, repl)) if value is None
-                 else value.when(hit, F.regexp_replace(c, p, repl)))
-        kind = F.when(hit, F.lit(name)) if kind is None else kind.when(hit, F.lit(name))
-    return value.otherwise(c), kind
+    idx = first_match_index(c)
+    return replace_by_index(c, idx, replacement), type_by_index(idx)
 
 
 def redact_all(c: Column, replacement: str = DEFAULT_REPLACEMENT) -> tuple[Column, Column]:

@@ -31,8 +31,17 @@ def redact_with_audit(df: DataFrame, fields: list[str] | None = None,
     if fields is None:
         fields = detect_pii_fields(df.drop(*passthrough))
     fields = [f for f in fields if f in df.columns and f not in passthrough]
+    scanned = [f.name for f in df.schema.fields
+               if isinstance(f.dataType, T.StringType) and f.name not in fields and f.name not in passthrough]
+    if mode == "first" and scanned:
+        # which pattern hits each scanned value, computed once per value
+        df = df.select("*", *[pii.first_match_index(F.col(f"`{n}`")).alias(f"__pii{i}")
+                              for i, n in enumerate(scanned)])
+    index_of = {n: F.col(f"__pii{i}") for i, n in enumerate(scanned)}
     counts, kinds, out = [], [], []
     for f in df.schema.fields:
+        if f.name.startswith("__pii"):
+            continue
         c = F.col(f"`{f.name}`")
         if f.name in passthrough:
             out.append(c)
@@ -45,10 +54,10 @@ def redact_with_audit(df: DataFrame, fields: list[str] | None = None,
                 kinds.append(F.when(c.isNotNull(), F.array(F.lit(field_type))))
         elif isinstance(f.dataType, T.StringType):
             if mode == "first":
-                value, kind = pii.redact_first(c, replacement)
-                out.append(value.alias(f.name))
-                counts.append(kind.isNotNull().cast("int"))
-                kinds.append(F.when(kind.isNotNull(), F.array(kind)))
+                idx = index_of[f.name]
+                out.append(pii.replace_by_index(c, idx, replacement).alias(f.name))
+                counts.append(idx.isNotNull().cast("int"))
+                kinds.append(F.when(idx.isNotNull(), F.array(pii.type_by_index(idx))))
             else:
                 value, found = pii.redact_all(c, replacement)
                 out.append(value.alias(f.name))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refinery.session import read_table
+from refinery.session import read_table, spread
 
 # Fixed values (must match the reference): tool-call cost per tool, in the
 # order the tools are listed.
@@ -70,7 +70,7 @@ def render_date(d: Column, selector: Column) -> Column:
 
 def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders.o_orderdate rendered in one of 8 text formats (space padded for some)."""
-    o = read_table(spark, sf_dir, "orders")
+    o = spread(read_table(spark, sf_dir, "orders"))
     raw = render_date(F.col("o_orderdate"), F.col("o_orderkey") % 8)
     raw = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("  "), raw, F.lit(" "))).otherwise(raw)
     return o.select("o_orderkey", raw.alias("raw_date"))
@@ -78,9 +78,10 @@ def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def priced_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem.l_extendedprice as currency text: $ / € / £ prefixes, separators, junk, empty."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = spread(read_table(spark, sf_dir, "lineitem")).select(
+        "l_orderkey", "l_linenumber", money_text(F.col("l_extendedprice")).alias("_body"))
     sel = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
-    body = money_text(F.col("l_extendedprice"))
+    body = F.col("_body")
     raw = (F.when(sel == 0, F.concat(F.lit("$"), body))
             .when(sel == 1, F.concat(F.lit("€"), body))
             .when(sel == 2, F.concat(F.lit("£ "), body))
@@ -112,9 +113,10 @@ def dirty_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit("2020-01-01").cast("date"), ((k * 37) % 1500).cast("int"))
     signup = render_date(day, k % 8)
     signup = F.when(k % 9 == 0, F.concat(F.lit(" "), signup, F.lit("  "))).otherwise(signup)
+    c = c.withColumn("_body", money_text(F.col("c_acctbal")))
     bal = F.col("c_acctbal")
     sign = F.when(bal < 0, F.lit("-")).otherwise(F.lit(""))
-    body = money_text(bal)
+    body = F.col("_body")
     s7 = k % 7
     amount = (F.when(s7 == 0, F.concat(sign, F.lit("$"), body))
                .when(s7 == 1, F.concat(sign, F.lit("€"), body))

@@ -7,6 +7,7 @@ The equivalent SQL for the DuckDB oracle lives in ``refinery.plans.oracle``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from refinery import sources
 from refinery.operators import catalog, clean, context, dedup, ledger, profile, query, redact, search, workflows
+from refinery.functions import sqlguard
 from refinery.plans import derived
-from refinery.session import TABLES, read_table, register_tables
+from refinery.session import TABLES, read_table, register_tables, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,34 +75,25 @@ WHERE_PREDICATE = ("l_quantity >= 10 AND l_discount <= 0.05 AND l_returnflag !=
                    "AND l_tax > 0.02 AND l_quantity < 40")
 
 
+def _views(spark, d, sql: str) -> None:
+    """Register the driver tables a SQL text names as temp views."""
+    register_tables(spark, d, [t for t in TABLES if re.search(rf"\b{t}\b", sql, re.IGNORECASE)])
+
+
 def _sql(text: str, limit: int = query.MAX_ROWS) -> Query:
     def run(spark, d):
-        register_tables(spark, d)
+        _views(spark, d, text)
         return query.run_query(spark, text, mode="sql", limit=limit)
     return run
 
 
-def q_sql_join_agg(spark, d):
-    register_tables(spark, d)
-    # an aggregate has no row cap: run through the same guard, without the fetch bound
-    from refinery.functions import sqlguard
-    sqlguard.check_read_only(JOIN_AGG_SQL)
-    return spark.sql(JOIN_AGG_SQL)
-
-
-def q_sql_rollup(spark, d):
-    register_tables(spark, d)
-    return spark.sql(ROLLUP_SQL)
-
-
-def q_sql_projection(spark, d):
-    register_tables(spark, d)
-    return spark.sql(PROJECTION_SQL)
-
-
-def q_count_star(spark, d):
-    register_tables(spark, d)
-    return spark.sql(COUNT_SQL)
+def _sql_uncapped(text: str) -> Query:
+    """Aggregates return few rows by construction: same read-only guard, no row cap."""
+    def run(spark, d):
+        _views(spark, d, text)
+        sqlguard.check_read_only(text)
+        return spark.sql(text)
+    return run
 
 
 def q_where_conjunction(spark, d):
@@ -248,13 +241,13 @@ def q_clean_stats(spark, d):
 # PII
 # ---------------------------------------------------------------------------
 def q_pii_redact_text(spark, d):
-    doc = _t(spark, d, "documents").select("doc_id", "text")
+    doc = spread(_t(spark, d, "documents").select("doc_id", "text"))
     out = redact.redact_with_audit(doc, fields=[], passthrough=("doc_id",))
     return out.select("doc_id", "text", F.try_element_at(redact.TYPES_COL, F.lit(1)).alias("pii_type"))
 
 
 def q_pii_stats(spark, d):
-    rep = redact.redact_report(redact.redact_with_audit(_t(spark, d, "documents")))
+    rep = redact.redact_report(redact.redact_with_audit(spread(_t(spark, d, "documents"))))
     return rep.select("records_in", "fields_redacted", F.concat_ws(",", "pii_types_found").alias("pii_types_found"))
 
 
@@ -459,11 +452,11 @@ def q_curate_report(spark, d):
 QUERIES: dict[str, Query] = {
     "query_topk": _sql(TOPK_SQL),
     "query_default_limit": _sql(DEFAULT_LIMIT_SQL, limit=100),
-    "sql_join_agg": q_sql_join_agg,
-    "sql_rollup": q_sql_rollup,
-    "sql_projection": q_sql_projection,
+    "sql_join_agg": _sql_uncapped(JOIN_AGG_SQL),
+    "sql_rollup": _sql_uncapped(ROLLUP_SQL),
+    "sql_projection": _sql_uncapped(PROJECTION_SQL),
     "sql_set_ops": q_sql_set_ops,
-    "count_star": q_count_star,
+    "count_star": _sql_uncapped(COUNT_SQL),
     "where_conjunction": q_where_conjunction,
     "crm_deal_pipeline": q_crm_deal_pipeline,
     "fetch_filtered": q_fetch_filtered,
