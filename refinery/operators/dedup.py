@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _q(name: str) -> str:
@@ -42,6 +43,11 @@ def deduplicate(df: DataFrame, keys: list[str] | None = None,
     payload = order_by + rest
     if not payload:
         return df.select(*[_q(c) for c in group]).distinct()
+    if len(payload) == 1 and not isinstance(df.schema[payload[0]].dataType, (T.StructType, T.ArrayType, T.MapType)):
+        # a single ordering column: plain min() keeps a fixed-width buffer, so the
+        # aggregate is hash-based (no sort of the wide grouping keys)
+        return df.groupBy(*[F.col(_q(c)) for c in group]).agg(F.min(_q(payload[0])).alias(payload[0])) \
+            .select(*[_q(c) for c in df.columns])
     first = F.min(F.struct(*[F.col(_q(c)) for c in payload])).alias("_first")
     agg = df.groupBy(*[F.col(_q(c)) for c in group]).agg(first)
     cols = [F.col(_q(c)) if c in group else F.col("_first").getField(c).alias(c) for c in df.columns]

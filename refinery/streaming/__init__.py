@@ -33,11 +33,19 @@ def redact_stream(stream: DataFrame, fields=None, replacement: str = "[REDACTED]
     return rd.redact(stream, fields, replacement, mode)
 
 
+def _event_time(stream: DataFrame, col: str) -> DataFrame:
+    """Watermarks need TIMESTAMP; wall-clock TIMESTAMP_NTZ columns are read as
+    UTC instants (the session time zone is UTC)."""
+    if stream.schema[col].dataType.simpleString() == "timestamp_ntz":
+        return stream.withColumn(col, F.col(col).cast("timestamp"))
+    return stream
+
+
 def dedup_stream(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
     """Drop repeats of ``keys`` seen within the watermark delay. The first row
     to *arrive* survives (batch dedup keeps the smallest ordering key instead);
     state for a key is dropped once the watermark passes it."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    return _event_time(stream, event_time).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def balances_stream(ledger_stream: DataFrame) -> DataFrame:
@@ -48,7 +56,8 @@ def balances_stream(ledger_stream: DataFrame) -> DataFrame:
 def low_balance_sink(subscriptions: DataFrame, out_path: str, threshold: int = lg.LOW_BALANCE):
     """``foreachBatch`` handler: keys whose updated balance is <= threshold are
     joined to their low_balance subscriptions and appended to ``out_path``.
-    Idempotent per batch id (the batch id is written with the rows)."""
+    Rows carry the batch id, so a batch replayed after a failure can be
+    de-duplicated by readers on (batch_id, api_key)."""
     subs = subscriptions.where(F.array_contains(F.from_json("events_json", "array<string>"), "low_balance")) \
         .select("api_key", "url")
 
@@ -98,7 +107,7 @@ def admission_stream(usage_stream: DataFrame) -> DataFrame:
 def usage_cost_windows(usage_stream: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Credits charged per (tumbling window, tool); a window is emitted once the
     watermark passes its end (append mode)."""
-    calls = usage_stream.where(F.col("kind") != "purchase").withWatermark("ts", delay)
+    calls = _event_time(usage_stream.where(F.col("kind") != "purchase"), "ts").withWatermark("ts", delay)
     return calls.groupBy(F.window("ts", window).alias("w"), "tool").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("cost").cast("bigint").alias("credits")) \
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "tool", "calls", "credits")
