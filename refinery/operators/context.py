@@ -91,13 +91,14 @@ CHUNK_TYPE = "array<struct<content:string,source:string,relevance_score:double,m
 def to_contexts(packed: DataFrame, context_col: str, order_cols: list[str]) -> DataFrame:
     """Nest packed chunks into one row per context (chunks array + token count),
     the shape written by :func:`write_contexts`. A context holds few chunks."""
-    item = F.struct(*[F.col(c) for c in order_cols],
-                    F.struct(F.col("content"), F.col("source"), F.col("relevance_score"),
-                             F.create_map(F.lit("table"), F.col("table_name"))).alias("chunk"))
+    item = F.struct(*[F.col(c) for c in order_cols], "content", "source", "relevance_score", "table_name")
     g = packed.groupBy(context_col).agg(F.sort_array(F.collect_list(item)).alias("_items"),
                                         F.sum("tokens").cast("bigint").alias("token_count"))
-    return g.select(F.col(context_col).alias("context_id"),
-                    F.transform("_items", lambda x: x["chunk"]).alias("chunks"), "token_count")
+    chunk = lambda x: F.struct(x["content"].alias("content"), x["source"].alias("source"),
+                               x["relevance_score"].alias("relevance_score"),
+                               F.create_map(F.lit("table"), x["table_name"]).alias("metadata"))
+    return g.select(F.col(context_col).alias("context_id"), F.transform("_items", chunk).alias("chunks"),
+                    "token_count")
 
 
 def write_contexts(contexts: DataFrame, path: str) -> None:

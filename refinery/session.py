@@ -79,7 +79,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition when a scan yields fewer partitions than there are
     task slots (few large row groups, small inputs) — only worth it in front of
     CPU-heavy narrow work such as regex scans. At scale, inputs already have far
-    more splits than slots and this is a no-op (no extra shuffle)."""
+    more splits than slots and this is a no-op (no extra shuffle).
+
+    Call it on a plain scan (or scan + projection): counting partitions plans the
+    input, and with AQE a plan containing shuffles would be materialised."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
