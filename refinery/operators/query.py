@@ -44,6 +44,14 @@ def run_query(spark: SparkSession, query: str, mode: str = "auto", limit: int =
     return spark.sql(sql).limit(limit)
 
 
+def run_sql(spark: SparkSession, sql: str) -> DataFrame:
+    """Batch/analytic entry point: the same read-only guard, no row cap (the
+    result is meant to be written or aggregated, not returned to a caller)."""
+    sql = sql.strip().rstrip(";")
+    sqlguard.check_read_only(sql)
+    return spark.sql(sql)
+
+
 def equality_filter(df: DataFrame, filters: dict | None) -> DataFrame:
     """AND of ``column <=> value``; column names are resolved against the schema
     (never spliced into SQL text). A null value matches null cells."""

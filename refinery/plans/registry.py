@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from refinery import sources
 from refinery.operators import catalog, clean, context, dedup, ledger, profile, query, redact, search, workflows
-from refinery.functions import sqlguard
 from refinery.plans import derived
 from refinery.session import TABLES, read_table, register_tables, spread
 
@@ -88,11 +87,10 @@ def _sql(text: str, limit: int = query.MAX_ROWS) -> Query:
 
 
 def _sql_uncapped(text: str) -> Query:
-    """Aggregates return few rows by construction: same read-only guard, no row cap."""
+    """Analytic SQL through the batch entry point: same guard, no row cap."""
     def run(spark, d):
         _views(spark, d, text)
-        sqlguard.check_read_only(text)
-        return spark.sql(text)
+        return query.run_sql(spark, text)
     return run
 
 
