@@ -212,7 +212,8 @@ def _any_pii(x: str) -> str:
 
 
 _TYPE_MAP = ("CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' "
-             "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' "
+             "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' "
+             "WHEN 'TIMESTAMP_US' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_MS' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' "
              "ELSE lower(data_type) END")
 _TABLE_LIST = ", ".join(f"'{t}'" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                                             "events", "documents", "embeddings", "pages", "benchmark", "labels",
