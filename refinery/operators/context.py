@@ -85,6 +85,17 @@ def totals(chunks: DataFrame, packed: DataFrame, context_col: str) -> DataFrame:
     return before.join(after, context_col, "left")
 
 
+def rank_chunks(chunks: DataFrame, query: str | None) -> DataFrame:
+    """Relevance per chunk: TF-IDF cosine similarity to ``query``; without a
+    query every chunk keeps relevance 1.0. Pack with order
+    ``relevance_score desc`` so the most relevant chunks fit the budget first."""
+    if not query:
+        return chunks
+    from refinery.operators import textsearch
+    keyed = chunks.withColumn("_chunk_id", F.concat_ws("\u0000", "source", "table_name"))
+    return textsearch.rank_by_text(keyed, "_chunk_id", "content", query).drop("_chunk_id")
+
+
 CHUNK_TYPE = "array<struct<content:string,source:string,relevance_score:double,metadata:map<string,string>>>"
 
 

@@ -38,6 +38,14 @@ def idf_table(docs: DataFrame, ids_col: str = "ids") -> DataFrame:
     return df.select("term", F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1)).alias("idf"))
 
 
+def _idf_vector(idf_df: DataFrame) -> np.ndarray:
+    """Dense idf vector; the table has at most NUM_FEATURES rows (Arrow transfer)."""
+    pdf = idf_df.toPandas()
+    idf = np.zeros(NUM_FEATURES)
+    idf[pdf["term"].to_numpy(dtype=np.int64)] = pdf["idf"].to_numpy()
+    return idf
+
+
 def _tfidf_rows(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     terms, counts = np.unique(ids, return_counts=True)
     w = counts * idf[terms]
@@ -82,9 +90,7 @@ def tfidf_search(documents: DataFrame, queries: DataFrame, k: int = 5, doc_id: s
     docs = documents.select(F.col(doc_id).alias("doc_id"), term_ids(text).alias("ids"))
     idf_df = idf_table(docs)
     # bounded by the hash space (NUM_FEATURES rows), never by the corpus size
-    idf = np.zeros(NUM_FEATURES)
-    for row in idf_df.toLocalIterator():
-        idf[int(row["term"])] = float(row["idf"])
+    idf = _idf_vector(idf_df)
     q = queries.select(F.col(query_id).alias("query_id"), term_ids(query_text).alias("ids"))
     size = q.agg(F.sum(F.size("ids")).alias("s")).first()["s"] or 0
     if size > MAX_QUERY_TERMS:
@@ -132,3 +138,33 @@ def ann_recall(embeddings: DataFrame, k: int = 10, bucket_length: float = 1.0, n
         (F.count("r") / F.lit(float(k))).alias("recall"))
     return hits.join(cands, "query_id", "left").select(F.col("query_id").cast("int").alias("query_label"),
                                                        "recall", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+
+
+def _score_one(batches: Iterator[pd.DataFrame], idf: np.ndarray, qterms: np.ndarray, qw: np.ndarray,
+               id_col: str) -> Iterator[pd.DataFrame]:
+    q = dict(zip(qterms.tolist(), qw.tolist()))
+    for pdf in batches:
+        out = []
+        for ids in pdf["ids"]:
+            if ids is None or len(ids) == 0:
+                out.append(0.0)
+                continue
+            terms, w = _tfidf_rows(np.asarray(ids, dtype=np.int64), idf)
+            out.append(round(float(sum(wt * q.get(int(t), 0.0) for t, wt in zip(terms, w))), 4))
+        yield pd.DataFrame({id_col: pdf[id_col], "relevance_score": out})
+
+
+def rank_by_text(items: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
+    """Add ``relevance_score`` = TF-IDF cosine similarity between each item's text
+    and ``query`` (idf over the items themselves). The query is tokenised by the
+    same Spark expression as the items; only its term ids reach the executors."""
+    spark = items.sparkSession
+    toks = items.select(id_col, term_ids(text_col).alias("ids"))
+    idf = _idf_vector(idf_table(toks))
+    qids = spark.createDataFrame([(query,)], "q string").select(term_ids("q").alias("ids")).first()["ids"]
+    qterms, qw = _tfidf_rows(np.asarray(qids or [], dtype=np.int64), idf) if qids else (np.zeros(0), np.zeros(0))
+    sc = spark.sparkContext
+    b = sc.broadcast((idf, qterms, qw))
+    schema = f"`{id_col}` {items.schema[id_col].dataType.simpleString()}, relevance_score double"
+    scores = toks.mapInPandas(lambda it: _score_one(it, *b.value, id_col), schema)
+    return items.drop("relevance_score").join(scores, id_col)

@@ -361,6 +361,17 @@ def q_context_pack(spark, d):
     return _packed(spark, d).select("context_id", "table_pos", "table_name", "tokens", "truncated", "content")
 
 
+def q_context_pack_ranked(spark, d):
+    """Chunks ranked by relevance to a topic (the first benchmark passage),
+    most relevant packed first."""
+    topic = _t(spark, d, "benchmark").orderBy("item_id").select("text").first()["text"]
+    ranked = context.rank_chunks(_chunks(spark, d), topic)
+    packed = context.pack(ranked.withColumnRenamed("source", "context_id").withColumn("source", F.col("context_id")),
+                          "context_id", [F.col("relevance_score").desc(), F.col("table_pos")],
+                          budget=context.DEFAULT_BUDGET)
+    return packed.select("context_id", "table_pos", "table_name", "relevance_score", "tokens", "truncated")
+
+
 def q_context_totals(spark, d):
     ch = _chunks(spark, d)
     packed = _packed(spark, d, ch)
@@ -494,6 +505,7 @@ QUERIES: dict[str, Query] = {
     "search_ann_recall": q_search_ann_recall,
     "context_chunks": q_context_chunks,
     "context_pack": q_context_pack,
+    "context_pack_ranked": q_context_pack_ranked,
     "context_totals": q_context_totals,
     "dataset_profile": q_dataset_profile,
     "dataset_top_values": q_dataset_top_values,
