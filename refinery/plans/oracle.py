@@ -482,6 +482,8 @@ WHERE b.balance <= 5 AND list_contains(from_json(s.events_json, '["VARCHAR"]'),
 SELECT api_key, tool, COUNT(*) AS calls, CAST(SUM(CASE WHEN kind = 'failed_call' THEN 1 ELSE 0 END) AS BIGINT) AS failed_calls,
        CAST(SUM(cost) AS BIGINT) AS credits_charged
 FROM usage WHERE kind <> 'purchase' GROUP BY api_key, tool""",
+    "credit_reason_rollup": _ledger_q("""
+SELECT api_key, reason, CAST(SUM(delta) AS BIGINT) AS credits, COUNT(*) AS n_rows FROM ledger GROUP BY api_key, reason"""),
     "credit_refunds": f"""WITH {USAGE}
 SELECT api_key, COUNT(*) AS n_refunds, CAST(SUM(cost) AS BIGINT) AS credits_refunded
 FROM usage WHERE kind = 'failed_call' AND cost > 0 GROUP BY api_key""",

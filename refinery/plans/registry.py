@@ -419,6 +419,10 @@ def q_usage_cost_rollup(spark, d):
     return ledger.tool_cost_rollup(derived.usage_events(spark, d))
 
 
+def q_credit_reason_rollup(spark, d):
+    return ledger.usage_rollup(derived.ledger(spark, d))
+
+
 def q_credit_refunds(spark, d):
     return ledger.refunds(derived.usage_events(spark, d))
 
@@ -515,6 +519,7 @@ QUERIES: dict[str, Query] = {
     "credit_history_topn": q_credit_history_topn,
     "low_balance_alerts": q_low_balance_alerts,
     "usage_cost_rollup": q_usage_cost_rollup,
+    "credit_reason_rollup": q_credit_reason_rollup,
     "credit_refunds": q_credit_refunds,
     "credit_pricing": q_credit_pricing,
     "credit_admission": q_credit_admission,

@@ -202,3 +202,17 @@ def test_ledger_balance_and_admission(spark):
     rows = sorted(ledger.admission(usage).collect(), key=lambda r: r.event_id)
     assert [r.admitted for r in rows] == [True, False]
     assert [r.balance_after for r in rows] == [20, 20]
+
+
+def test_last_write_wins_change_logs(spark):
+    """Agent plan and payment status updates as append-only logs (S-13b)."""
+    import datetime as dt
+    from refinery.operators import catalog
+    t0 = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame(
+        [("k1", "free", "active", t0, 1), ("k1", "pro", "active", t0 + dt.timedelta(days=1), 2),
+         ("k2", "basic", "active", t0, 3), ("k2", "basic", "deleted", t0 + dt.timedelta(days=2), 4),
+         ("k3", "free", "active", t0, 5)],
+        "api_key string, plan string, status string, event_time timestamp_ntz, doc_id int")
+    state = {r.api_key: r.plan for r in catalog.current_state(log, key="api_key").collect()}
+    assert state == {"k1": "pro", "k3": "free"}
