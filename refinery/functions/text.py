@@ -81,7 +81,10 @@ def _named_date(s: Column) -> Column:
 
 
 def date_from_stripped(s: Column) -> Column:
-    return F.coalesce(_numeric_date(s, "-"), _numeric_date(s, "/"), _named_date(s), s)
+    # cheap guards: only try the branch whose separator / leading letter is present
+    return F.coalesce(F.when(F.instr(s, "-") > 0, _numeric_date(s, "-")),
+                      F.when(F.instr(s, "/") > 0, _numeric_date(s, "/")),
+                      F.when(F.instr(s, ",") > 0, _named_date(s)), s)
 
 
 def standardize_date(c: Column) -> Column:

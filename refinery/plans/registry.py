@@ -438,10 +438,12 @@ def q_credit_admission(spark, d):
 
 def q_payment_settlement(spark, d):
     s = ledger.settlements(derived.payment_events(spark, d))
-    packs = derived.credit_packs(spark)
-    return ledger.pricing(s.withColumnRenamed("payment_id", "event_id"), packs) \
-        .join(s.select(F.col("payment_id").alias("event_id"), "settled_status", "settled_at"), "event_id") \
-        .withColumnRenamed("event_id", "payment_id")
+    # the pack table is a fixed 5-row dimension: broadcast, no second pass over s
+    priced = s.join(F.broadcast(derived.credit_packs(spark)), "credits", "left")
+    return priced.select("payment_id", "api_key", "credits",
+                         F.coalesce(F.col("price_cents") / 100.0,
+                                    F.round(F.col("credits") * derived.PER_CREDIT_USD, 2)).alias("price_usd"),
+                         "settled_status", "settled_at")
 
 
 # ---------------------------------------------------------------------------
