@@ -134,18 +134,59 @@ _SPECIAL_RE = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 def parse_currency(c: Column) -> Column:
     """Remove , $ € £, parse as a float, round to 2 places; unparsable -> 0.0.
 
-    Rounding is Spark's HALF_UP on the shortest decimal form of the double,
-    which equals Python's round() for inputs with at most 2 decimals.
+    Rounding reproduces Python's round(x, 2) exactly (see :func:`round2`).
     """
     return currency_from_stripped(ustrip(c.cast("string")))
 
 
-def currency_from_stripped(stripped: Column) -> Column:
+def number_from_stripped(stripped: Column) -> Column:
+    """The float a currency text denotes (unrounded), or null if unparsable."""
     s = ustrip(F.regexp_replace(stripped, "[,$€£]", ""))
     plain = F.regexp_replace(s, "_", "")
-    num = F.when(s.rlike(_FLOAT_RE), plain.try_cast("double")) \
-           .when(s.rlike(_SPECIAL_RE), F.lower(s).try_cast("double"))
-    return F.coalesce(F.round(num, 2), F.lit(0.0))
+    return F.when(s.rlike(_FLOAT_RE), plain.try_cast("double")) \
+            .when(s.rlike(_SPECIAL_RE), F.lower(s).try_cast("double"))
+
+
+def currency_from_number(num: Column) -> Column:
+    return F.coalesce(round2(num), F.lit(0.0))
+
+
+def currency_from_stripped(stripped: Column) -> Column:
+    return currency_from_number(number_from_stripped(stripped))
+
+
+def _split(a: Column) -> tuple[Column, Column]:
+    """Veltkamp split of a double into high and low halves (exact)."""
+    c = a * F.lit(134217729.0)
+    hi = c - (c - a)
+    return hi, a - hi
+
+
+def round2(x: Column) -> Column:
+    """Python's round(x, 2) on the exact binary value, as JVM expressions.
+
+    Spark's round() rounds the shortest decimal form HALF_UP. The two differ
+    only when that form is a 3-decimal tie (…5): then the exact binary value
+    lies above, below or on the tie. Its side is the sign of a*1000 - M,
+    computed exactly with an error-free product (Dekker/Veltkamp, no FMA
+    needed); an exact tie rounds half-even, like Python.
+    """
+    a = F.abs(x)
+    m = F.round(a * F.lit(1000.0)).cast("long")                 # candidate tie, in thousandths
+    tie = (a < F.lit(9.0e12)) & (m % 10 == 5) & (m.cast("double") / F.lit(1000.0) == a)
+    p = a * F.lit(1000.0)
+    ah, al = _split(a)
+    bh, bl = F.lit(1000.0), F.lit(0.0)                          # 1000 splits exactly
+    err = ((ah * bh - p) + ah * bl + al * bh) + al * bl        # a*1000 = p + err exactly
+    side = (p - m.cast("double")) + err                        # sign of a*1000 - M
+    k = (m - 5) / 10                                            # lower 2-decimal candidate, in cents
+    k = k.cast("long")
+    cents = (F.when(side > 0, k + 1).when(side < 0, k)
+              .otherwise(F.when(k % 2 == 0, k).otherwise(k + 1)))
+    exact_tie = F.when(x < 0, -(cents.cast("double") / F.lit(100.0))).otherwise(cents.cast("double") / F.lit(100.0))
+    return F.when(x.isNull(), F.lit(None).cast("double")) \
+            .when(F.isnan(x) | (a == F.lit(float("inf"))), x) \
+            .when(tie, exact_tie).otherwise(F.round(x, 2))
 
 
 # ---------------------------------------------------------------------------
@@ -204,7 +245,7 @@ def currency_changed(original: Column, dtype: str, new: Column | None = None) ->
             & (F.length(F.regexp_extract(original, r"\.([0-9]*)$", 1)) <= 2)
         return ~same
     if dtype in ("double", "float"):
-        return F.round(original, 2) != original
+        return round2(original) != original
     if dtype.startswith("decimal"):
         return F.lit(True)
     # ints print without ".0" so they always change

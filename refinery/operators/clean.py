@@ -35,10 +35,11 @@ def _is_empty(c: Column, dtype: T.DataType) -> Column:
 
 def _clean_column(c: Column, stripped: Column, dtype: T.DataType, rule: str) -> tuple[Column, Column, Column]:
     """Returns (new value, null-filled flag, changed flag). ``stripped`` is the
-    value already cast to text and stripped by an earlier projection."""
+    value already cast to text and stripped by an earlier projection (for the
+    currency rule: the number it denotes, parsed by an earlier projection)."""
     empty = _is_empty(c, dtype)
     default = tx.DEFAULTS.get(rule, "")
-    fn = tx.RULES_ON_STRIPPED.get(rule)
+    fn = tx.currency_from_number if rule == "currency" else tx.RULES_ON_STRIPPED.get(rule)
     if fn is None:  # unknown rule: value kept, nulls still filled
         base = c if isinstance(dtype, T.StringType) else c.cast("string")
         return F.when(empty, F.lit(default)).otherwise(base), empty, F.lit(False)
@@ -61,13 +62,18 @@ def clean_with_audit(df: DataFrame, rules: dict[str, str] | None = None) -> Data
         rules = detect_rules(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     applied = {f: r for f, r in rules.items() if f in types}
-    # Strip once per field in its own projection; the optimizer keeps it separate
-    # because the rules reference it many times (so it is computed once per row).
+    # Strip once per field in its own projection (and, for currency, parse the
+    # number in the next one); the optimizer keeps these projections separate
+    # because the rules reference their outputs many times, so each is computed
+    # once per row and the generated code stays small.
     staged = df.select("*", *[tx.ustrip(F.col(f"`{f}`").cast("string")).alias(f"__s{i}")
                               for i, f in enumerate(applied)])
+    staged = staged.select("*", *[tx.number_from_stripped(F.col(f"__s{i}")).alias(f"__n{i}")
+                                  for i, (f, r) in enumerate(applied.items()) if r == "currency"])
     nulls, changed, exprs = [], [], {}
     for i, (field, rule) in enumerate(applied.items()):
-        value, was_null, was_changed = _clean_column(F.col(f"`{field}`"), F.col(f"__s{i}"), types[field], rule)
+        prepared = F.col(f"__n{i}") if rule == "currency" else F.col(f"__s{i}")
+        value, was_null, was_changed = _clean_column(F.col(f"`{field}`"), prepared, types[field], rule)
         exprs[field] = value
         nulls.append(was_null.cast("int"))
         changed.append(was_changed.cast("int"))
