@@ -9,11 +9,13 @@ Prints one JSON line.
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,23 +32,51 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
     reps = int(os.environ.get("BENCH_REPS", "3"))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
+    log_dir = tempfile.mkdtemp(prefix="refinery-bench-events-")
     spark = build_session(f"local[{cpus}]", app_name="refinery-bench", shuffle_partitions=max(8, cpus * 2),
-                          extra={"spark.driver.memory": "8g"})
+                          extra={"spark.driver.memory": "8g", "spark.eventLog.enabled": "true",
+                                 "spark.eventLog.dir": log_dir, "spark.eventLog.compress": "false",
+                                 "spark.eventLog.rolling.enabled": "false"})
     results = {}
     for name in names:
         fn = QUERIES[name]
         times = []
         for i in range(reps + 1):
+            # job group tags the measured runs so the event log can be attributed
+            spark.sparkContext.setJobGroup(f"{name}#{i}" if i else f"warmup:{name}", name)
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             if i:  # first run is the warm-up
                 times.append(time.perf_counter() - t0)
         results[name] = round(statistics.median(times), 3)
     spark.stop()
+    shuffle = shuffle_bytes(log_dir, names, reps)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(results.values()), 3),
                       "unit": "sec", "queries": results, "sf": float(m.group(1)) if m else sf_dir,
-                      "cpus": cpus, "reps": reps}))
+                      "cpus": cpus, "reps": reps, "shuffle_write_bytes_per_run": shuffle}))
+
+
+def shuffle_bytes(log_dir: str, names: list[str], reps: int) -> dict[str, int]:
+    """Shuffle bytes written per query run, from the Spark event log."""
+    stage_query: dict[int, str] = {}
+    written: dict[str, int] = {n: 0 for n in names}
+    for path in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True):
+        if os.path.isdir(path) or os.path.basename(path).startswith("appstatus"):
+            continue
+        with open(path, encoding="utf-8") as fh:
+            for line in fh:
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    group = (ev.get("Properties") or {}).get("spark.jobGroup.id", "")
+                    if "#" in group:
+                        for sid in ev.get("Stage IDs", []):
+                            stage_query[sid] = group.split("#")[0]
+                elif kind == "SparkListenerTaskEnd" and ev.get("Stage ID") in stage_query:
+                    metrics = (ev.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                    written[stage_query[ev["Stage ID"]]] += int(metrics.get("Shuffle Bytes Written", 0))
+    return {n: written[n] // max(reps, 1) for n in names}
 
 
 if __name__ == "__main__":
