@@ -55,20 +55,20 @@ def _tfidf_rows(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _score_partition(batches: Iterator[pd.DataFrame], idf: np.ndarray, vocab: np.ndarray, qmat: np.ndarray,
                      qids: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    pos = {int(t): i for i, t in enumerate(vocab)}
+    vocab = np.asarray(vocab, dtype=np.int64)  # sorted (np.unique)
     best = None
     for pdf in batches:
         if pdf.empty:
             continue
         scores = np.zeros((len(pdf), len(qids)))
         for r, ids in enumerate(pdf["ids"].to_numpy()):
-            if ids is None or len(ids) == 0:
+            if ids is None or len(ids) == 0 or len(vocab) == 0:
                 continue
             terms, w = _tfidf_rows(np.asarray(ids, dtype=np.int64), idf)
-            hit = [(pos[int(t)], wt) for t, wt in zip(terms, w) if int(t) in pos]
-            if hit:
-                rows, wts = zip(*hit)
-                scores[r] = np.asarray(wts) @ qmat[list(rows)]
+            at = np.minimum(np.searchsorted(vocab, terms), len(vocab) - 1)
+            hit = vocab[at] == terms          # doc terms that occur in some query
+            if hit.any():
+                scores[r] = w[hit] @ qmat[at[hit]]
         scores = np.round(scores, 4)
         docs = pdf["doc_id"].to_numpy()
         parts = []
@@ -142,15 +142,18 @@ def ann_recall(embeddings: DataFrame, k: int = 10, bucket_length: float = 1.0, n
 
 def _score_one(batches: Iterator[pd.DataFrame], idf: np.ndarray, qterms: np.ndarray, qw: np.ndarray,
                id_col: str) -> Iterator[pd.DataFrame]:
-    q = dict(zip(qterms.tolist(), qw.tolist()))
+    order = np.argsort(qterms)
+    qterms, qw = np.asarray(qterms, dtype=np.int64)[order], np.asarray(qw)[order]
     for pdf in batches:
         out = []
         for ids in pdf["ids"]:
-            if ids is None or len(ids) == 0:
+            if ids is None or len(ids) == 0 or len(qterms) == 0:
                 out.append(0.0)
                 continue
             terms, w = _tfidf_rows(np.asarray(ids, dtype=np.int64), idf)
-            out.append(round(float(sum(wt * q.get(int(t), 0.0) for t, wt in zip(terms, w))), 4))
+            at = np.minimum(np.searchsorted(qterms, terms), len(qterms) - 1)
+            hit = qterms[at] == terms
+            out.append(round(float(w[hit] @ qw[at[hit]]), 4))
         yield pd.DataFrame({id_col: pdf[id_col], "relevance_score": out})
 
 

@@ -78,20 +78,9 @@ def _admit_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     """Fold one key's rows of this micro-batch, continuing from its stored balance."""
     bal = state.get[0] if state.exists else derived.FREE_CREDITS
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
-    admitted, after = [], []
-    for kind, cost, credits in zip(pdf["kind"], pdf["cost"], pdf["credits"]):
-        if kind == "purchase":
-            bal += int(credits)
-            admitted.append(True)
-        elif bal >= cost:
-            if kind == "call":
-                bal -= int(cost)
-            admitted.append(True)
-        else:
-            admitted.append(False)
-        after.append(bal)
+    ok, after, bal = lg.fold_admission(pdf["kind"].to_numpy(), pdf["cost"].to_numpy(), pdf["credits"].to_numpy(), bal)
     state.update((bal,))
-    yield pdf.assign(admitted=admitted, balance_after=after)[
+    yield pdf.assign(admitted=ok, balance_after=after)[
         ["api_key", "event_id", "ts", "kind", "cost", "credits", "admitted", "balance_after"]]
 
 
