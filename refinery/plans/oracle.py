@@ -317,6 +317,7 @@ ORACLE: dict[str, str] = {
     "query_default_limit": R.DEFAULT_LIMIT_SQL + "\nLIMIT 100",
     "sql_join_agg": R.JOIN_AGG_SQL,
     "sql_rollup": R.ROLLUP_SQL,
+    "sql_cube_having": R.CUBE_SQL,
     "sql_projection": R.PROJECTION_SQL,
     "count_star": R.COUNT_SQL,
     "where_conjunction": f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem WHERE {R.WHERE_PREDICATE}",

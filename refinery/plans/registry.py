@@ -56,6 +56,16 @@ SELECT l_returnflag, l_linestatus,
 FROM lineitem
 GROUP BY ROLLUP (l_returnflag, l_linestatus)"""
 
+CUBE_SQL = """
+SELECT l_returnflag, l_linestatus,
+       CAST(GROUPING(l_returnflag) + 2 * GROUPING(l_linestatus) AS INT) AS grouping_level,
+       COUNT(*) AS n_lines,
+       COUNT(DISTINCT l_orderkey) AS n_orders,
+       PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY l_quantity) AS median_qty
+FROM lineitem
+GROUP BY CUBE (l_returnflag, l_linestatus)
+HAVING COUNT(*) > 100"""
+
 PROJECTION_SQL = """
 SELECT o_orderkey, o_custkey, o_orderstatus,
        o_totalprice > 100000 AS is_large,
@@ -162,7 +172,7 @@ def q_schema_text(spark, d):
 
 
 def q_source_health(spark, d):
-    return sources.source_health(_all_tables(spark, d))
+    return sources.source_health(_all_tables(spark, d), "testdata")
 
 
 def q_json_safe_rows(spark, d):
@@ -469,6 +479,7 @@ QUERIES: dict[str, Query] = {
     "query_default_limit": _sql(DEFAULT_LIMIT_SQL, limit=100),
     "sql_join_agg": _sql_uncapped(JOIN_AGG_SQL),
     "sql_rollup": _sql_uncapped(ROLLUP_SQL),
+    "sql_cube_having": _sql_uncapped(CUBE_SQL),
     "sql_projection": _sql_uncapped(PROJECTION_SQL),
     "sql_set_ops": q_sql_set_ops,
     "count_star": _sql_uncapped(COUNT_SQL),

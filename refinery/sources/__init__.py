@@ -81,15 +81,22 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def source_health(tables: dict[str, DataFrame]) -> DataFrame:
-    """Connectivity probe: each table is opened and counted; a table whose read
-    fails raises at action time, so a returned row means 'connected'."""
-    counts = table_counts(tables)
-    return counts.select(
-        "table_name",
-        F.lit(True).alias("connected"),
-        F.format_string("Connected. %d rows.", "row_count").alias("message"),
-    )
+def source_health(tables: dict[str, DataFrame], source_name: str = "source") -> DataFrame:
+    """Connectivity probe for one source: every table is opened (schema read)
+    and counted in one union of aggregates; the result is one row
+    (source, connected, message, sample_tables) with the first 20 table names.
+    A table that cannot be opened makes the source 'not connected' with the
+    error as message, instead of raising."""
+    spark = next(iter(tables.values())).sparkSession
+    schema = "source string, connected boolean, message string, sample_tables array<string>"
+    names = sorted(tables)
+    try:
+        counts = table_counts(tables)
+        total = counts.agg(F.sum("row_count").alias("n")).first()["n"] or 0
+    except Exception as e:  # noqa: BLE001 - the probe reports the failure as data
+        return spark.createDataFrame([(source_name, False, str(e).splitlines()[0], None)], schema)
+    msg = f"Connected. {len(names)} tables, {total} records total."
+    return spark.createDataFrame([(source_name, True, msg, names[:20])], schema)
 
 
 def json_safe(df: DataFrame) -> DataFrame:
