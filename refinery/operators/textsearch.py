@@ -97,19 +97,33 @@ def tfidf_search(documents: DataFrame, queries: DataFrame, k: int = 5, doc_id: s
         raise ValueError(f"query set too large to broadcast ({size} terms > {MAX_QUERY_TERMS}); split it")
     qp = q.toPandas()
     qvecs = [_tfidf_rows(np.asarray(ids, dtype=np.int64), idf) for ids in qp["ids"]]
-    vocab = np.unique(np.concatenate([t for t, _ in qvecs])) if qvecs else np.zeros(0, dtype=np.int64)
-    vpos = {int(t): i for i, t in enumerate(vocab)}
-    qmat = np.zeros((len(vocab), len(qp)))
-    for j, (terms, w) in enumerate(qvecs):
-        for t, wt in zip(terms, w):
-            qmat[vpos[int(t)], j] = wt
     sc = spark.sparkContext
-    b_idf, b_vocab, b_q, b_ids = sc.broadcast(idf), sc.broadcast(vocab), sc.broadcast(qmat), \
-        sc.broadcast(qp["query_id"].to_numpy())
+    b_idf = sc.broadcast(idf)
     schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, " \
              f"doc_id {documents.schema[doc_id].dataType.simpleString()}, score double"
-    cand = docs.mapInPandas(
-        lambda it: _score_partition(it, b_idf.value, b_vocab.value, b_q.value, b_ids.value, k), schema)
+    # queries go out in passes whose dense (vocabulary x queries) matrix stays
+    # under MAX_QUERY_BROADCAST_BYTES
+    cand, start = None, 0
+    while start < len(qvecs):
+        stop, vocab = start, np.zeros(0, dtype=np.int64)
+        while stop < len(qvecs):
+            grown = np.union1d(vocab, qvecs[stop][0])
+            if stop > start and len(grown) * (stop - start + 1) * 8 > search.MAX_QUERY_BROADCAST_BYTES:
+                break
+            vocab, stop = grown, stop + 1
+        vpos = {int(t): i for i, t in enumerate(vocab)}
+        qmat = np.zeros((len(vocab), stop - start))
+        for j, (terms, w) in enumerate(qvecs[start:stop]):
+            qmat[[vpos[int(t)] for t in terms], j] = w
+        b_vocab, b_q = sc.broadcast(vocab), sc.broadcast(qmat)
+        b_ids = sc.broadcast(qp["query_id"].to_numpy()[start:stop])
+        part = docs.mapInPandas(
+            lambda it, v=b_vocab, m=b_q, i=b_ids: _score_partition(it, b_idf.value, v.value, m.value, i.value, k),
+            schema)
+        cand = part if cand is None else cand.unionByName(part)
+        start = stop
+    if cand is None:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

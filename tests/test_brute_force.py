@@ -129,3 +129,12 @@ def test_single_search_rejects_bad_k(spark):
     emb = spark.read.parquet(SF_SMALL + "/embeddings.parquet")
     with pytest.raises(ValueError):
         search.search_vector(emb, [0.0] * 64, k=0)
+
+
+def test_tfidf_search_in_several_passes(spark, monkeypatch):
+    docs = spark.read.parquet(SF_SMALL + "/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(SF_SMALL + "/benchmark.parquet")
+    one = textsearch.tfidf_search(docs, bench, k=3).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(search, "MAX_QUERY_BROADCAST_BYTES", 20_000)  # forces many passes
+    many = textsearch.tfidf_search(docs, bench, k=3).orderBy("query_id", "rank").collect()
+    assert one == many and len(one) == 3 * bench.count()
