@@ -6,8 +6,6 @@ as a Spark job, and as plain functions used at plan time before ``spark.sql``.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,5 +46,3 @@ def check_read_only(sql: str) -> None:
     if head in FORBIDDEN:
         raise ValueError(f"Forbidden SQL statement: {head}. Only SELECT queries are allowed.")
 
-
-_LIMIT_WORD = re.compile(r"\blimit\b", re.IGNORECASE)

@@ -96,9 +96,6 @@ def rank_chunks(chunks: DataFrame, query: str | None) -> DataFrame:
     return textsearch.rank_by_text(keyed, "_chunk_id", "content", query).drop("_chunk_id")
 
 
-CHUNK_TYPE = "array<struct<content:string,source:string,relevance_score:double,metadata:map<string,string>>>"
-
-
 def to_contexts(packed: DataFrame, context_col: str, order_cols: list[str]) -> DataFrame:
     """Nest packed chunks into one row per context (chunks array + token count),
     the shape written by :func:`write_contexts`. A context holds few chunks."""
