@@ -37,10 +37,27 @@ def redact_with_audit(df: DataFrame, fields: list[str] | None = None,
         # which pattern hits each scanned value, computed once per value
         df = df.select("*", *[pii.first_match_index(F.col(f"`{n}`")).alias(f"__pii{i}")
                               for i, n in enumerate(scanned)])
+    if mode == "all" and scanned:
+        # one projection per pattern: each step reads the previous step's value
+        # (materialised once per row) and records whether its pattern hit
+        for step, name in enumerate(pii.ALL_MODE_ORDER):
+            p = pii.java_pattern(name)
+            repl = pii.quote_replacement(replacement)
+            cols = []
+            for f in df.columns:
+                if f in scanned:
+                    c = F.col(f"`{f}`")
+                    guard = (F.instr(c, "@") > 0) if name == "email" else c.rlike(r"(?U)\d")
+                    hit = guard & c.rlike(p)
+                    cols.append(F.when(hit, F.regexp_replace(c, p, repl)).otherwise(c).alias(f))
+                    cols.append(F.coalesce(hit, F.lit(False)).alias(f"__all{scanned.index(f)}_{step}"))
+                else:
+                    cols.append(F.col(f"`{f}`"))
+            df = df.select(*cols)
     index_of = {n: F.col(f"__pii{i}") for i, n in enumerate(scanned)}
     counts, kinds, out = [], [], []
     for f in df.schema.fields:
-        if f.name.startswith("__pii"):
+        if f.name.startswith("__pii") or f.name.startswith("__all"):
             continue
         c = F.col(f"`{f.name}`")
         if f.name in passthrough:
@@ -59,9 +76,12 @@ def redact_with_audit(df: DataFrame, fields: list[str] | None = None,
                 counts.append(idx.isNotNull().cast("int"))
                 kinds.append(F.when(idx.isNotNull(), F.array(pii.type_by_index(idx))))
             else:
-                value, found = pii.redact_all(c, replacement)
-                out.append(value.alias(f.name))
-                counts.append((F.size(found) > 0).cast("int"))
+                i = scanned.index(f.name)
+                hits = [F.col(f"__all{i}_{step}") for step in range(len(pii.ALL_MODE_ORDER))]
+                found = F.filter(F.array(*[F.when(h, F.lit(n)) for h, n in zip(hits, pii.ALL_MODE_ORDER)]),
+                                 lambda x: x.isNotNull())
+                out.append(c)
+                counts.append(F.greatest(*[h.cast("int") for h in hits]))
                 kinds.append(found)
         else:  # non-string values are never scanned
             out.append(c)

@@ -216,3 +216,14 @@ def test_last_write_wins_change_logs(spark):
         "api_key string, plan string, status string, event_time timestamp_ntz, doc_id int")
     state = {r.api_key: r.plan for r in catalog.current_state(log, key="api_key").collect()}
     assert state == {"k1": "pro", "k3": "free"}
+
+
+def test_all_mode_operator_matches_expression(spark):
+    from refinery.functions import pii as pf
+    doc = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    staged = redact.redact_with_audit(doc, fields=[], mode="all", passthrough=("doc_id",))
+    value, found = pf.redact_all(F.col("text"))
+    direct = doc.select("doc_id", value.alias("text"), F.array_distinct(found).alias("_pii_types"))
+    a = staged.select("doc_id", "text", "_pii_types")
+    assert a.exceptAll(direct).count() == 0 and direct.exceptAll(a).count() == 0
+    assert staged.agg(F.sum("_fields_redacted")).first()[0] == direct.where(F.size("_pii_types") > 0).count()
