@@ -37,24 +37,29 @@ def main() -> None:
                           extra={"spark.driver.memory": "8g", "spark.eventLog.enabled": "true",
                                  "spark.eventLog.dir": log_dir, "spark.eventLog.compress": "false",
                                  "spark.eventLog.rolling.enabled": "false"})
-    results = {}
+    results, errors = {}, {}
     for name in names:
         fn = QUERIES[name]
         times = []
-        for i in range(reps + 1):
-            # job group tags the measured runs so the event log can be attributed
-            spark.sparkContext.setJobGroup(f"{name}#{i}" if i else f"warmup:{name}", name)
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if i:  # first run is the warm-up
-                times.append(time.perf_counter() - t0)
-        results[name] = round(statistics.median(times), 3)
+        try:
+            for i in range(reps + 1):
+                # job group tags the measured runs so the event log can be attributed
+                spark.sparkContext.setJobGroup(f"{name}#{i}" if i else f"warmup:{name}", name)
+                t0 = time.perf_counter()
+                fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                if i:  # first run is the warm-up
+                    times.append(time.perf_counter() - t0)
+            results[name] = round(statistics.median(times), 3)
+        except Exception as e:  # noqa: BLE001 - report and keep benchmarking the rest
+            errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
     spark.stop()
+    names = [n for n in names if n in results]
     shuffle = shuffle_bytes(log_dir, names, reps)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(results.values()), 3),
                       "unit": "sec", "queries": results, "sf": float(m.group(1)) if m else sf_dir,
-                      "cpus": cpus, "reps": reps, "shuffle_write_bytes_per_run": shuffle}))
+                      "cpus": cpus, "reps": reps, "shuffle_write_bytes_per_run": shuffle,
+                      **({"errors": errors} if errors else {})}))
 
 
 def shuffle_bytes(log_dir: str, names: list[str], reps: int) -> dict[str, int]:

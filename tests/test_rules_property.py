@@ -110,3 +110,24 @@ def test_currency_rounding_matches_python_on_binary_ties(spark):
                 min_size=20, max_size=60))
 def test_three_decimal_rounding(spark, values):
     assert _apply(spark, values, tx.parse_currency) == [py_currency(v) for v in values]
+
+
+words = st.sampled_from(["select", "SELECT", "With", "drop", "DELETE", "show", "what", "Update", "grant", "x", ""])
+query_text = st.builds(lambda pad, w, rest: pad + w + rest, st.sampled_from(["", " ", "\t\n", "　", "\x1c"]),
+                       words, st.sampled_from(["", " * FROM t", "\tcount(*)", " me all", " rows"]))
+
+
+@settings(**SETTINGS)
+@given(st.lists(query_text, min_size=20, max_size=60))
+def test_router_and_guard_match_python(spark, values):
+    from refinery.functions import sqlguard as sg
+
+    def py_guard(q):
+        try:
+            sg.check_read_only(q)
+            return None
+        except ValueError:
+            return q.strip().upper().split()[0]
+
+    assert _apply(spark, values, sg.is_natural_language_col) == [sg.is_natural_language(v) for v in values]
+    assert _apply(spark, values, sg.forbidden_word_col) == [py_guard(v) for v in values]
