@@ -139,8 +139,8 @@ def parse_currency(c: Column) -> Column:
 
 def number_from_stripped(stripped: Column) -> Column:
     """The float a currency text denotes (unrounded), or null if unparsable."""
-    s = ustrip(F.regexp_replace(stripped, "[,$€£]", ""))
-    plain = F.regexp_replace(s, "_", "")
+    s = ustrip(F.translate(stripped, CURRENCY_STRIP_CHARS, ""))
+    plain = F.translate(s, "_", "")
     return F.when(s.rlike(_FLOAT_RE), plain.try_cast("double")) \
             .when(s.rlike(_SPECIAL_RE), F.lower(s).try_cast("double"))
 
