@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refinery.operators import search
+from refinery.session import cut_lineage
 
 NUM_FEATURES = 1 << 18
 MAX_QUERY_TERMS = 2_000_000  # bound on (query, term) pairs shipped in one broadcast
@@ -88,13 +89,17 @@ def tfidf_search(documents: DataFrame, queries: DataFrame, k: int = 5, doc_id: s
     """Top-k documents per query text by TF-IDF cosine similarity."""
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc_id"), term_ids(text).alias("ids"))
-    idf_df = idf_table(docs)
-    # bounded by the hash space (NUM_FEATURES rows), never by the corpus size
-    idf = _idf_vector(idf_df)
     q = queries.select(F.col(query_id).alias("query_id"), term_ids(query_text).alias("ids"))
-    size = q.agg(F.sum(F.size("ids")).alias("s")).first()["s"] or 0
+    stats = q.agg(F.sum(F.size("ids")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    size, n_queries = int(stats["s"] or 0), int(stats["n"] or 0)
     if size > MAX_QUERY_TERMS:
         raise ValueError(f"query set too large to broadcast ({size} terms > {MAX_QUERY_TERMS}); split it")
+    if size * n_queries * 8 > search.MAX_QUERY_BROADCAST_BYTES:
+        # several scoring passes will read the corpus: tokenise it once into the
+        # shared checkpoint folder instead of once per pass (and cut the lineage)
+        docs = cut_lineage(docs)
+    # bounded by the hash space (NUM_FEATURES rows), never by the corpus size
+    idf = _idf_vector(idf_table(docs))
     qp = q.toPandas()
     qvecs = [_tfidf_rows(np.asarray(ids, dtype=np.int64), idf) for ids in qp["ids"]]
     sc = spark.sparkContext
