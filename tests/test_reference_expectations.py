@@ -227,3 +227,56 @@ def test_all_mode_operator_matches_expression(spark):
     a = staged.select("doc_id", "text", "_pii_types")
     assert a.exceptAll(direct).count() == 0 and direct.exceptAll(a).count() == 0
     assert staged.agg(F.sum("_fields_redacted")).first()[0] == direct.where(F.size("_pii_types") > 0).count()
+
+
+def test_keyset_paging_covers_table_once(spark):
+    t = crm.load_all(spark)
+    seen, last = [], None
+    while True:
+        page = [r.id for r in query.fetch_after(t["contacts"], "id", last, limit=3).collect()]
+        if not page:
+            break
+        seen += page
+        last = page[-1]
+    assert seen == list(range(1, 11))
+
+
+def test_offset_pages_are_disjoint_and_ordered(spark):
+    t = crm.load_all(spark)
+    p1 = [r.id for r in query.fetch_rows(t["deals"], limit=3, offset=0, order_by=["id"]).collect()]
+    p2 = [r.id for r in query.fetch_rows(t["deals"], limit=3, offset=3, order_by=["id"]).collect()]
+    assert p1 == [1, 2, 3] and p2 == [4, 5, 6]
+    with pytest.raises(ValueError):
+        query.fetch_rows(t["deals"], limit=0)
+    with pytest.raises(ValueError):
+        query.fetch_rows(t["deals"], filters={"no_such": 1})
+
+
+def test_natural_language_path_uses_translator_and_guard(spark):
+    crm.load_all(spark)
+    df = query.run_query(spark, "how many deals are there", nl_to_sql=lambda q: "SELECT COUNT(*) AS n FROM deals")
+    assert df.first().n == 8
+    with pytest.raises(ValueError):
+        query.run_query(spark, "remove all deals", nl_to_sql=lambda q: "DELETE FROM deals")
+
+
+def test_list_tables_and_json_safe(spark):
+    crm.load_all(spark)
+    names = [r.table_name for r in sources.list_tables(spark).collect()]
+    assert names == sorted(names) and {"companies", "contacts", "deals"} <= set(names)
+    df = spark.createDataFrame([(1, [1, 2], {"a": None}, None)], "id int, xs array<int>, m map<string,string>, s string")
+    row = sources.json_safe(df).first()
+    assert (row.id, row.xs, row.m, row.s) == (1, "[1,2]", '{"a":null}', None)
+
+
+def test_source_health_reports_failure_as_data(spark, scratch):
+    good = crm.load_all(spark)["deals"]
+    ok = sources.source_health({"deals": good}, "crm").first()
+    assert ok.connected and ok.sample_tables == ["deals"]
+    import os
+    os.makedirs(scratch + "/corrupt")
+    with open(scratch + "/corrupt/part-0.parquet", "w") as fh:
+        fh.write("not a parquet file")
+    corrupt = spark.read.schema("x int").parquet(scratch + "/corrupt")  # fails only when read
+    bad = sources.source_health({"corrupt": corrupt}, "broken").first()
+    assert bad.connected is False and bad.message
