@@ -31,12 +31,14 @@ def balances_with_plan(ledger: DataFrame, agents: DataFrame) -> DataFrame:
         .select("api_key", "balance", F.coalesce("plan", F.lit("free")).alias("plan"))
 
 
-def running_balance(ledger: DataFrame, bucket: str = "day") -> DataFrame:
+def running_balance(ledger: DataFrame, bucket: str = "minute") -> DataFrame:
     """Balance after every ledger row, ordered by (created_at, id) per key.
 
     Two-level prefix sum so a hot key is not sorted by a single task: rows are
     split into (key, time bucket) window partitions; each bucket's offset is the
-    sum of the key's earlier buckets, computed on the small per-bucket totals.
+    sum of the key's earlier buckets, computed on the per-bucket totals (a
+    partial aggregate, at most one row per key and minute). Minute buckets keep
+    even a key that is hot within one day spread over many tasks.
     """
     b = ledger.withColumn("_bucket", F.date_trunc(bucket, "created_at"))
     totals = b.groupBy("api_key", "_bucket").agg(F.sum("delta").alias("_t"))
