@@ -219,7 +219,7 @@ _TABLE_LIST = ", ".join(f"'{t}'" for t in ("region", "nation", "customer", "supp
                                             "events", "documents", "embeddings", "pages", "benchmark", "labels",
                                             "conversations"))
 COLUMNS = f"""cols AS (
-  SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name, {_TYPE_MAP} AS data_type
+  SELECT DISTINCT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name, {_TYPE_MAP} AS data_type
   FROM information_schema.columns WHERE table_name IN ({_TABLE_LIST}))"""
 
 _FIELD_FAMILIES = [
