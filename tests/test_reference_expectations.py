@@ -280,3 +280,18 @@ def test_source_health_reports_failure_as_data(spark, scratch):
     corrupt = spark.read.schema("x int").parquet(scratch + "/corrupt")  # fails only when read
     bad = sources.source_health({"corrupt": corrupt}, "broken").first()
     assert bad.connected is False and bad.message
+
+
+def test_packing_budget_edges(spark):
+    """D-13: per-chunk token floors, cut-offs cut to the remaining budget,
+    and no empty chunk when the budget is already used up exactly."""
+    from refinery.operators import context
+    rows = [("c", 1, "a" * 401), ("c", 2, "b" * 403), ("c", 3, "x" * 40),   # 100 + 100 + 10 tokens
+            ("d", 1, "a" * 400), ("d", 2, "b" * 400), ("d", 3, "z" * 400)]  # exact budget after two
+    chunks = spark.createDataFrame(rows, "ctx string, pos int, content string")
+    got = {(r.ctx, r.pos): (r.tokens, len(r.content), r.truncated)
+           for r in context.pack(chunks, "ctx", ["pos"], budget=200).collect()}
+    assert got == {("c", 1): (100, 401, False), ("c", 2): (100, 403, False),
+                   ("d", 1): (100, 400, False), ("d", 2): (100, 400, False)}
+    got = {(r.ctx, r.pos): (r.tokens, len(r.content)) for r in context.pack(chunks, "ctx", ["pos"], budget=150).collect()}
+    assert got[("c", 2)] == (50, 200) and ("c", 3) not in got
