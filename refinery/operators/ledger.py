@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refinery.plans import derived
+from refinery.session import ship_package
 
 LOW_BALANCE = 5
 
@@ -195,6 +196,7 @@ def admission(usage: DataFrame, opening: int = derived.FREE_CREDITS,
     and stream each partition through one Arrow-batched fold. No per-key arrays
     are collected, so a hot key never has to fit in memory.
     """
+    ship_package(usage.sparkSession)
     cols = ["api_key", "event_id", "ts", "kind", "cost", "credits"]
     parts = (usage.select(*cols).repartition(num_partitions, "api_key") if num_partitions
              else usage.select(*cols).repartition("api_key"))

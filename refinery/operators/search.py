@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refinery.functions import vectors as vx
+from refinery.session import ship_package
 
 MAX_RESULTS = 100
 # Largest query matrix (bytes, float64) shipped to executors in one broadcast;
@@ -133,6 +134,7 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     """
     _check_k(k)
     spark = corpus.sparkSession
+    ship_package(spark)
     keep = list(keep or [c for c in corpus.columns if c != vec_col])
     if id_col not in keep:
         keep.insert(0, id_col)

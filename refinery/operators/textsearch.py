@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refinery.operators import search
-from refinery.session import cut_lineage
+from refinery.session import cut_lineage, ship_package
 
 NUM_FEATURES = 1 << 18
 MAX_QUERY_TERMS = 2_000_000  # bound on (query, term) pairs shipped in one broadcast
@@ -88,6 +88,7 @@ def tfidf_search(documents: DataFrame, queries: DataFrame, k: int = 5, doc_id: s
                  text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """Top-k documents per query text by TF-IDF cosine similarity."""
     spark = documents.sparkSession
+    ship_package(spark)
     docs = documents.select(F.col(doc_id).alias("doc_id"), term_ids(text).alias("ids"))
     q = queries.select(F.col(query_id).alias("query_id"), term_ids(query_text).alias("ids"))
     stats = q.agg(F.sum(F.size("ids")).alias("s"), F.count(F.lit(1)).alias("n")).first()
@@ -181,6 +182,7 @@ def rank_by_text(items: DataFrame, id_col: str, text_col: str, query: str) -> Da
     and ``query`` (idf over the items themselves). The query is tokenised by the
     same Spark expression as the items; only its term ids reach the executors."""
     spark = items.sparkSession
+    ship_package(spark)
     toks = items.select(id_col, term_ids(text_col).alias("ids"))
     idf = _idf_vector(idf_table(toks))
     qids = spark.createDataFrame([(query,)], "q string").select(term_ids("q").alias("ids")).first()["ids"]

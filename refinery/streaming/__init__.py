@@ -20,6 +20,7 @@ from refinery.operators import clean as cl
 from refinery.operators import ledger as lg
 from refinery.operators import redact as rd
 from refinery.plans import derived
+from refinery.session import ship_package
 
 
 def clean_stream(stream: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
@@ -88,6 +89,7 @@ def admission_stream(usage_stream: DataFrame) -> DataFrame:
     """Sequential admission with the balance kept in per-key state (append mode).
     Events of a key are folded in (ts, event_id) order within a micro-batch and
     in arrival order across micro-batches."""
+    ship_package(usage_stream.sparkSession)
     cols = usage_stream.select("api_key", "event_id", "ts", "kind", "cost", "credits")
     return cols.groupBy("api_key").applyInPandasWithState(
         _admit_group, lg.ADMISSION_SCHEMA, ADMISSION_STATE, "append", GroupStateTimeout.NoTimeout)
