@@ -33,8 +33,13 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "3"))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
     log_dir = tempfile.mkdtemp(prefix="refinery-bench-events-")
+    try:  # local mode: the driver heap is the whole cluster; stay within the box
+        total_gb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    except (ValueError, OSError):
+        total_gb = 16
+    heap = f"{max(1, min(8, int(total_gb * 0.6)))}g"
     spark = build_session(f"local[{cpus}]", app_name="refinery-bench", shuffle_partitions=max(8, cpus * 2),
-                          extra={"spark.driver.memory": "8g", "spark.eventLog.enabled": "true",
+                          extra={"spark.driver.memory": heap, "spark.eventLog.enabled": "true",
                                  "spark.eventLog.dir": log_dir, "spark.eventLog.compress": "false",
                                  "spark.eventLog.rolling.enabled": "false"})
     results, errors = {}, {}
