@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refinery.functions import text as tx
+from refinery.session import cached_columns
 
 NULLS_COL = "_nulls_filled"
 CHANGED_COL = "_formats_standardized"
@@ -52,6 +53,13 @@ def _clean_column(c: Column, stripped: Column, dtype: T.DataType, rule: str) ->
     return value, empty, (~empty) & changed
 
 
+def _cached_clean_column(field: str, prepared: str, dtype: T.DataType, rule: str):
+    """The trees for one (field, rule) reference columns by name only, so they
+    are built once per application and reused by every query."""
+    return cached_columns(("clean", field, prepared, dtype.simpleString(), rule),
+                          lambda: _clean_column(F.col(f"`{field}`"), F.col(prepared), dtype, rule))
+
+
 def clean_with_audit(df: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """Apply ``rules`` (field -> rule name); empty/None rules are auto-detected.
 
@@ -72,8 +80,8 @@ def clean_with_audit(df: DataFrame, rules: dict[str, str] | None = None) -> Data
                                   for i, (f, r) in enumerate(applied.items()) if r == "currency"])
     nulls, changed, exprs = [], [], {}
     for i, (field, rule) in enumerate(applied.items()):
-        prepared = F.col(f"__n{i}") if rule == "currency" else F.col(f"__s{i}")
-        value, was_null, was_changed = _clean_column(F.col(f"`{field}`"), prepared, types[field], rule)
+        prepared = f"__n{i}" if rule == "currency" else f"__s{i}"
+        value, was_null, was_changed = _cached_clean_column(field, prepared, types[field], rule)
         exprs[field] = value
         nulls.append(was_null.cast("int"))
         changed.append(was_changed.cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refinery.functions import pii
+from refinery.session import cached_columns
 
 REDACTED_COL = "_fields_redacted"
 TYPES_COL = "_pii_types"
@@ -35,8 +36,8 @@ def redact_with_audit(df: DataFrame, fields: list[str] | None = None,
                if isinstance(f.dataType, T.StringType) and f.name not in fields and f.name not in passthrough]
     if mode == "first" and scanned:
         # which pattern hits each scanned value, computed once per value
-        df = df.select("*", *[pii.first_match_index(F.col(f"`{n}`")).alias(f"__pii{i}")
-                              for i, n in enumerate(scanned)])
+        df = df.select("*", *[cached_columns(("pii_index", n), lambda n=n: pii.first_match_index(F.col(f"`{n}`")))
+                              .alias(f"__pii{i}") for i, n in enumerate(scanned)])
     if mode == "all" and scanned:
         # one projection per pattern: each step reads the previous step's value
         # (materialised once per row) and records whether its pattern hit
@@ -72,7 +73,9 @@ def redact_with_audit(df: DataFrame, fields: list[str] | None = None,
         elif isinstance(f.dataType, T.StringType):
             if mode == "first":
                 idx = index_of[f.name]
-                out.append(pii.replace_by_index(c, idx, replacement).alias(f.name))
+                i = scanned.index(f.name)
+                out.append(cached_columns(("pii_replace", f.name, i, replacement),
+                                          lambda c=c, idx=idx: pii.replace_by_index(c, idx, replacement)).alias(f.name))
                 counts.append(idx.isNotNull().cast("int"))
                 kinds.append(F.when(idx.isNotNull(), F.array(pii.type_by_index(idx))))
             else:

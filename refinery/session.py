@@ -118,8 +118,42 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+_COLUMNS: dict[tuple, object] = {}
+
+
+def cached_columns(key: tuple, build):
+    """Build Column expression trees once per application and key.
+
+    Only for trees that reference columns by *name* (``F.col``): those are
+    plain unresolved expressions, reusable across DataFrames, and rebuilding a
+    large rule tree costs hundreds of Python-to-JVM calls per query.
+    """
+    from pyspark import SparkContext
+    full = (SparkContext._active_spark_context.applicationId,) + key
+    if full not in _COLUMNS:
+        _COLUMNS[full] = build()
+    return _COLUMNS[full]
+
+
+_READS: dict[tuple[str, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Parquet table as a DataFrame, opened once per application and path (like
+    a connection pool: the file listing and footer schema are resolved once;
+    DataFrames are immutable, so sharing the handle is safe). Set
+    ``refinery.session.CACHE_READS = False`` for inputs that change in place."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if not CACHE_READS:
+        return spark.read.parquet(path)
+    key = (spark.sparkContext.applicationId, os.path.abspath(path))
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
+
+
+CACHE_READS = True
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:
