@@ -24,7 +24,7 @@ from refinery.plans.registry import QUERIES  # noqa: E402
 from refinery.session import build_session  # noqa: E402
 
 HEADLINE = ["query_topk", "sql_join_agg", "clean_date", "clean_currency", "pii_redact_text", "dedup_full",
-            "search_topk_batch", "context_pack", "credit_admission", "curate_pipeline"]
+            "search_topk_batch", "context_pack", "credit_admission", "curate_records"]
 
 
 def main() -> None:

@@ -321,8 +321,8 @@ ORACLE: dict[str, str] = {
     "sql_projection": R.PROJECTION_SQL,
     "count_star": R.COUNT_SQL,
     "where_conjunction": f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem WHERE {R.WHERE_PREDICATE}",
-    "crm_deal_pipeline": """
-SELECT n_name, o_orderstatus, COUNT(*) AS n_orders, ROUND(SUM(o_totalprice), 2) AS pipeline_value
+    "crm_orders_by_nation": """
+SELECT n_name, o_orderstatus, COUNT(*) AS n_orders, ROUND(SUM(o_totalprice), 2) AS order_value
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY n_name, o_orderstatus""",
     "sql_set_ops": """
@@ -507,7 +507,7 @@ SELECT s.payment_id, s.api_key, s.credits,
        CAST(COALESCE(p.price_cents / 100.0, round(s.credits * 0.08, 2)) AS DOUBLE) AS price_usd,
        s.status AS settled_status, s.event_ts AS settled_at
 FROM s LEFT JOIN credit_packs p ON s.credits = p.credits""",
-    "curate_pipeline": f"""
+    "curate_records": f"""
 WITH c AS (SELECT doc_id, text, upper({_strip('lang')}) AS lang, lower({_strip('source')}) AS source FROM documents),
 s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
 SELECT doc_id, {_redact_first('text')} AS text, {_redact_first('lang')} AS lang, {_redact_first('source')} AS source FROM s""",

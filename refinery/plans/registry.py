@@ -110,14 +110,14 @@ def q_where_conjunction(spark, d):
                                             "l_returnflag")
 
 
-def q_crm_deal_pipeline(spark, d):
-    """customer <- orders, nation dimension: order pipeline per nation and status."""
+def q_crm_orders_by_nation(spark, d):
+    """customer <- orders, nation dimension: orders and their value per nation and status."""
     c = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
     o = _t(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
     n = _t(spark, d, "nation").select("n_nationkey", "n_name")
     j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name", "o_orderstatus").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("pipeline_value"))
+        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("order_value"))
 
 
 def q_sql_set_ops(spark, d):
@@ -465,7 +465,7 @@ def _curate(spark, d):
                                        dedup_keys=["text"], order_by=["doc_id"], redact_fields=[])
 
 
-def q_curate_pipeline(spark, d):
+def q_curate_records(spark, d):
     return _curate(spark, d).select("doc_id", "text", "lang", "source")
 
 
@@ -484,7 +484,7 @@ QUERIES: dict[str, Query] = {
     "sql_set_ops": q_sql_set_ops,
     "count_star": _sql_uncapped(COUNT_SQL),
     "where_conjunction": q_where_conjunction,
-    "crm_deal_pipeline": q_crm_deal_pipeline,
+    "crm_orders_by_nation": q_crm_orders_by_nation,
     "fetch_filtered": q_fetch_filtered,
     "fetch_page": q_fetch_page,
     "fetch_total_available": q_fetch_total_available,
@@ -537,6 +537,6 @@ QUERIES: dict[str, Query] = {
     "credit_pricing": q_credit_pricing,
     "credit_admission": q_credit_admission,
     "payment_settlement": q_payment_settlement,
-    "curate_pipeline": q_curate_pipeline,
+    "curate_records": q_curate_records,
     "curate_report": q_curate_report,
 }

@@ -60,7 +60,7 @@ def test_column_pruning(plans):
 
 
 def test_small_dimensions_broadcast(plans):
-    assert "BroadcastHashJoin" in plans["crm_deal_pipeline"]
+    assert "BroadcastHashJoin" in plans["crm_orders_by_nation"]
     assert "BroadcastHashJoin" in plans["usage_cost_rollup"]
 
 
