@@ -166,7 +166,8 @@ def _admit_partition(batches: Iterator[pd.DataFrame], opening: int) -> Iterator[
     """Fold rows sorted by (api_key, ts, event_id), one key-run at a time.
 
     State is a single integer carried across Arrow batches, so memory stays at
-    one batch however many rows a key has.
+    one batch however many rows a key has. A key's starting balance is the
+    ``_opening`` column when present, else ``opening``.
     """
     key, bal = None, 0
     for pdf in batches:
@@ -176,32 +177,91 @@ def _admit_partition(batches: Iterator[pd.DataFrame], opening: int) -> Iterator[
         kinds = pdf["kind"].to_numpy()
         costs = pdf["cost"].to_numpy(dtype=np.int64)
         credits = pdf["credits"].to_numpy(dtype=np.int64)
+        openings = pdf["_opening"].to_numpy(dtype=np.int64) if "_opening" in pdf else None
         admitted = np.ones(len(pdf), dtype=bool)
         after = np.empty(len(pdf), dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         ends = np.r_[starts[1:], len(pdf)]
         for a, b in zip(starts, ends):
             if keys[a] != key:
-                key, bal = keys[a], opening
+                key, bal = keys[a], (int(openings[a]) if openings is not None else opening)
             admitted[a:b], after[a:b], bal = fold_admission(kinds[a:b], costs[a:b], credits[a:b], bal)
-        yield pdf.assign(admitted=admitted, balance_after=after)
+        yield pdf.drop(columns=["_opening"], errors="ignore").assign(admitted=admitted, balance_after=after)
 
 
-def admission(usage: DataFrame, opening: int = derived.FREE_CREDITS,
-              num_partitions: int | None = None) -> DataFrame:
+_USAGE_COLS = ["api_key", "event_id", "ts", "kind", "cost", "credits"]
+
+
+def _sequential(rows: DataFrame, opening: int, num_partitions: int | None) -> DataFrame:
+    """Hash-partition by key, sort within partitions (external sort, spills) and
+    stream each partition through one Arrow-batched fold."""
+    parts = rows.repartition(num_partitions, "api_key") if num_partitions else rows.repartition("api_key")
+    ordered = parts.sortWithinPartitions("api_key", "ts", "event_id")
+    return ordered.mapInPandas(lambda it: _admit_partition(it, opening), ADMISSION_SCHEMA)
+
+
+# Keys with at least this many events take the segmented parallel path.
+HOT_KEY_ROWS = 1_000_000
+
+
+def _segmented(rows: DataFrame, opening: int, num_partitions: int | None, segment: str) -> DataFrame:
+    """Exact parallel admission for hot keys.
+
+    Each key's events are cut into time segments; per segment, windows give the
+    prefix of balance changes *if every call were admitted* and the entry
+    balance that guarantees it (max over calls of cost - prefix). A key's
+    segments before its first segment whose optimistic entry balance is below
+    that guarantee are exact and resolved in parallel; the rest of the key
+    (from that segment, whose entry balance is exact) is folded sequentially.
+    """
+    delta = F.when(F.col("kind") == "purchase", F.col("credits")) \
+             .when(F.col("kind") == "call", -F.col("cost")).otherwise(F.lit(0)).cast("long")
+    need = F.when(F.col("kind") != "purchase", F.col("cost")).cast("long")
+    w_in = Window.partitionBy("api_key", "_seg").orderBy("ts", "event_id") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_seg", F.date_trunc(segment, "ts")) \
+        .withColumn("_d", delta).withColumn("_need", need) \
+        .withColumn("_p", F.coalesce(F.sum("_d").over(w_in), F.lit(0)).cast("long"))
+    segs = rows.groupBy("api_key", "_seg").agg(F.sum("_d").alias("_net"),
+                                               F.max(F.col("_need") - F.col("_p")).alias("_t"))
+    w_prev = Window.partitionBy("api_key").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    w_key = Window.partitionBy("api_key")
+    segs = segs.withColumn("_entry", (F.lit(opening) + F.coalesce(F.sum("_net").over(w_prev), F.lit(0))).cast("long"))
+    segs = segs.withColumn("_first_bad", F.min(F.when(F.col("_entry") < F.col("_t"), F.col("_seg"))).over(w_key))
+    segs = segs.withColumn("_opening", F.max(F.when(F.col("_seg") == F.col("_first_bad"), F.col("_entry"))).over(w_key))
+    joined = rows.join(segs.select("api_key", "_seg", "_entry", "_first_bad", "_opening"), ["api_key", "_seg"])
+    in_fast = F.col("_first_bad").isNull() | (F.col("_seg") < F.col("_first_bad"))
+    fast = joined.where(in_fast).select(
+        *_USAGE_COLS, F.lit(True).alias("admitted"),
+        (F.col("_entry") + F.col("_p") + F.col("_d")).alias("balance_after"))
+    tail = joined.where(~in_fast).select(*_USAGE_COLS, "_opening")
+    return fast.unionByName(_sequential(tail, opening, num_partitions))
+
+
+def admission(usage: DataFrame, opening: int = derived.FREE_CREDITS, num_partitions: int | None = None,
+              segment: str = "minute", hot_key_rows: int | None = None) -> DataFrame:
     """Sequential admission: a call is admitted iff the balance covers its cost;
     a refused call costs nothing, so this is a fold, not a running sum.
 
-    Plan: hash-partition by key, sort within partitions (external sort, spills)
-    and stream each partition through one Arrow-batched fold. No per-key arrays
-    are collected, so a hot key never has to fit in memory.
+    Keys are split by size with one partial aggregate of per-key counts (when
+    no key is hot, the plan is just the sequential pass):
+    ordinary keys go straight to the sequential fold (hash-partition by key,
+    sort within partitions, Arrow-batched fold carrying one integer — never a
+    collected per-key array); keys with at least ``hot_key_rows`` events take
+    the segmented path (:func:`_segmented`), which resolves every stretch where
+    the key stays funded in parallel.
     """
     ship_package(usage.sparkSession)
-    cols = ["api_key", "event_id", "ts", "kind", "cost", "credits"]
-    parts = (usage.select(*cols).repartition(num_partitions, "api_key") if num_partitions
-             else usage.select(*cols).repartition("api_key"))
-    ordered = parts.sortWithinPartitions("api_key", "ts", "event_id")
-    return ordered.mapInPandas(lambda it: _admit_partition(it, opening), ADMISSION_SCHEMA)
+    threshold = hot_key_rows or HOT_KEY_ROWS
+    rows = usage.select(*_USAGE_COLS)
+    counts = rows.groupBy("api_key").agg(F.count(F.lit(1)).alias("_n"))
+    if not counts.where(F.col("_n") >= threshold).take(1):  # no hot key: one plain pass
+        return _sequential(rows, opening, num_partitions)
+    tagged = rows.join(counts, "api_key")
+    light = tagged.where(F.col("_n") < threshold).select(*_USAGE_COLS)
+    heavy = tagged.where(F.col("_n") >= threshold).select(*_USAGE_COLS)
+    return _sequential(light, opening, num_partitions).unionByName(
+        _segmented(heavy, opening, num_partitions, segment))
 
 
 def admission_summary(admitted: DataFrame) -> DataFrame:

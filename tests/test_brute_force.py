@@ -138,3 +138,44 @@ def test_tfidf_search_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(search, "MAX_QUERY_BROADCAST_BYTES", 20_000)  # forces many passes
     many = textsearch.tfidf_search(docs, bench, k=3).orderBy("query_id", "rank").collect()
     assert one == many and len(one) == 3 * bench.count()
+
+
+def test_admission_fast_path_and_tail_match_fold(spark):
+    """Per-event outcomes for a well-funded hot key (parallel path), a poor key
+    and a key that runs dry midway (sequential tail) equal a plain fold."""
+    import random
+    rnd = random.Random(7)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, eid = [], 0
+    for key, buy_p, buy_amt in (("rich", 0.2, 50), ("poor", 0.05, 3), ("mixed", 0.15, 20)):
+        for i in range(1500):
+            eid += 1
+            ts = t0 + dt.timedelta(seconds=17 * i + rnd.randint(0, 5))
+            if key == "mixed" and 500 <= i < 900:
+                p = 0.0  # runs dry in the middle
+            else:
+                p = buy_p
+            if rnd.random() < p:
+                rows.append((key, eid, ts, "purchase", 0, rnd.randint(1, buy_amt)))
+            else:
+                rows.append((key, eid, ts, rnd.choice(["call", "call", "failed_call"]), rnd.randint(0, 3), 0))
+    usage = spark.createDataFrame(rows, "api_key string, event_id long, ts timestamp_ntz, kind string, cost int, credits int")
+    got = {r.event_id: (r.admitted, r.balance_after)
+           for r in ledger.admission(usage, num_partitions=2, hot_key_rows=100).collect()}  # all keys "hot"
+    want, bal = {}, {}
+    for key, e, ts, kind, cost, cr in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        b = bal.get(key, derived.FREE_CREDITS)
+        if kind == "purchase":
+            b += cr
+            ok = True
+        elif b >= cost:
+            b -= cost if kind == "call" else 0
+            ok = True
+        else:
+            ok = False
+        bal[key] = b
+        want[e] = (ok, b)
+    assert got == want
+    assert not all(ok for ok, _ in want.values())  # refusals happen
+    plain = {r.event_id: (r.admitted, r.balance_after) for r in ledger.admission(usage).collect()}
+    assert plain == want
