@@ -50,7 +50,8 @@ def api_key(user: Column) -> Column:
 
 def money_text(x: Column) -> Column:
     """Absolute amount as text with thousands separators and 2 decimals."""
-    cents = F.round(F.abs(x) * 100).cast("bigint")
+    # half-up on the non-negative double (same as SQL round() here, without BigDecimal)
+    cents = F.floor(F.abs(x) * 100 + 0.5).cast("bigint")
     whole = F.floor(cents / 100).cast("bigint")
     frac = F.lpad((cents % 100).cast("string"), 2, "0")
     millions = F.floor(whole / 1000000).cast("bigint")
