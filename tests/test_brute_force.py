@@ -179,3 +179,17 @@ def test_admission_fast_path_and_tail_match_fold(spark):
     assert not all(ok for ok, _ in want.values())  # refusals happen
     plain = {r.event_id: (r.admitted, r.balance_after) for r in ledger.admission(usage).collect()}
     assert plain == want
+
+
+def test_dedup_with_a_hot_group(spark):
+    """A third of the rows are copies of one record: the survivor is still the
+    first copy, and the plan reduces the hot group map-side (partial_min)."""
+    from refinery.operators import dedup
+    rows = [(i, "same text" if i % 3 == 0 else f"text {i}", "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    out = dedup.deduplicate(df, order_by="doc_id")
+    got = {r.text: r.doc_id for r in out.collect()}
+    assert len(got) == 2001 and got["same text"] == 0
+    assert "partial_min" in out._jdf.queryExecution().executedPlan().toString()
+    rep = dedup.dedup_report(df, order_by="doc_id").first()
+    assert (rep.records_in, rep.records_out, rep.duplicates_removed) == (3000, 2001, 999)
