@@ -90,3 +90,14 @@ def test_low_balance_alerts_via_foreach_batch(spark, scratch):
     else:
         seen = set()
     assert final <= seen
+
+
+def test_redact_stream_equals_batch(spark, scratch):
+    from refinery.operators import redact
+    doc = spark.read.parquet(SF_SMALL + "/documents.parquet").select("doc_id", "text", "source")
+    doc.coalesce(1).write.parquet(scratch + "/docs/part0")
+    _run(st.redact_stream(_stream(spark, scratch + "/docs", doc.schema), fields=[]), "redact_out")
+    got = spark.table("redact_out")
+    want = redact.redact(doc, fields=[], mode="all")
+    assert got.count() == doc.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
