@@ -341,6 +341,12 @@ SELECT 'except', COUNT(*) FROM (SELECT c_custkey FROM customer WHERE c_mktsegmen
 SELECT c.table_name, c.row_count, CAST(n.n_columns AS INTEGER) AS n_columns
 FROM counts c JOIN (SELECT table_name, COUNT(*) AS n_columns FROM cols GROUP BY table_name) n USING (table_name)
 ORDER BY c.table_name LIMIT 20""",
+    "source_health": f"""WITH counts AS ({' UNION ALL '.join(
+        f"SELECT COUNT(*) AS n FROM {t}" for t in _TABLE_LIST.replace("'", "").split(", "))})
+SELECT 'testdata' AS source, true AS connected,
+       'Connected. 14 tables, ' || CAST(SUM(n) AS VARCHAR) || ' records total.' AS message,
+       ['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier'] AS sample_tables
+FROM counts""",
     "source_schema": f"WITH {COLUMNS} SELECT table_name, ordinal, column_name, data_type FROM cols",
     "schema_text": f"""WITH {COLUMNS}
 SELECT table_name, string_agg(column_name || ' (' || data_type || ')', ', ' ORDER BY ordinal) AS schema_text

@@ -17,7 +17,7 @@ def con():
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"source_health", "search_text_tfidf", "search_ann_recall", "context_pack_ranked"}
+    assert rows_only == {"search_text_tfidf", "search_ann_recall", "context_pack_ranked"}
 
 
 @pytest.mark.parametrize("key", KEYS)
