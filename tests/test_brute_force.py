@@ -193,3 +193,13 @@ def test_dedup_with_a_hot_group(spark):
     assert "partial_min" in out._jdf.queryExecution().executedPlan().toString()
     rep = dedup.dedup_report(df, order_by="doc_id").first()
     assert (rep.records_in, rep.records_out, rep.duplicates_removed) == (3000, 2001, 999)
+
+
+def test_profile_approx_distinct_close_to_exact(spark):
+    from refinery.operators import profile
+    li = spark.read.parquet(SF_SMALL + "/lineitem.parquet")
+    exact = {r.column_name: r.n_distinct for r in profile.profile(li, "lineitem").collect()}
+    approx = {r.column_name: r.n_distinct for r in profile.profile(li, "lineitem", exact_distinct=False).collect()}
+    assert exact.keys() == approx.keys()
+    for c, n in exact.items():
+        assert abs(approx[c] - n) <= max(2, 0.1 * n), (c, n, approx[c])
