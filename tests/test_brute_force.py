@@ -203,3 +203,24 @@ def test_profile_approx_distinct_close_to_exact(spark):
     assert exact.keys() == approx.keys()
     for c, n in exact.items():
         assert abs(approx[c] - n) <= max(2, 0.1 * n), (c, n, approx[c])
+
+
+def test_funded_hot_key_never_reaches_the_sequential_fold(spark, monkeypatch):
+    """A hot key whose balance always covers its calls is resolved entirely by
+    the parallel segment path: the sequential fold receives none of its rows."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("rich", i, t0 + dt.timedelta(seconds=7 * i), "purchase" if i % 5 == 0 else "call",
+             0 if i % 5 == 0 else 2, 20 if i % 5 == 0 else 0) for i in range(5000)]
+    usage = spark.createDataFrame(rows, "api_key string, event_id long, ts timestamp_ntz, kind string, cost int, credits int")
+    seen = []
+    real = ledger._sequential
+
+    def spy(df, opening, n):
+        seen.append(df)
+        return real(df, opening, n)
+
+    monkeypatch.setattr(ledger, "_sequential", spy)
+    out = ledger.admission(usage, hot_key_rows=1000)
+    assert out.where("admitted").count() == 5000
+    # seen[0] = light keys (none), seen[1] = tail of the hot key
+    assert [d.count() for d in seen] == [0, 0]
