@@ -62,6 +62,17 @@ def history(ledger: DataFrame, n: int = 50) -> DataFrame:
         .select("api_key", "pos", "id", "delta", "reason", "created_at")
 
 
+def check_balance(ledger: DataFrame, agents: DataFrame, n: int = 10) -> DataFrame:
+    """credits.check_balance for every key at once: balance, plan and the newest
+    ``n`` ledger rows as text ("delta reason" entries, newest first). The list
+    is built from the WindowGroupLimit top-n, so it holds at most n rows per key."""
+    recent = history(ledger, n)
+    entry = F.struct(F.col("pos"), F.format_string("%+d %s", "delta", "reason").alias("e"))
+    hist = recent.groupBy("api_key").agg(F.sort_array(F.collect_list(entry)).alias("_h")) \
+        .select("api_key", F.concat_ws("; ", F.transform("_h", lambda x: x["e"])).alias("recent_history"))
+    return balances_with_plan(ledger, agents).join(hist, "api_key", "left")
+
+
 def low_balance_alerts(ledger: DataFrame, subscriptions: DataFrame, threshold: int = LOW_BALANCE) -> DataFrame:
     """Keys whose balance is <= threshold joined to their subscriptions that ask
     for 'low_balance'; the key is masked to its first 8 characters."""

@@ -480,6 +480,14 @@ FROM ledger"""),
 SELECT api_key, pos, id, delta, reason, created_at FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY api_key ORDER BY created_at DESC, id DESC) AS INTEGER) AS pos FROM ledger)
 WHERE pos <= 50"""),
+    "credit_check_balance": f"""WITH {LEDGER}, {AGENTS},
+b AS (SELECT api_key, CAST(COALESCE(SUM(delta), 0) AS BIGINT) AS balance FROM ledger GROUP BY api_key),
+h AS (SELECT api_key, string_agg(CASE WHEN delta >= 0 THEN '+' ELSE '-' END || CAST(abs(delta) AS VARCHAR) || ' ' || reason,
+                                 '; ' ORDER BY pos) AS recent_history
+      FROM (SELECT *, row_number() OVER (PARTITION BY api_key ORDER BY created_at DESC, id DESC) AS pos FROM ledger)
+      WHERE pos <= 10 GROUP BY api_key)
+SELECT b.api_key, b.balance, COALESCE(a.plan, 'free') AS plan, h.recent_history
+FROM b LEFT JOIN agents a USING (api_key) LEFT JOIN h USING (api_key)""",
     "low_balance_alerts": f"""WITH {LEDGER}, {SUBSCRIPTIONS},
 b AS (SELECT api_key, CAST(COALESCE(SUM(delta), 0) AS BIGINT) AS balance FROM ledger GROUP BY api_key)
 SELECT substr(b.api_key, 1, 8) || '...' AS api_key_masked, b.balance, s.url, 'low_balance' AS event

@@ -421,6 +421,10 @@ def q_credit_history_topn(spark, d):
     return ledger.history(derived.ledger(spark, d), n=50)
 
 
+def q_credit_check_balance(spark, d):
+    return ledger.check_balance(derived.ledger(spark, d), derived.agents(spark, d), n=10)
+
+
 def q_low_balance_alerts(spark, d):
     return ledger.low_balance_alerts(derived.ledger(spark, d), derived.subscriptions(spark, d))
 
@@ -530,6 +534,7 @@ QUERIES: dict[str, Query] = {
     "credit_balance_plan": q_credit_balance_plan,
     "credit_running_balance": q_credit_running_balance,
     "credit_history_topn": q_credit_history_topn,
+    "credit_check_balance": q_credit_check_balance,
     "low_balance_alerts": q_low_balance_alerts,
     "usage_cost_rollup": q_usage_cost_rollup,
     "credit_reason_rollup": q_credit_reason_rollup,
