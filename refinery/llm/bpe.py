@@ -342,6 +342,11 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary) and decoded (binary) of every row."""
+    return decode(encode(docs, ranks_path, pattern), ranks_path)
+
+
 def tokenizer(spark: SparkSession) -> tuple[str, str]:
     """Path of the ranks and the pattern: ``spark.refinery.bpe.ranks`` if set,
     else the public multilingual vocabulary."""

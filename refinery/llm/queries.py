@@ -6,19 +6,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refinery.llm import bpe
+from refinery.llm import bpe, decontam, langid, license, minhash, multi_index, rules, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, with spans of mixed-language text."""
+    return langid.predictions(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair that leaks."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by 20-word windows that occur earlier, removed from every document."""
+    return substring.digests(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a sparse rule ensemble."""
+    return rules.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and their decoding for every document, as digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"), *bpe.tokenizer(spark))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents (3-word shingles, Jaccard 0.85)."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of every document."""
+    return license.labels(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_decontam": op2_decontam,
+    "op3_substring": op3_substring,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
+    "op8_embeddings": op8_embeddings,
+    "op9_minhash": op9_minhash,
+    "op10_license": op10_license,
 }
+
+#: None of these can be said in SQL with the method's own results; tests hold them
+#: against brute force, exact round trips or held-out labels.
 ORACLE: dict[str, str] = {}
