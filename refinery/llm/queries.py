@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refinery.llm import bpe, decontam, langid, license, minhash, multi_index, rules, substring, warc
+from refinery.llm import bpe, decontam, langid, license, minhash, multi_index, rules, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by compression distance."""
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a sparse rule ensemble."""
     return rules.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_decontam": op2_decontam,
     "op3_substring": op3_substring,
+    "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
