@@ -11,8 +11,8 @@ A text is cut into windows of ``WINDOW`` words. A window is compressed with eith
 dictionary, and the difference of the lengths is its distance: where only the toxic
 dictionary matches, the toxic one is shorter. Dictionaries and windows share a
 leading mark, so that all windows are coded alike and short ones are not stored.
-The distances of a document (largest, mean of the three largest, mean, and the
-number of windows over ``FAR``) are calibrated to a probability by a logistic fit.
+A document's three largest distances are compared with a row of thresholds each,
+whose weights a logistic fit calibrates to a probability.
 
 Labelled rows are read up to ``SAMPLE`` of each label, by a hash of the id; all
 texts are scored whole.
@@ -38,10 +38,12 @@ from refinery.llm.minhash import shingle_hashes
 from refinery.llm.store import in_tasks, saved
 from refinery.llm.textbatch import Words, pieces, utf8
 
-SAMPLE, WINDOW, FAR = 8_000, 8, 3
+SAMPLE, WINDOW = 8_000, 8
 COMMON, SPECIFIC = 1500, 1500  # bytes of a dictionary
-SURE, ODDS = 3.0, 1.5  # standard errors, and the least log-odds, of a marking word
-FEATURES = ("largest", "top3", "average", "far")
+SURE, ODDS = 3.0, 2.0  # standard errors, and the least log-odds, of a marking word
+FEATURES = ("first", "second", "third")
+#: Thresholds of the largest, second and third distance of a document, in bytes.
+STEPS = {"first": range(2, 11), "second": range(2, 8), "third": range(2, 8)}
 
 #: Letters and the bytes of non-ASCII characters, in lower case; everything else separates.
 _LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -52,7 +54,7 @@ def _compressor(content: bytes):
     import zstandard
 
     params = zstandard.ZstdCompressionParameters(
-        window_log=13, hash_log=12, chain_log=12, search_log=4, min_match=5, target_length=0,
+        window_log=13, hash_log=12, chain_log=12, search_log=4, min_match=6, target_length=0,
         strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
     trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     trained.precompute_compress(compression_params=params)
@@ -101,8 +103,8 @@ def _distances(dictionaries: Dictionaries):
                 for at in range(0, len(words), WINDOW):
                     window = _MARK + b" " + b" ".join(words[at:at + WINDOW]) + b" "
                     d.append(len(ordinary(window)) - len(toxic(window)))
-                d = np.sort(np.array(d))[::-1]
-                rows[i] = d[0], d[:3].sum() / 3, d.mean(), (d >= FAR).sum()
+                d = sorted(d, reverse=True)[:len(FEATURES)]
+                rows[i, :len(d)] = d
             yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names) if n != "text"),
                                               *(pa.array(rows[:, j]) for j in range(len(FEATURES)))],
                                              names=[*(n for n in batch.schema.names if n != "text"), *FEATURES])
@@ -167,13 +169,14 @@ def _calibrated(rows: DataFrame) -> Column:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    rows = rows.select("label", "weight", F.log1p("far").alias("far"), *(f for f in FEATURES if f != "far"))
-    x = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows)
-    fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1e-4,
-                             maxIter=50).fit(x)
+    passed = {f"{f}_{t}": (F.col(f) >= t).cast("double") for f, steps in STEPS.items() for t in steps}
+    rows = rows.select("label", "weight", *(c.alias(name) for name, c in passed.items()))
+    x = VectorAssembler(inputCols=list(passed), outputCol="x").transform(rows)
+    fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1e-3, maxIter=50,
+                             standardization=False).fit(x)
     score = F.lit(float(fit.intercept))
-    for name, w in zip(FEATURES, fit.coefficients):
-        score = score + float(w) * (F.log1p(name) if name == "far" else F.col(name))
+    for c, w in zip(passed.values(), fit.coefficients):
+        score = score + float(w) * c
     return 1.0 / (1.0 + F.exp(-score))
 
 

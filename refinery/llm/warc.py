@@ -30,7 +30,6 @@ import urllib.parse
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +100,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     refers = F.when(F.col("first") == F.col("page_id"), F.lit(None)).otherwise(F.col("first"))
     records = rows.join(first, "sha", "left").select("page_id", "url", "payload", refers.cast("long").alias("refers_to"))
     in_tasks(records, _encode(date), "record binary").select(F.col("record").cast("string").alias("value")) \
-        .write.text(path, lineSep=CLOSING.decode("latin-1"), encoding="ISO-8859-1")
+        .write.option("encoding", "ISO-8859-1").option("lineSep", CLOSING.decode("latin-1")).text(path)
 
 
 def parse(data: bytes) -> dict | None:
@@ -231,13 +230,13 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives under ``path``: page_id, url, record_type, refers_to,
     payload (null for revisits), payload_bytes and payload_digest of the full payload."""
-    lines = spark.read.text(path, lineSep=MAGIC.decode("latin-1"), encoding="ISO-8859-1").select(
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path).select(
         F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"))
     found = in_tasks(lines, _scan, _DDL)
     names = [n for n, _ in _FIELDS]
     split = found.where("fragment is not null").select("file", "start", "seq", "fragment")
-    order = F.when(F.col("seq") < 0, F.lit(np.iinfo(np.int64).max.item())).otherwise(F.col("seq"))
+    order = F.when(F.col("seq") < 0, F.lit((1 << 63) - 1)).otherwise(F.col("seq"))
     joined = in_tasks(split.repartition("file").sortWithinPartitions("file", "start", order), _stitch, RECORD_DDL)
     return found.where("fragment is null").select(*names).unionByName(joined)
 
