@@ -41,6 +41,7 @@ from refinery.llm.textbatch import Words, pieces, utf8
 SAMPLE, WINDOW = 8_000, 8
 COMMON, SPECIFIC = 1500, 1500  # bytes of a dictionary
 SURE, ODDS = 3.0, 2.0  # standard errors, and the least log-odds, of a marking word
+LEAST_END, END_SHARE = 4, 0.001  # of toxic words that occur in ordinary ones: letters, share of documents
 FEATURES = ("first", "second", "third")
 #: Thresholds of the largest, second and third distance of a document, in bytes.
 STEPS = {"first": range(2, 11), "second": range(2, 8), "third": range(2, 8)}
@@ -160,8 +161,27 @@ def train(sample: DataFrame) -> Dictionaries:
         found = word.where(condition).orderBy(order.desc(), "word").limit(400).collect()
         return [r["word"].encode() for r in found]
 
+    toxic = best(F.col("t"), f"t >= {ODDS}")
+    ends = [e.encode() for e in _ordinary_ends(word, toxic, n0)]
     return Dictionaries.of(best(F.col("a") / n1 + F.col("b") / n0, f"t < {ODDS} and o < {ODDS}"),
-                           best(F.col("t"), f"t >= {ODDS}"), best(F.col("o"), f"o >= {ODDS}"))
+                           toxic, ends + best(F.col("o"), f"o >= {ODDS}"))
+
+
+def _ordinary_ends(word: DataFrame, toxic: list[bytes], documents: int) -> list[str]:
+    """Beginnings and ends of toxic words that ordinary words have as well. In the
+    ordinary dictionary they keep such words from looking toxic."""
+    ends = {kind + part for w in (t.decode("utf8", "replace") for t in toxic) for k in range(LEAST_END, len(w))
+            for kind, part in (("<", w[:k]), (">", w[-k:]))}
+    if not ends:
+        return []
+    sizes = F.sequence(F.lit(LEAST_END), F.least(F.length("word") - 1, F.lit(max(map(len, ends)))))
+    parts = F.concat(F.transform(sizes, lambda k: F.concat(F.lit("<"), F.substring("word", F.lit(1), k))),
+                     F.transform(sizes, lambda k: F.concat(F.lit(">"), F.substring("word", -k, k))))
+    wanted = word.sparkSession.createDataFrame([(e,) for e in sorted(ends)], "part string")
+    found = word.where(F.length("word") > LEAST_END).select(F.explode(parts).alias("part"), "b").join(wanted, "part") \
+        .groupBy("part").agg(F.sum(F.col("b") - 0.5).alias("n")).where(F.col("n") >= max(3, documents * END_SHARE)) \
+        .orderBy(F.desc("n"), "part").collect()
+    return [r["part"][1:] for r in found]
 
 
 def _calibrated(rows: DataFrame) -> Column:
