@@ -50,8 +50,10 @@ def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and the text they decode to."""
-    return bpe.encoded(docs, *bpe.tokenizer(spark))
+    """Token ids (little-endian unsigned 32-bit numbers) of every document and the
+    text they decode to."""
+    return bpe.encoded(docs, *bpe.tokenizer(spark)).select(
+        "doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [

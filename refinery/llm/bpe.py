@@ -35,7 +35,7 @@ from refinery.llm.store import in_tasks
 from refinery.llm.textbatch import pieces, ragged, utf8
 
 #: White space as the tokenizer's pattern has it (Unicode White_Space). Fixed values.
-_WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text where no pre-token can run across: before single spaces and around
 #: runs of white space. Each piece is then matched by the real pattern, once.
 _CUT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
