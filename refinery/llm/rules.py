@@ -57,8 +57,13 @@ def _per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    _, first = np.unique(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-    return np.bincount(doc[first], minlength=docs)
+    """Distinct values of ``h`` in each document (``doc`` ascending)."""
+    out = np.zeros(docs, np.int64)
+    edge = np.searchsorted(doc, np.arange(docs + 1))
+    for i in np.flatnonzero(np.diff(edge)):
+        own = np.sort(h[edge[i]:edge[i + 1]])
+        out[i] = 1 + (own[1:] != own[:-1]).sum()
+    return out
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
