@@ -174,16 +174,21 @@ class _Block:
         for i, piece in enumerate(self.cut):
             found = pattern.findall(piece)
             size[i] = len(found)
-            sub += map(words.__getitem__, found)
-        sub = np.array(sub, np.int64)
+            sub.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+        self.cut = None
+        sub = np.concatenate(sub) if sub else np.zeros(0, np.int32)
         cut_at = np.concatenate(self.at) if self.at else np.zeros(0, np.int32)
-        each = size[cut_at]
+        self.at = None
+        each = size[cut_at].astype(np.int32)
         seq = sub[ragged((np.cumsum(size) - size)[cut_at], each)]
+        del sub, cut_at
         per_doc = np.add.reduceat(np.append(each, 0), np.cumsum([0, *self.counts[:-1]])) * (np.array(self.counts) > 0)
-        rank = np.empty(len(words), np.int64)  # frequent words get small numbers
+        del each
+        rank = np.empty(len(words), np.int32)  # frequent words get small numbers
         order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
         rank[order] = np.arange(len(words))
         raw = [w.encode() for w in words]
+        del words
         part = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % parts
         by_part = np.lexsort((rank, part))
         ends = np.searchsorted(part[by_part], np.arange(parts + 1))
