@@ -1,12 +1,15 @@
 """Query routing (natural language vs SQL) and the read-only guard.
 
-Both exist twice: as Column expressions, so a whole query log can be audited
-as a Spark job, and as plain functions used at plan time before ``spark.sql``.
+For logs there are Column expressions (first word only). Before a text is run,
+``require_read_only`` looks at Spark's own parse of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from py4j.java_gateway import JavaObject, is_instance_of
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values (must match the reference): a query whose first word (lower-cased)
@@ -34,15 +37,55 @@ def forbidden_word_col(q: Column) -> Column:
     return F.when(w.isin(*FORBIDDEN), w)
 
 
+_STARTS_SQL = re.compile(rf"\s*(?:{'|'.join(SQL_KEYWORDS)})(?!\S)", re.IGNORECASE)
+
+
 def is_natural_language(query: str) -> bool:
-    words = query.split()
-    return (words[0].lower() if words else "") not in SQL_KEYWORDS
+    return _STARTS_SQL.match(query) is None
+
+
+# Commands that only look (names of Spark's plan nodes).
+_LOOKING = ("ExplainCommand", "ShowTables", "ShowColumns", "ShowNamespaces", "ShowFunctions", "ShowTablesCommand",
+            "ShowColumnsCommand", "DescribeRelation", "DescribeColumn", "DescribeQueryCommand", "DescribeTableCommand")
+
+
+class NotReadOnly(ValueError):
+    """The text would change something."""
+
+
+def parsed(spark: SparkSession, sql: str) -> JavaObject:
+    """Spark's plan of ``sql`` before analysis; nothing is executed."""
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+
+
+def _nodes(plan: JavaObject):
+    yield plan
+    for children in (plan.children(), plan.innerChildren()):
+        for i in range(children.length()):
+            child = children.apply(i)
+            if hasattr(child, "children"):
+                yield from _nodes(child)
+
 
+def require_read_only(spark: SparkSession, sql: str) -> JavaObject:
+    """The parsed plan of ``sql``; NotReadOnly if any node of it is a command or a
+    statement that writes, wherever it stands (behind comments, in a WITH, as
+    CREATE TABLE AS SELECT, in a script)."""
+    plan = parsed(spark, sql)
+    gateway = spark.sparkContext._gateway
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    for node in _nodes(plan):
+        name = node.getClass().getSimpleName()
+        if name in _LOOKING:
+            break  # what it looks at is not run
+        if name.startswith("Insert") or any(is_instance_of(gateway, node, logical + kind)
+                                            for kind in ("Command", "ParsedStatement")):
+            raise NotReadOnly(f"only reading queries may run here; the text holds {name}")
+    return plan
 
-def check_read_only(sql: str) -> None:
-    """Raise ValueError for DDL/DML; applied on every path (NL and SQL)."""
-    words = sql.strip().upper().split()
-    head = words[0] if words else ""
-    if head in FORBIDDEN:
-        raise ValueError(f"Forbidden SQL statement: {head}. Only SELECT queries are allowed.")
 
+def has_limit(plan: JavaObject) -> bool:
+    """Does the query itself say how many rows it wants?"""
+    while plan.getClass().getSimpleName() in ("UnresolvedWith", "WithCTE", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit")

@@ -181,9 +181,17 @@ def round2(x: Column) -> Column:
     k = k.cast("long")
     cents = (F.when(side > 0, k + 1).when(side < 0, k)
               .otherwise(F.when(k % 2 == 0, k).otherwise(k + 1)))
+    # From 9e12 on a double has few enough binary places for an exact fraction.
+    whole = F.floor(a).cast("double")
+    part = (a - whole) * F.lit(100.0)
+    low = F.floor(part)
+    up = (part - low > 0.5) | ((part - low == 0.5) & (low % 2 == 1))
+    large = whole + (low + up.cast("long")).cast("double") / F.lit(100.0)
+    large = F.when(x < 0, -large).otherwise(large)
     exact_tie = F.when(x < 0, -(cents.cast("double") / F.lit(100.0))).otherwise(cents.cast("double") / F.lit(100.0))
     return F.when(x.isNull(), F.lit(None).cast("double")) \
             .when(F.isnan(x) | (a == F.lit(float("inf"))), x) \
+            .when(a >= F.lit(float(2 ** 52)), x).when(a >= F.lit(9.0e12), large) \
             .when(tie, exact_tie).otherwise(F.round(x, 2))
 
 
@@ -230,21 +238,20 @@ def detect_rule(field: str) -> str | None:
     return None
 
 
-# A float's Python str() round-trips to the same text iff the text is already in
-# repr form; for values below 1e16 that form is the pattern below.
+# The text of a float below 1e16 in shortest form: no exponent, no spare digits.
 _FLOAT_REPR_RE = r"^-?(0|[1-9][0-9]*)\.([0-9]*[1-9]|0)$"
 
 
 def currency_changed(original: Column, dtype: str, new: Column | None = None) -> Column:
     """``str(parse_currency(v)) != str(v)`` for a non-empty value."""
-    if dtype in ("string",):
-        new = parse_currency(original) if new is None else new
-        same = original.rlike(_FLOAT_REPR_RE) & (original.try_cast("double") == new) \
-            & (F.length(F.regexp_extract(original, r"\.([0-9]*)$", 1)) <= 2)
-        return ~same
     if dtype in ("double", "float"):
         return round2(original) != original
-    if dtype.startswith("decimal"):
-        return F.lit(True)
+    if dtype == "string" or dtype.startswith("decimal"):
+        text = original.cast("string")
+        new = parse_currency(text) if new is None else new
+        exact = "decimal(38,18)"  # digits compared as digits, so 17 of them do not pass for 16
+        same = text.rlike(_FLOAT_REPR_RE) & (F.abs(new) < F.lit(1e16)) \
+            & (text.try_cast(exact) == new.try_cast(exact))
+        return ~F.coalesce(same, F.lit(False))
     # ints print without ".0" so they always change
     return F.lit(True)

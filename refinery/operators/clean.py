@@ -42,8 +42,9 @@ def _clean_column(c: Column, stripped: Column, dtype: T.DataType, rule: str) ->
     default = tx.DEFAULTS.get(rule, "")
     fn = tx.currency_from_number if rule == "currency" else tx.RULES_ON_STRIPPED.get(rule)
     if fn is None:  # unknown rule: value kept, nulls still filled
-        base = c if isinstance(dtype, T.StringType) else c.cast("string")
-        return F.when(empty, F.lit(default)).otherwise(base), empty, F.lit(False)
+        if not isinstance(dtype, T.StringType):  # a default text would change the column's type
+            return c, F.lit(False), F.lit(False)
+        return F.when(empty, F.lit(default)).otherwise(c), empty, F.lit(False)
     new = fn(stripped)
     if rule == "currency":
         changed = tx.currency_changed(c, dtype.simpleString(), new)

@@ -8,6 +8,8 @@ per context (a context holds a handful of chunks).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,26 +76,46 @@ def pack(chunks: DataFrame, context_col: str, order_cols: list[str], budget: int
                .drop("_tok", "_before")
 
 
-def totals(chunks: DataFrame, packed: DataFrame, context_col: str) -> DataFrame:
+def totals(chunks: DataFrame, context_col: str, order_cols: list[str], budget: int = DEFAULT_BUDGET) -> DataFrame:
     """Per context: chunk count, character total and the len//4 estimate before
-    packing, plus tokens and chunks after packing."""
-    before = chunks.groupBy(context_col).agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).cast("bigint").alias("total_chars"))
-    before = before.withColumn("tokens_estimate", F.floor(F.col("total_chars") / CHARS_PER_TOKEN).cast("bigint"))
-    after = packed.groupBy(context_col).agg(F.count(F.lit(1)).alias("n_packed"),
-                                           F.sum("tokens").cast("bigint").alias("packed_tokens"))
-    return before.join(after, context_col, "left")
-
-
-def rank_chunks(chunks: DataFrame, query: str | None) -> DataFrame:
-    """Relevance per chunk: TF-IDF cosine similarity to ``query``; without a
-    query every chunk keeps relevance 1.0. Pack with order
-    ``relevance_score desc`` so the most relevant chunks fit the budget first."""
-    if not query:
+    packing, plus tokens and chunks after packing, from one pass over the chunks."""
+    size = F.length("content")
+    tok = F.floor(size / CHARS_PER_TOKEN).cast("bigint")
+    w = Window.partitionBy(context_col).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    c = chunks.select(context_col, size.alias("_size"), tok.alias("_tok"), F.coalesce(F.sum(tok).over(w), F.lit(0)).alias("_before"))
+    kept = F.col("_before") < budget
+    out = c.groupBy(context_col).agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum("_size").cast("bigint").alias("total_chars"),
+        F.count(F.when(kept, 1)).alias("n_packed"),
+        F.sum(F.when(kept, F.least(F.col("_tok"), F.lit(budget) - F.col("_before")))).cast("bigint").alias("packed_tokens"))
+    return out.select(context_col, "n_chunks", "total_chars",
+                      F.floor(F.col("total_chars") / CHARS_PER_TOKEN).cast("bigint").alias("tokens_estimate"),
+                      "n_packed", "packed_tokens")
+
+
+def union_chunks(tables: dict[str, DataFrame], source: str, order_cols: dict[str, str],
+                 rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Chunks of several tables of one source, each with the schema line of its own
+    table; ``table_pos`` follows the names. ``order_cols`` names each table's order."""
+    parts = []
+    for pos, name in enumerate(sorted(tables), 1):
+        df = tables[name]
+        rows = df.withColumn("_source", F.lit(source)).withColumn("_table", F.lit(name))
+        chunk = build_chunks(rows, "_source", "_table", order_cols[name], df.columns, 1, rows_per_chunk)
+        parts.append(chunk.withColumn("table_pos", F.lit(pos)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def rank_chunks(chunks: DataFrame, queries: DataFrame | None, query_id: str = "item_id",
+                query_text: str = "text") -> DataFrame:
+    """Chunks once per query (``query_id``) with their TF-IDF relevance to it; without
+    queries the chunks as they are (relevance 1.0). Packed with ``relevance_score
+    desc`` the most relevant ones come first in the budget."""
+    if queries is None:
         return chunks
     from refinery.operators import textsearch
     keyed = chunks.withColumn("_chunk_id", F.concat_ws("\u0000", "source", "table_name"))
-    return textsearch.rank_by_text(keyed, "_chunk_id", "content", query).drop("_chunk_id")
+    return textsearch.rank_by_text(keyed, "_chunk_id", "content", queries, query_id, query_text).drop("_chunk_id")
 
 
 def to_contexts(packed: DataFrame, context_col: str, order_cols: list[str]) -> DataFrame:
@@ -109,9 +131,20 @@ def to_contexts(packed: DataFrame, context_col: str, order_cols: list[str]) -> D
                     "token_count")
 
 
+BUCKETS = 64  # folders of a context sink
+
+
+def _bucket(context_id):
+    return F.pmod(F.xxhash64(context_id), F.lit(BUCKETS)).cast("int")
+
+
 def write_contexts(contexts: DataFrame, path: str) -> None:
-    contexts.write.mode("append").parquet(path)
+    """Append, in folders by a hash of the context id, so that reading one context
+    lists and scans one folder."""
+    contexts.withColumn("bucket", _bucket(F.col("context_id").cast("string"))).write.mode("append") \
+        .partitionBy("bucket").parquet(path)
 
 
 def read_context(spark, path: str, context_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("context_id") == context_id)
+    bucket = spark.range(1).select(_bucket(F.lit(str(context_id))).alias("b")).first()["b"]
+    return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("context_id") == context_id)).drop("bucket")

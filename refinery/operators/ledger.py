@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refinery.plans import derived
+from refinery.constants import FREE_CREDITS, PER_CREDIT_USD
 from refinery.session import ship_package
 
 LOW_BALANCE = 5
@@ -111,7 +111,7 @@ def pricing(purchases: DataFrame, packs: DataFrame) -> DataFrame:
     p = purchases.join(F.broadcast(packs), "credits", "left")
     return p.select("event_id", "api_key", "credits",
                     F.coalesce(F.col("price_cents") / 100.0,
-                               F.round(F.col("credits") * derived.PER_CREDIT_USD, 2)).alias("price_usd"))
+                               F.round(F.col("credits") * PER_CREDIT_USD, 2)).alias("price_usd"))
 
 
 def settlements(payment_events: DataFrame) -> DataFrame:
@@ -211,12 +211,8 @@ def _sequential(rows: DataFrame, opening: int, num_partitions: int | None) -> Da
     return ordered.mapInPandas(lambda it: _admit_partition(it, opening), ADMISSION_SCHEMA)
 
 
-# Keys with at least this many events take the segmented parallel path.
-HOT_KEY_ROWS = 1_000_000
-
-
 def _segmented(rows: DataFrame, opening: int, num_partitions: int | None, segment: str) -> DataFrame:
-    """Exact parallel admission for hot keys.
+    """Exact admission, parallel while a key stays funded.
 
     Each key's events are cut into time segments; per segment, windows give the
     prefix of balance changes *if every call were admitted* and the entry
@@ -249,30 +245,40 @@ def _segmented(rows: DataFrame, opening: int, num_partitions: int | None, segmen
     return fast.unionByName(_sequential(tail, opening, num_partitions))
 
 
-def admission(usage: DataFrame, opening: int = derived.FREE_CREDITS, num_partitions: int | None = None,
-              segment: str = "minute", hot_key_rows: int | None = None) -> DataFrame:
+def admission(usage: DataFrame, opening: int = FREE_CREDITS, num_partitions: int | None = None,
+              segment: str = "minute") -> DataFrame:
     """Sequential admission: a call is admitted iff the balance covers its cost;
     a refused call costs nothing, so this is a fold, not a running sum.
 
-    Keys are split by size with one partial aggregate of per-key counts (when
-    no key is hot, the plan is just the sequential pass):
-    ordinary keys go straight to the sequential fold (hash-partition by key,
-    sort within partitions, Arrow-batched fold carrying one integer — never a
-    collected per-key array); keys with at least ``hot_key_rows`` events take
-    the segmented path (:func:`_segmented`), which resolves every stretch where
-    the key stays funded in parallel.
+    One method for all keys (:func:`_segmented`): per (key, segment) windows resolve
+    every stretch in which the key stays funded in parallel; what follows a key's
+    first under-funded segment is folded in order (hash-partition by key, sort
+    within partitions, Arrow batches, one integer of state).
     """
     ship_package(usage.sparkSession)
-    threshold = hot_key_rows or HOT_KEY_ROWS
-    rows = usage.select(*_USAGE_COLS)
-    counts = rows.groupBy("api_key").agg(F.count(F.lit(1)).alias("_n"))
-    if not counts.where(F.col("_n") >= threshold).take(1):  # no hot key: one plain pass
-        return _sequential(rows, opening, num_partitions)
-    tagged = rows.join(counts, "api_key")
-    light = tagged.where(F.col("_n") < threshold).select(*_USAGE_COLS)
-    heavy = tagged.where(F.col("_n") >= threshold).select(*_USAGE_COLS)
-    return _sequential(light, opening, num_partitions).unionByName(
-        _segmented(heavy, opening, num_partitions, segment))
+    return _segmented(usage.select(*_USAGE_COLS), opening, num_partitions, segment)
+
+
+def metered(admitted: DataFrame, opening: int = FREE_CREDITS) -> DataFrame:
+    """Ledger rows (id, api_key, delta, reason, created_at) of admitted usage: one
+    grant a key, purchases, charges of admitted calls, refunds of those that failed."""
+    charged = F.col("admitted") & (F.col("kind") != "purchase") & (F.col("cost") > 0)
+
+    def row(id_, delta, reason):
+        return F.struct(id_.cast("long").alias("id"), delta.cast("int").alias("delta"), F.lit(reason).alias("reason"))
+
+    even, odd = F.col("event_id") * 2, F.col("event_id") * 2 + 1
+    rows = F.array(
+        F.when(charged, row(even, -F.col("cost"), "tool_call")),
+        F.when(charged & (F.col("kind") == "failed_call"), row(odd, F.col("cost"), "refund_failed_operation")),
+        F.when(F.col("kind") == "purchase", row(even, F.col("credits"), "credit_purchase")))
+    moves = admitted.select("api_key", F.col("ts").alias("created_at"),
+                            F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")) \
+        .select("r.id", "api_key", "r.delta", "r.reason", "created_at")
+    grants = admitted.groupBy("api_key").agg(F.min("ts").alias("ts"), F.min("event_id").alias("e")).select(
+        (-(F.col("e") * 2) - 1).alias("id"), "api_key", F.lit(opening).alias("delta"),
+        F.lit("free_tier_signup").alias("reason"), (F.col("ts") - F.expr("INTERVAL 1 SECOND")).alias("created_at"))
+    return grants.unionByName(moves)
 
 
 def admission_summary(admitted: DataFrame) -> DataFrame:

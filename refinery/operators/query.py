@@ -21,13 +21,12 @@ def _check_limit(limit: int) -> int:
 
 def run_query(spark: SparkSession, query: str, mode: str = "auto", limit: int = 100,
               nl_to_sql: Callable[[str], str] | None = None) -> DataFrame:
-    """Route text to SQL, refuse DDL/DML, always cap the result at ``limit`` rows.
+    """Route text to SQL, refuse whatever changes something, and return at most
+    ``limit`` rows unless the query has a LIMIT of its own at the top.
 
-    Natural-language text needs an ``nl_to_sql`` translator (the reference calls a
-    remote model for this; none is bundled). The cap is applied with
-    ``DataFrame.limit`` rather than by splicing text, so a column named
-    ``credit_limit`` does not disable it; Spark plans the cap as a
-    (Take)OrderedAndProject / CollectLimit, pushed into scans where possible.
+    Natural-language text needs an ``nl_to_sql`` translator (none is bundled). The
+    cap looks at the parsed plan, so a column named ``credit_limit`` does not switch
+    it off; Spark plans it as a (Take)OrderedAndProject / CollectLimit.
     """
     limit = _check_limit(limit)
     if mode not in ("auto", "nlq", "sql"):
@@ -40,15 +39,16 @@ def run_query(spark: SparkSession, query: str, mode: str = "auto", limit: int =
     else:
         sql = query
     sql = sql.strip().rstrip(";")
-    sqlguard.check_read_only(sql)
-    return spark.sql(sql).limit(limit)
+    plan = sqlguard.require_read_only(spark, sql)
+    rows = spark.sql(sql)
+    return rows if sqlguard.has_limit(plan) else rows.limit(limit)
 
 
 def run_sql(spark: SparkSession, sql: str) -> DataFrame:
     """Batch/analytic entry point: the same read-only guard, no row cap (the
     result is meant to be written or aggregated, not returned to a caller)."""
     sql = sql.strip().rstrip(";")
-    sqlguard.check_read_only(sql)
+    sqlguard.require_read_only(spark, sql)
     return spark.sql(sql)
 
 

@@ -19,29 +19,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refinery.functions import vectors as vx
-from refinery.session import ship_package
+from refinery.session import cut_lineage, ship_package
 
 MAX_RESULTS = 100
 # Largest query matrix (bytes, float64) shipped to executors in one broadcast;
 # bigger query sets are processed in several passes of this size.
 MAX_QUERY_BROADCAST_BYTES = 64 * 1024 * 1024
+SCORE_BLOCK = 1 << 22  # numbers of a score matrix held at once
 
 
-def document_id(source_id, table, content):
-    """md5('source:table:content') — identical records of a table share an id."""
-    return F.md5(F.concat_ws(":", source_id, table, content))
+def document_id(source_id, table, record):
+    """md5 of 'source:table:record': identical records of a table share an id."""
+    return F.md5(F.concat_ws(":", source_id, table, record))
 
 
-def index_records(df: DataFrame, source_id: str, table: str, content_col: str,
-                  load_seq: int) -> DataFrame:
-    """Index rows of one load: (doc_id, source_id, table_name, content, load_seq)."""
-    return df.select(
-        document_id(F.lit(source_id) if isinstance(source_id, str) else source_id,
-                    F.lit(table), F.col(content_col)).alias("doc_id"),
-        (F.lit(source_id) if isinstance(source_id, str) else source_id).alias("source_id"),
-        F.lit(table).alias("table_name"),
-        F.col(content_col).alias("content"),
-        F.lit(load_seq).alias("load_seq"))
+def index_records(df: DataFrame, source_id, table: str, content_col: str, load_seq: int,
+                  record_cols: list[str] | None = None) -> DataFrame:
+    """Index rows of one load: (doc_id, source_id, table_name, content, load_seq). The
+    id covers the whole record (``record_cols``, default all columns) as JSON."""
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in record_cols or df.columns]), {"ignoreNullFields": "false"})
+    source = F.lit(source_id) if isinstance(source_id, str) else source_id
+    return df.select(document_id(source, F.lit(table), record).alias("doc_id"), source.alias("source_id"),
+                     F.lit(table).alias("table_name"), F.col(content_col).alias("content"), F.lit(load_seq).alias("load_seq"))
 
 
 def upsert(index: DataFrame, *loads: DataFrame) -> DataFrame:
@@ -59,6 +58,27 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").partitionBy("source_id").parquet(path)
 
 
+def _rewrite(index: DataFrame, path: str) -> None:
+    """Replace the folders of the sources in ``index``, and no others."""
+    cut_lineage(index).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("source_id").parquet(path)
+
+
+def upsert_stored(spark, path: str, load: DataFrame) -> None:
+    """Upsert a load into the index stored at ``path``; only the folders of the load's
+    sources are read and rewritten."""
+    stored = spark.read.schema(load.schema).parquet(path)
+    touched = stored.join(load.select("source_id").distinct(), "source_id", "left_semi").select(*load.columns)
+    _rewrite(upsert(touched, load), path)
+
+
+def delete_stored(spark, path: str, source_id: str) -> None:
+    """Remove a source from the stored index: its folder only."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        path, f"source_id={spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source_id)}")
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def delete_source(index: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
     """(index without the source's vectors, one-row count of what was removed)."""
     keep = index.where(~F.col("source_id").eqNullSafe(F.lit(source_id)))
@@ -88,35 +108,33 @@ def search_vector(corpus: DataFrame, query: list[float], k: int = 10, id_col: st
 
 def _local_topk(batches: Iterator[pd.DataFrame], qids: np.ndarray, qmat: np.ndarray, k: int,
                 id_col: str, vec_col: str, keep: list[str]) -> Iterator[pd.DataFrame]:
-    """Per corpus partition: scores for every query, keep the k best per query.
+    """Per corpus partition: the k best rows of every query, in blocks of rows and
+    queries whose score matrix holds at most ``SCORE_BLOCK`` numbers.
 
-    Candidates are kept under the same total order as the final answer
-    (rounded score desc, id asc), so merging partition top-k lists is exact.
+    Candidates are kept under the order of the final answer (rounded score desc,
+    id asc), so merging the partitions' lists is exact.
     """
     qnorm = np.linalg.norm(qmat, axis=1)
     best = None
+    step = max(1, min(len(qids), SCORE_BLOCK // 1024))
     for pdf in batches:
-        if pdf.empty:
-            continue
-        mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-        norms = np.linalg.norm(mat, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sims = (mat @ qmat.T) / np.outer(norms, qnorm)
-        sims = np.round(sims, 4)
-        ids = pdf[id_col].to_numpy()
-        rows = []
-        for j, qid in enumerate(qids):
-            s = sims[:, j]
-            ok = ~np.isnan(s)
-            order = np.lexsort((ids[ok], -s[ok]))[:k]
-            idx = np.flatnonzero(ok)[order]
-            part = pdf.iloc[idx][keep].copy()
-            part["query_id"] = qid
-            part["score"] = s[idx]
-            rows.append(part)
-        cand = pd.concat(rows, ignore_index=True) if rows else None
-        if cand is not None:
-            best = cand if best is None else pd.concat([best, cand], ignore_index=True)
+        for at in range(0, len(pdf), 1024):
+            rows = pdf.iloc[at:at + 1024]
+            mat = np.stack(rows[vec_col].to_numpy()).astype(np.float64)
+            norms = np.linalg.norm(mat, axis=1)
+            ids = rows[id_col].to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            parts = []
+            for q in range(0, len(qids), step):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sims = np.round((mat @ qmat[q:q + step].T) / np.outer(norms, qnorm[q:q + step]), 4)[by_id]
+                order = np.argsort(np.where(np.isnan(sims), np.inf, -sims), axis=0, kind="stable")[:k]
+                top = np.take_along_axis(sims, order, axis=0)
+                part = rows.iloc[by_id[order.T.ravel()]][keep].copy()
+                part["query_id"] = np.repeat(qids[q:q + step], len(order))
+                part["score"] = top.T.ravel()
+                parts.append(part[part["score"].notna()])
+            best = pd.concat(([best] if best is not None else []) + parts, ignore_index=True)
             best = best.sort_values(["query_id", "score", id_col], ascending=[True, False, True]) \
                        .groupby("query_id", sort=False).head(k)
     if best is not None:
@@ -129,8 +147,8 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     """Top-k per query for a bounded set of query vectors.
 
     The query set is collected only after a size check; beyond
-    ``MAX_QUERY_BROADCAST_BYTES`` it is split into several broadcast passes, so
-    the driver and each task hold at most one bounded slice.
+    ``MAX_QUERY_BROADCAST_BYTES`` it is split into several passes over the corpus,
+    whose broadcasts the driver holds together (a bounded set of queries).
     """
     _check_k(k)
     spark = corpus.sparkSession
@@ -138,6 +156,8 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     keep = list(keep or [c for c in corpus.columns if c != vec_col])
     if id_col not in keep:
         keep.insert(0, id_col)
+    if queries.groupBy(query_id_col).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{query_id_col} must be unique: results are told apart by it")
     dims = queries.select(F.max(F.size(query_vec_col)).alias("d"), F.count(F.lit(1)).alias("n")).first()
     n_q, dim = int(dims["n"] or 0), int(dims["d"] or 0)
     per_pass = max(1, MAX_QUERY_BROADCAST_BYTES // max(1, dim * 8))

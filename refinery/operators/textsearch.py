@@ -1,194 +1,134 @@
-"""Text -> vector search without a bundled embedding model.
-
-* ``tfidf_search``: Spark tokenises and hashes terms (JVM-side), document
-  frequencies come from one aggregate over (term id) — bounded by the hash
-  space, so the idf vector is safe to broadcast. Scoring runs per corpus
-  partition in ``mapInPandas`` against a broadcast, size-checked query matrix;
-  only k candidates per query and partition are shuffled.
-* ``ann_recall``: approximate nearest neighbours with MLlib's
-  BucketedRandomProjectionLSH on unit vectors (Euclidean order = cosine order),
-  reported as recall@k against the exact batch search.
+"""Text search without a bundled embedding model, as joins on real terms.
+
+* A term is a run of letters and digits, in lower case; its idf is
+  ln((n + 1) / (df + 1)) over the searched items.
+* Items and queries become (id, term, weight) rows with length-one weights. The
+  score of a pair is the sum of the products over shared terms: an equi-join on
+  the term and an aggregate per (query, item), no driver-side query set.
+* Approximate vector search hashes vectors by which of two exemplars they are
+  closer to, several such comparisons to a table, so buckets are the same in any
+  engine; candidates are joined on (table, bucket).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refinery.functions import vectors as vx
 from refinery.operators import search
-from refinery.session import cut_lineage, ship_package
-
-NUM_FEATURES = 1 << 18
-MAX_QUERY_TERMS = 2_000_000  # bound on (query, term) pairs shipped in one broadcast
-
-
-def term_ids(text_col: str, num_features: int = NUM_FEATURES):
-    """Lower-cased word tokens (Unicode-aware) hashed into ``num_features`` buckets."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"(?U)\W+"), lambda w: F.length(w) > 0)
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(num_features)))
-
-
-def idf_table(docs: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """(term id, idf) with idf = ln((n + 1) / (df + 1)) — MLlib's IDF formula."""
-    n_docs = docs.count()
-    df = docs.select(F.explode(F.array_distinct(ids_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.select("term", F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1)).alias("idf"))
-
-
-def _idf_vector(idf_df: DataFrame) -> np.ndarray:
-    """Dense idf vector; the table has at most NUM_FEATURES rows (Arrow transfer)."""
-    pdf = idf_df.toPandas()
-    idf = np.zeros(NUM_FEATURES)
-    idf[pdf["term"].to_numpy(dtype=np.int64)] = pdf["idf"].to_numpy()
-    return idf
-
-
-def _tfidf_rows(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms, counts = np.unique(ids, return_counts=True)
-    w = counts * idf[terms]
-    norm = np.linalg.norm(w)
-    return terms, (w / norm if norm > 0 else w)
-
-
-def _score_partition(batches: Iterator[pd.DataFrame], idf: np.ndarray, vocab: np.ndarray, qmat: np.ndarray,
-                     qids: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    vocab = np.asarray(vocab, dtype=np.int64)  # sorted (np.unique)
-    best = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        scores = np.zeros((len(pdf), len(qids)))
-        for r, ids in enumerate(pdf["ids"].to_numpy()):
-            if ids is None or len(ids) == 0 or len(vocab) == 0:
-                continue
-            terms, w = _tfidf_rows(np.asarray(ids, dtype=np.int64), idf)
-            at = np.minimum(np.searchsorted(vocab, terms), len(vocab) - 1)
-            hit = vocab[at] == terms          # doc terms that occur in some query
-            if hit.any():
-                scores[r] = w[hit] @ qmat[at[hit]]
-        scores = np.round(scores, 4)
-        docs = pdf["doc_id"].to_numpy()
-        parts = []
-        for j, q in enumerate(qids):
-            order = np.lexsort((docs, -scores[:, j]))[:k]
-            parts.append(pd.DataFrame({"query_id": q, "doc_id": docs[order], "score": scores[order, j]}))
-        cand = pd.concat(parts, ignore_index=True)
-        best = cand if best is None else pd.concat([best, cand], ignore_index=True)
-        best = best.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]) \
-                   .groupby("query_id", sort=False).head(k)
-    if best is not None:
-        yield best
+
+TERM_BREAK = r"[^\p{L}\p{N}]+"
+
+
+def terms(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), TERM_BREAK), lambda w: w != "")
+
+
+def _counts(rows: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """(out, term, tf)"""
+    return rows.select(F.col(id_col).alias(out), F.explode(terms(F.col(text_col))).alias("term")) \
+        .groupBy(out, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _unit(counts: DataFrame, idf: DataFrame, id_col: str, unseen: float) -> DataFrame:
+    """(id, term, w): tf * idf over the row's length. Terms no item has weigh ``unseen``."""
+    weighted = counts.join(idf, "term", "left") \
+        .select(id_col, "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("x"))
+    length = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    return weighted.join(length.where("length > 0"), id_col).select(id_col, "term", (F.col("x") / F.col("length")).alias("w"))
+
+
+def scores(items: DataFrame, queries: DataFrame, item_id: str, item_text: str, query_id: str, query_text: str) -> DataFrame:
+    """(query_id, item_id, score): cosine of every pair that shares a weighted term.
+
+    The queries' terms cut the items' rows before the pair join; what is shuffled
+    per item is its distinct terms, and per pair one sum a task (partial aggregate).
+    """
+    n = float(items.count())
+    tf = _counts(items, item_id, item_text, "item_id")
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
+        .select("term", F.log(F.lit(n + 1) / (F.col("df") + 1)).alias("idf"))
+    of_items = _unit(tf, idf, "item_id", 0.0)
+    of_queries = _unit(_counts(queries, query_id, query_text, "query_id"), idf, "query_id", float(_ln(n + 1)))
+    return of_items.join(of_queries.withColumnRenamed("w", "qw"), "term") \
+        .groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 4).alias("score"))
+
+
+def _ln(x: float) -> float:
+    import math
+
+    return math.log(x)
 
 
 def tfidf_search(documents: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id",
                  text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
-    """Top-k documents per query text by TF-IDF cosine similarity."""
-    spark = documents.sparkSession
-    ship_package(spark)
-    docs = documents.select(F.col(doc_id).alias("doc_id"), term_ids(text).alias("ids"))
-    q = queries.select(F.col(query_id).alias("query_id"), term_ids(query_text).alias("ids"))
-    stats = q.agg(F.sum(F.size("ids")).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    size, n_queries = int(stats["s"] or 0), int(stats["n"] or 0)
-    if size > MAX_QUERY_TERMS:
-        raise ValueError(f"query set too large to broadcast ({size} terms > {MAX_QUERY_TERMS}); split it")
-    if size * n_queries * 8 > search.MAX_QUERY_BROADCAST_BYTES:
-        # several scoring passes will read the corpus: tokenise it once into the
-        # shared checkpoint folder instead of once per pass (and cut the lineage)
-        docs = cut_lineage(docs)
-    # bounded by the hash space (NUM_FEATURES rows), never by the corpus size
-    idf = _idf_vector(idf_table(docs))
-    qp = q.toPandas()
-    qvecs = [_tfidf_rows(np.asarray(ids, dtype=np.int64), idf) for ids in qp["ids"]]
-    sc = spark.sparkContext
-    b_idf = sc.broadcast(idf)
-    schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, " \
-             f"doc_id {documents.schema[doc_id].dataType.simpleString()}, score double"
-    # queries go out in passes whose dense (vocabulary x queries) matrix stays
-    # under MAX_QUERY_BROADCAST_BYTES
-    cand, start = None, 0
-    while start < len(qvecs):
-        stop, vocab = start, np.zeros(0, dtype=np.int64)
-        while stop < len(qvecs):
-            grown = np.union1d(vocab, qvecs[stop][0])
-            if stop > start and len(grown) * (stop - start + 1) * 8 > search.MAX_QUERY_BROADCAST_BYTES:
-                break
-            vocab, stop = grown, stop + 1
-        vpos = {int(t): i for i, t in enumerate(vocab)}
-        qmat = np.zeros((len(vocab), stop - start))
-        for j, (terms, w) in enumerate(qvecs[start:stop]):
-            qmat[[vpos[int(t)] for t in terms], j] = w
-        b_vocab, b_q = sc.broadcast(vocab), sc.broadcast(qmat)
-        b_ids = sc.broadcast(qp["query_id"].to_numpy()[start:stop])
-        part = docs.mapInPandas(
-            lambda it, v=b_vocab, m=b_q, i=b_ids: _score_partition(it, b_idf.value, v.value, m.value, i.value, k),
-            schema)
-        cand = part if cand is None else cand.unionByName(part)
-        start = stop
-    if cand is None:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def ann_recall(embeddings: DataFrame, k: int = 10, bucket_length: float = 1.0, num_tables: int = 4,
-               seed: int = 7) -> DataFrame:
-    """recall@k of LSH approximate search vs exact search, per label exemplar."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from refinery.functions import vectors as vx
-
-    corpus = embeddings.select("vec_id", "label", array_to_vector(vx.unit(F.col("embedding"))).alias("v"))
+    """Top-k documents per query text by TF-IDF cosine similarity, best first
+    (``rank``); pairs that share no weighted term are not results."""
+    search._check_k(k)
+    found = scores(documents, queries, doc_id, text, query_id, query_text).where("score > 0")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+        .select("query_id", F.col("item_id").alias("doc_id"), "score", "rank")
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = 5, source: str | None = None,
+                 query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+    """data.search: text queries over a (stored) index, optionally of one source:
+    query_id, rank, content, source_id, score, metadata (table and load)."""
+    rows = index if source is None else index.where(F.col("source_id") == source)
+    best = tfidf_search(rows, queries, k, "doc_id", "content", query_id, query_text)
+    return best.join(rows, "doc_id").select(
+        "query_id", "rank", "doc_id", "content", "source_id", "score",
+        F.create_map(F.lit("table"), F.col("table_name"), F.lit("load"), F.col("load_seq").cast("string")).alias("metadata"))
+
+
+def rank_by_text(items: DataFrame, id_col: str, text_col: str, queries: DataFrame,
+                 query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+    """The items that share a weighted term with a query, once for each such query, as
+    (query_id, items' columns, relevance_score)."""
+    found = scores(items, queries, id_col, text_col, query_id, query_text).where("score > 0")
+    return items.drop("relevance_score").join(
+        found.select("query_id", F.col("item_id").alias(id_col), F.col("score").alias("relevance_score")), id_col)
+
+
+# Comparisons of a table: exemplars a and b of each bit; tables are shifts of it.
+COMPARISONS = ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (0, 5))
+
+
+def _buckets(vectors: DataFrame, exemplars: list[list[float]], id_col: str, vec_col: str, tables: int) -> DataFrame:
+    """(id, table_no, bucket) of every vector."""
+    dots = vectors.select(F.col(id_col).alias("id"), F.array(*(
+        vx.dot(F.array(*(F.lit(float(x)) for x in e)), F.col(vec_col)) for e in exemplars)).alias("d"))
+    n = len(exemplars)
+
+    def bucket(t: int) -> Column:
+        bits = F.lit(0)
+        for i, (a, b) in enumerate(COMPARISONS):
+            closer = F.element_at("d", (a + t) % n + 1) > F.element_at("d", (b + 2 * t) % n + 1)
+            bits = bits + F.when(closer, F.lit(1 << i)).otherwise(F.lit(0))
+        return F.struct(F.lit(t).alias("table_no"), bits.alias("bucket"))
+
+    return dots.select("id", F.explode(F.array(*(bucket(t) for t in range(tables)))).alias("b")).select("id", "b.*")
+
+
+def ann_recall(embeddings: DataFrame, k: int = 10, tables: int = 4) -> DataFrame:
+    """Per label exemplar: recall@k of the bucket join against exact search, and the
+    share of the corpus that had to be compared."""
     queries = search.label_exemplars(embeddings)
-    qv = queries.select("query_id", array_to_vector(vx.unit(F.col("query_vec"))).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(corpus)
-    # equi-join on (hash table, bucket) between the bounded query set and the corpus
-    pairs = lsh.approxSimilarityJoin(qv, corpus, 2.0, distCol="dist") \
-        .select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), "dist")
-    w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    approx = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    # As many rows as there are labels: literals of the hash expressions.
+    exemplars = [list(r["query_vec"]) for r in queries.orderBy("query_id").collect()]
+    of_corpus = _buckets(embeddings, exemplars, "vec_id", "embedding", tables)
+    of_queries = _buckets(queries, exemplars, "query_id", "query_vec", tables).withColumnRenamed("id", "query_id")
+    pairs = of_corpus.join(of_queries, ["table_no", "bucket"]).select("query_id", F.col("id").alias("vec_id")).distinct()
+    scored = pairs.join(embeddings.select("vec_id", "embedding"), "vec_id").join(queries, "query_id") \
+        .withColumn("score", vx.similarity_score(F.col("embedding"), F.col("query_vec")))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    found = scored.where("score is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k) \
+        .select("query_id", "vec_id", "r")
     exact = search.search_batch(embeddings, queries, k=k, keep=["vec_id"])
-    cands = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
-    hits = exact.join(approx, ["query_id", "vec_id"], "left").groupBy("query_id").agg(
+    hits = exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(
         (F.count("r") / F.lit(float(k))).alias("recall"))
-    return hits.join(cands, "query_id", "left").select(F.col("query_id").cast("int").alias("query_label"),
-                                                       "recall", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
-
-
-def _score_one(batches: Iterator[pd.DataFrame], idf: np.ndarray, qterms: np.ndarray, qw: np.ndarray,
-               id_col: str) -> Iterator[pd.DataFrame]:
-    order = np.argsort(qterms)
-    qterms, qw = np.asarray(qterms, dtype=np.int64)[order], np.asarray(qw)[order]
-    for pdf in batches:
-        out = []
-        for ids in pdf["ids"]:
-            if ids is None or len(ids) == 0 or len(qterms) == 0:
-                out.append(0.0)
-                continue
-            terms, w = _tfidf_rows(np.asarray(ids, dtype=np.int64), idf)
-            at = np.minimum(np.searchsorted(qterms, terms), len(qterms) - 1)
-            hit = qterms[at] == terms
-            out.append(round(float(w[hit] @ qw[at[hit]]), 4))
-        yield pd.DataFrame({id_col: pdf[id_col], "relevance_score": out})
-
-
-def rank_by_text(items: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
-    """Add ``relevance_score`` = TF-IDF cosine similarity between each item's text
-    and ``query`` (idf over the items themselves). The query is tokenised by the
-    same Spark expression as the items; only its term ids reach the executors."""
-    spark = items.sparkSession
-    ship_package(spark)
-    toks = items.select(id_col, term_ids(text_col).alias("ids"))
-    idf = _idf_vector(idf_table(toks))
-    qids = spark.createDataFrame([(query,)], "q string").select(term_ids("q").alias("ids")).first()["ids"]
-    qterms, qw = _tfidf_rows(np.asarray(qids or [], dtype=np.int64), idf) if qids else (np.zeros(0), np.zeros(0))
-    sc = spark.sparkContext
-    b = sc.broadcast((idf, qterms, qw))
-    schema = f"`{id_col}` {items.schema[id_col].dataType.simpleString()}, relevance_score double"
-    scores = toks.mapInPandas(lambda it: _score_one(it, *b.value, id_col), schema)
-    return items.drop("relevance_score").join(scores, id_col)
+    seen = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    return hits.join(seen, "query_id", "left").select(
+        F.col("query_id").cast("int").alias("query_label"), "recall", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))

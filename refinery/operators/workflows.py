@@ -19,9 +19,10 @@ _AUDIT = ("_n_in", "_nulls", "_changed")
 
 def curate_with_audit(df: DataFrame, rules: dict[str, str] | None, dedup_keys: list[str] | None,
                       order_by: list[str], redact_fields: list[str] | None = None,
-                      replacement: str = "[REDACTED]", mode: str = "first") -> DataFrame:
+                      replacement: str = "[REDACTED]", mode: str = "all") -> DataFrame:
     """Clean, keep the first row per key (or whole record minus ``order_by``),
-    then redact. Output = data columns + audit columns (see ``curate_report``)."""
+    then redact: every PII pattern by default (``mode="first"`` keeps the
+    one-pattern-per-value behaviour). Output = data columns + audit columns (see ``curate_report``)."""
     cleaned = cl.clean_with_audit(df, rules)
     data_cols = df.columns
     group = list(dedup_keys) if dedup_keys else [c for c in data_cols if c not in order_by]

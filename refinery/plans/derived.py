@@ -11,21 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refinery.session import read_table, spread
-
-# Fixed values (must match the reference): tool-call cost per tool, in the
-# order the tools are listed.
-TOOL_COSTS = (
-    ("sources.connect", 1), ("sources.list", 0), ("sources.test", 0),
-    ("data.query", 2), ("data.fetch", 1), ("data.search", 2),
-    ("pipeline.clean", 2), ("pipeline.deduplicate", 1), ("pipeline.redact_pii", 1),
-    ("context.build", 3), ("context.summarize", 2), ("credits.check_balance", 0),
-)
-# Credit packs (credits -> price in cents), fallback $0.08 per credit,
-# free credits granted at sign-up.
-CREDIT_PACKS = ((100, 800), (500, 3000), (1000, 5000), (5000, 20000), (10000, 40000))
-PER_CREDIT_USD = 0.08
-FREE_CREDITS = 25
+from refinery.constants import CREDIT_PACKS, FREE_CREDITS, PER_CREDIT_USD, TOOL_COSTS  # noqa: F401
+from refinery.operators import ledger as ledger_ops
+from refinery.session import read_table
 
 DATE_RENDER = ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd",
                "dd-MM-yyyy", "MM-dd-yyyy", "MMMM dd, yyyy", "MMM dd, yyyy")
@@ -71,7 +59,7 @@ def render_date(d: Column, selector: Column) -> Column:
 
 def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders.o_orderdate rendered in one of 8 text formats (space padded for some)."""
-    o = spread(read_table(spark, sf_dir, "orders"))
+    o = read_table(spark, sf_dir, "orders")
     raw = render_date(F.col("o_orderdate"), F.col("o_orderkey") % 8)
     raw = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("  "), raw, F.lit(" "))).otherwise(raw)
     return o.select("o_orderkey", raw.alias("raw_date"))
@@ -79,7 +67,7 @@ def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def priced_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem.l_extendedprice as currency text: $ / € / £ prefixes, separators, junk, empty."""
-    li = spread(read_table(spark, sf_dir, "lineitem")).select(
+    li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", money_text(F.col("l_extendedprice")).alias("_body"))
     sel = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
     body = F.col("_body")
@@ -163,20 +151,30 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only credit ledger (id, api_key, delta, reason, created_at): sign-up
     grant, tool-call charges, refunds of failed calls and purchases."""
     u = usage_events(spark, sf_dir)
-    charges = u.where((F.col("kind") != "purchase") & (F.col("cost") > 0)).select(
-        (F.col("event_id") * 2).alias("id"), "api_key", (-F.col("cost")).alias("delta"),
-        F.lit("tool_call").alias("reason"), F.col("ts").alias("created_at"))
-    refunds = u.where((F.col("kind") == "failed_call") & (F.col("cost") > 0)).select(
-        (F.col("event_id") * 2 + 1).alias("id"), "api_key", F.col("cost").alias("delta"),
-        F.lit("refund_failed_operation").alias("reason"), F.col("ts").alias("created_at"))
-    buys = u.where(F.col("kind") == "purchase").select(
-        (F.col("event_id") * 2).alias("id"), "api_key", F.col("credits").alias("delta"),
-        F.lit("credit_purchase").alias("reason"), F.col("ts").alias("created_at"))
+    # One pass over the usage: an event makes up to two rows.
+    def row(id_, delta, reason):
+        return F.struct(id_.cast("long").alias("id"), delta.cast("int").alias("delta"), F.lit(reason).alias("reason"))
+
+    even, odd = F.col("event_id") * 2, F.col("event_id") * 2 + 1
+    charged = (F.col("kind") != "purchase") & (F.col("cost") > 0)
+    rows = F.array(
+        F.when(charged, row(even, -F.col("cost"), "tool_call")),
+        F.when(charged & (F.col("kind") == "failed_call"), row(odd, F.col("cost"), "refund_failed_operation")),
+        F.when(F.col("kind") == "purchase", row(even, F.col("credits"), "credit_purchase")))
+    moves = u.select("api_key", F.col("ts").alias("created_at"), F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")) \
+        .select("r.id", "api_key", "r.delta", "r.reason", "created_at")
     grants = u.groupBy("api_key").agg(F.min("ts").alias("first_ts"), F.min("event_id").alias("first_id")).select(
         (-(F.col("first_id") * 2) - 1).alias("id"), "api_key", F.lit(FREE_CREDITS).alias("delta"),
         F.lit("free_tier_signup").alias("reason"),
         (F.col("first_ts") - F.expr("INTERVAL 1 SECOND")).alias("created_at"))
-    return grants.unionByName(charges).unionByName(refunds).unionByName(buys)
+    return grants.unionByName(moves)
+
+
+def metered_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger that follows from admission: sign-up grants and purchases, a charge
+    for every admitted call, a refund for every admitted call that failed."""
+    u = usage_events(spark, sf_dir)
+    return ledger_ops.metered(ledger_ops.admission(u))
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:

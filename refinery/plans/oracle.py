@@ -7,8 +7,6 @@ expressions, not generated from the Spark code.
 
 from __future__ import annotations
 
-from refinery.plans import registry as R
-
 WS = r"'^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$'"
 
 
@@ -117,6 +115,7 @@ DIRTY_CUSTOMER = f"""dirty_customer AS (
          CASE WHEN {_K} % 11 = 0 THEN NULL WHEN {_K} % 13 = 0 THEN '' ELSE c_mktsegment END AS c_mktsegment
   FROM customer)"""
 
+# Fixed values (must match the reference): tool costs, credit packs.
 _TOOLS = ", ".join(f"({i}, '{t}', {c})" for i, (t, c) in enumerate([
     ("sources.connect", 1), ("sources.list", 0), ("sources.test", 0), ("data.query", 2), ("data.fetch", 1),
     ("data.search", 2), ("pipeline.clean", 2), ("pipeline.deduplicate", 1), ("pipeline.redact_pii", 1),
@@ -187,7 +186,7 @@ source_state AS (
            row_number() OVER (PARTITION BY source_id ORDER BY event_time DESC, doc_id DESC) AS rn
     FROM source_log) WHERE rn = 1 AND status <> 'deleted')"""
 
-# PII patterns in RE2 syntax (same text as the Java ones, without the (?U) flag)
+# Fixed values (must match the reference): PII patterns in RE2 syntax (same text as the Java ones, without the (?U) flag)
 _PII = [
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
     ("phone", r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4}"),
@@ -203,6 +202,13 @@ def _redact_first(x: str, repl: str = "[REDACTED]") -> str:
         + f" ELSE {x} END)"
 
 
+def _redact_all(x: str, repl: str = "[REDACTED]") -> str:
+    by_name = dict(_PII)
+    for n in ("email", "credit_card", "ssn", "ip_address", "phone"):
+        x = f"regexp_replace({x}, '{by_name[n]}', '{repl}', 'g')"
+    return x
+
+
 def _pii_type(x: str) -> str:
     return "(CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for n, p in _PII) + " END)"
 
@@ -222,6 +228,7 @@ COLUMNS = f"""cols AS (
   SELECT DISTINCT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name, {_TYPE_MAP} AS data_type
   FROM information_schema.columns WHERE table_name IN ({_TABLE_LIST}))"""
 
+# Fixed values (must match the reference): field-name families.
 _FIELD_FAMILIES = [
     ("email", ("email", "mail", "e_mail")),
     ("phone", ("phone", "tel", "mobile", "fax")),
@@ -308,19 +315,120 @@ packed2 AS (
   FROM packed WHERE before < 4000)"""
 
 
+def _tfidf(items: str, queries: str) -> str:
+    """CTEs up to scores(query_id, item_id, score)."""
+    words = "unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))"
+    return f"""items AS ({items}), queries AS ({queries}),
+itf AS (SELECT id, term, COUNT(*) AS tf FROM (SELECT id, {words} AS term FROM items) GROUP BY ALL),
+qtf AS (SELECT id, term, COUNT(*) AS tf FROM (SELECT id, {words} AS term FROM queries) GROUP BY ALL),
+total AS (SELECT COUNT(*) AS n FROM items),
+idf AS (SELECT term, ln((n + 1.0) / (COUNT(*) + 1)) AS idf FROM itf, total GROUP BY term, n),
+iw AS (SELECT id, term, tf * idf AS x FROM itf JOIN idf USING (term)),
+qw AS (SELECT id, term, tf * coalesce(idf, ln(n + 1.0)) AS x FROM qtf LEFT JOIN idf USING (term), total),
+il AS (SELECT id, sqrt(SUM(x * x)) AS len FROM iw GROUP BY id HAVING SUM(x * x) > 0),
+ql AS (SELECT id, sqrt(SUM(x * x)) AS len FROM qw GROUP BY id HAVING SUM(x * x) > 0),
+scores AS (SELECT qw.id AS query_id, iw.id AS item_id, round(SUM((iw.x / il.len) * (qw.x / ql.len)), 4) AS score
+           FROM iw JOIN qw USING (term) JOIN il ON il.id = iw.id JOIN ql ON ql.id = qw.id GROUP BY ALL)"""
+
+
+_INDEX = """loads AS (
+  SELECT md5(source || ':documents:' || to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'source': source, 'n_chars': n_chars})) AS doc_id,
+         source AS source_id, 'documents' AS table_name, text AS content,
+         unnest(CASE WHEN lang IN ('fr', 'de') THEN [1, 2] ELSE [1] END) AS load_seq FROM documents),
+idx AS (SELECT * FROM loads QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY load_seq DESC) = 1)"""
+
+
+def _ann_bits() -> str:
+    pairs = ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (0, 5))
+    return " + ".join(f"CASE WHEN d[CAST(({a} + t) % len(d) AS INTEGER) + 1] > d[CAST(({b} + 2 * t) % len(d) AS INTEGER) + 1] "
+                      f"THEN {1 << i} ELSE 0 END" for i, (a, b) in enumerate(pairs))
+
+
+def _multi_chunks_sql() -> str:
+    tables = {
+        "customer": ("c_custkey", (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string"))),
+        "nation": ("n_nationkey", (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int"))),
+        "orders": ("o_orderkey", (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+                                  ("o_orderpriority", "string"))),
+        "part": ("p_partkey", (("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+                               ("p_size", "int"))),
+    }
+    parts = []
+    for pos, (t, (key, cols)) in enumerate(tables.items(), 1):
+        line = "to_json({" + ", ".join(f"'{c}': {c}" for c, _ in cols) + "})"
+        head = (f"Table: {t}\\nSchema: " + ", ".join(f"{c} ({k})" for c, k in cols) + "\\nColumns: "
+                + ", ".join(c for c, _ in cols) + "\\n")
+        head = "'" + head.replace("\\n", "' || chr(10) || '") + "'"
+        parts.append(f"SELECT {pos} AS table_pos, '{t}' AS table_name, CAST(COUNT(*) AS INTEGER) AS n_rows, "
+                     f"{head} || string_agg(line || chr(10), '' ORDER BY k) AS content "
+                     f"FROM (SELECT {key} AS k, {line} AS line FROM {t} ORDER BY {key} LIMIT 10)")
+    return f"""WITH chunks AS ({' UNION ALL '.join(parts)}),
+b AS (SELECT *, length(content) // 4 AS tok, coalesce(sum(length(content) // 4) OVER (ORDER BY table_pos
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks)
+SELECT 'warehouse' AS context_id, table_pos, table_name, n_rows,
+       CAST(CASE WHEN before + tok > 1000 THEN 1000 - before ELSE tok END AS BIGINT) AS tokens, before + tok > 1000 AS truncated,
+       CASE WHEN before + tok > 1000 THEN substring(content, 1, CAST((1000 - before) * 4 AS INTEGER)) ELSE content END AS content
+FROM b WHERE before < 1000"""
+
+
+_ADMITTED = USAGE + """,
+e AS (SELECT api_key, list({'id': event_id, 'k': kind, 'c': cost, 'cr': credits, 'ts': ts, 'b': 25::BIGINT, 'a': true}
+             ORDER BY ts, event_id) AS evs FROM usage GROUP BY api_key),
+f AS (SELECT api_key, list_reduce(evs, lambda acc, x: list_append(acc, {
+          'id': x.id, 'k': x.k, 'c': x.c, 'cr': x.cr, 'ts': x.ts,
+          'b': (CASE WHEN x.k = 'purchase' THEN acc[len(acc)].b + x.cr
+                     WHEN acc[len(acc)].b >= x.c AND x.k = 'call' THEN acc[len(acc)].b - x.c ELSE acc[len(acc)].b END)::BIGINT,
+          'a': x.k = 'purchase' OR acc[len(acc)].b >= x.c}),
+        [{'id': -1::BIGINT, 'k': '', 'c': 0, 'cr': 0, 'ts': NULL::TIMESTAMP, 'b': 25::BIGINT, 'a': true}]) AS s FROM e),
+admitted AS (SELECT api_key, unnest(s[2:]) AS r FROM f)"""
+
+_METERED = _ADMITTED + """,
+ledger AS (
+  SELECT -(min(event_id) * 2) - 1 AS id, api_key, 25 AS delta, 'free_tier_signup' AS reason,
+         min(ts) - INTERVAL 1 SECOND AS created_at FROM usage GROUP BY api_key
+  UNION ALL SELECT r.id * 2, api_key, -r.c, 'tool_call', r.ts FROM admitted WHERE r.a AND r.k <> 'purchase' AND r.c > 0
+  UNION ALL SELECT r.id * 2 + 1, api_key, r.c, 'refund_failed_operation', r.ts FROM admitted WHERE r.a AND r.k = 'failed_call' AND r.c > 0
+  UNION ALL SELECT r.id * 2, api_key, r.cr, 'credit_purchase', r.ts FROM admitted WHERE r.k = 'purchase')"""
+
+
 def _ledger_q(body: str) -> str:
     return f"WITH {LEDGER}\n{body}"
 
 
 ORACLE: dict[str, str] = {
-    "query_topk": R.TOPK_SQL,
-    "query_default_limit": R.DEFAULT_LIMIT_SQL + "\nLIMIT 100",
-    "sql_join_agg": R.JOIN_AGG_SQL,
-    "sql_rollup": R.ROLLUP_SQL,
-    "sql_cube_having": R.CUBE_SQL,
-    "sql_projection": R.PROJECTION_SQL,
-    "count_star": R.COUNT_SQL,
-    "where_conjunction": f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem WHERE {R.WHERE_PREDICATE}",
+    "query_topk": """
+WITH best AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5)
+SELECT c_custkey, c_name, (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) AS n_name, c_acctbal FROM best""",
+    "query_default_limit": """
+SELECT o_orderkey, o_custkey, o_totalprice FROM (
+  SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 100""",
+    "sql_join_agg": """
+WITH home AS (SELECT c_custkey, n_name, r_name FROM customer, nation, region
+              WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey)
+SELECT h.n_name, h.r_name, COUNT(*) AS n_lines, SUM(l_quantity)::DOUBLE AS sum_qty,
+       ROUND(SUM(l_extendedprice - l_extendedprice * l_discount), 2) AS revenue
+FROM home h, orders, lineitem WHERE o_custkey = h.c_custkey AND l_orderkey = o_orderkey
+GROUP BY ALL""",
+    "sql_rollup": "\nUNION ALL\n".join(
+        f"SELECT {a} AS l_returnflag, {b} AS l_linestatus, {g}::INTEGER AS grouping_level, COUNT(*) AS n_lines, "
+        f"SUM(l_quantity)::DOUBLE AS sum_qty, ROUND(SUM(l_extendedprice), 2) AS sum_price, ROUND(SUM(l_discount), 2) AS sum_disc "
+        f"FROM lineitem {by}" for a, b, g, by in (
+            ("l_returnflag", "l_linestatus", 0, "GROUP BY l_returnflag, l_linestatus"),
+            ("l_returnflag", "NULL", 2, "GROUP BY l_returnflag"), ("NULL", "NULL", 3, ""))),
+    "sql_cube_having": "SELECT * FROM (" + "\nUNION ALL\n".join(
+        f"SELECT {a}::VARCHAR AS l_returnflag, {b}::VARCHAR AS l_linestatus, {g}::INTEGER AS grouping_level, COUNT(*) AS n_lines, "
+        f"COUNT(DISTINCT l_orderkey) AS n_orders, quantile_cont(l_quantity, 0.5) AS median_qty FROM lineitem {by}"
+        for a, b, g, by in (
+            ("l_returnflag", "l_linestatus", 0, "GROUP BY l_returnflag, l_linestatus"),
+            ("l_returnflag", "NULL", 2, "GROUP BY l_returnflag"), ("NULL", "l_linestatus", 1, "GROUP BY l_linestatus"),
+            ("NULL", "NULL", 3, ""))) + ") WHERE n_lines > 100",
+    "sql_projection": """
+SELECT o_orderkey, o_custkey, o_orderstatus, NOT (o_totalprice <= 100000) AS is_large,
+       date_part('year', o_orderdate)::INTEGER AS order_year, ucase(o_orderpriority) AS priority FROM orders""",
+    "count_star": "SELECT SUM(1)::BIGINT AS count FROM lineitem",
+    "where_conjunction": """
+SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem
+WHERE NOT (l_quantity < 10 OR l_quantity >= 40 OR l_discount > 0.05 OR l_returnflag = 'N' OR l_tax <= 0.02)""",
     "crm_orders_by_nation": """
 SELECT n_name, o_orderstatus, COUNT(*) AS n_orders, ROUND(SUM(o_totalprice), 2) AS order_value
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -340,20 +448,10 @@ SELECT 'except', COUNT(*) FROM (SELECT c_custkey FROM customer WHERE c_mktsegmen
         f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in _TABLE_LIST.replace("'", "").split(", "))})
 SELECT c.table_name, c.row_count, CAST(n.n_columns AS INTEGER) AS n_columns
 FROM counts c JOIN (SELECT table_name, COUNT(*) AS n_columns FROM cols GROUP BY table_name) n USING (table_name)
-ORDER BY c.table_name LIMIT 20""",
-    "source_health": f"""WITH counts AS ({' UNION ALL '.join(
-        f"SELECT COUNT(*) AS n FROM {t}" for t in _TABLE_LIST.replace("'", "").split(", "))})
-SELECT 'testdata' AS source, true AS connected,
-       'Connected. 14 tables, ' || CAST(SUM(n) AS VARCHAR) || ' records total.' AS message,
-       ['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier'] AS sample_tables
-FROM counts""",
-    "source_schema": f"WITH {COLUMNS} SELECT table_name, ordinal, column_name, data_type FROM cols",
-    "schema_text": f"""WITH {COLUMNS}
-SELECT table_name, string_agg(column_name || ' (' || data_type || ')', ', ' ORDER BY ordinal) AS schema_text
-FROM cols GROUP BY table_name""",
+ORDER BY c.table_name""",
     "json_safe_rows": """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, o_orderpriority FROM orders""",
+       regexp_replace(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), '[.]0+$', '') AS o_orderdate, o_orderpriority FROM orders""",
     "source_current_state": f"WITH {SOURCE_LOG} SELECT source_id, api_key, status, created_at, updated_at, n_events FROM source_state",
     "source_catalog": f"""WITH {SOURCE_LOG}
 SELECT api_key, source_id, source_type, name, status, created_at,
@@ -423,9 +521,17 @@ SELECT c_custkey,
        CAST(coalesce(c_name <> '[REDACTED]', false) AS INT) + CAST(coalesce(contact_email <> '[REDACTED]', false) AS INT)
        + CAST(coalesce(contact_phone <> '[REDACTED]', false) AS INT) + CAST({_any_pii('c_mktsegment')} AS INT) AS fields_redacted
 FROM dirty_customer""",
-    "pii_field_audit": f"""WITH {COLUMNS}
-SELECT table_name, column_name, {_field_type('column_name')} IS NOT NULL AS is_pii, {_field_type('column_name')} AS pii_type
-FROM cols""",
+    "pii_field_audit": "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, {_field_type(f"'{c}'")}::VARCHAR AS name_type, "
+        f"COUNT({c}) AS n_values, " + ", ".join(f"COUNT(*) FILTER (regexp_matches({c}, '{p}')) AS n_{n}" for n, p in _PII)
+        + f" FROM {t}" for t, cols in (
+            ("customer", ("c_name", "c_mktsegment")), ("supplier", ("s_name",)), ("part", ("p_name", "p_brand", "p_type")),
+            ("documents", ("text", "lang", "source")), ("conversations", ("role", "text")), ("pages", ("url",)))
+        for c in cols),
+    "pii_redact_all": f"""
+SELECT doc_id, {_redact_all('text')} AS text, {_redact_all('source')} AS source,
+       CAST({_redact_all('text')} <> text AS INTEGER) + CAST({_redact_all('source')} <> source AS INTEGER) AS fields_redacted
+FROM documents""",
     "dedup_full": "SELECT MIN(doc_id) AS doc_id, text, lang FROM documents GROUP BY text, lang",
     "dedup_keys": """
 SELECT user_id, event_type, ts, event_id, value FROM (
@@ -434,15 +540,9 @@ SELECT user_id, event_type, ts, event_id, value FROM (
 SELECT CAST(COUNT(*) AS BIGINT) AS records_in, (SELECT COUNT(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS records_out,
        CAST(COUNT(*) AS BIGINT) - (SELECT COUNT(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicates_removed
 FROM documents""",
-    "index_upsert": """
-WITH loads AS (
-  SELECT md5(source || ':documents:' || text) AS doc_id, source AS source_id, 'documents' AS table_name, text AS content, 1 AS load_seq FROM documents
-  UNION ALL
-  SELECT md5(source || ':documents:' || text), source, 'documents', text, 2 FROM documents WHERE lang IN ('fr', 'de'))
-SELECT doc_id, source_id, table_name, CAST(length(content) AS INTEGER) AS content_chars, load_seq
-FROM loads QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY load_seq DESC) = 1""",
-    "index_delete_source": """
-WITH idx AS (SELECT DISTINCT md5(source || ':documents:' || text) AS doc_id, source AS source_id FROM documents)
+    "index_upsert": f"""WITH {_INDEX}
+SELECT doc_id, source_id, table_name, CAST(length(content) AS INTEGER) AS content_chars, load_seq FROM idx""",
+    "index_delete_source": f"""WITH {_INDEX}
 SELECT CAST(SUM(CASE WHEN source_id = 'src3' THEN 1 ELSE 0 END) AS BIGINT) AS deleted,
        CAST(SUM(CASE WHEN source_id = 'src3' THEN 0 ELSE 1 END) AS BIGINT) AS remaining FROM idx""",
     "search_topk": """
@@ -459,6 +559,41 @@ s AS (SELECT q.query_label, e.vec_id, e.label, round(list_cosine_similarity(e.em
       FROM q CROSS JOIN embeddings e)
 SELECT query_label, vec_id, label, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "search_text_tfidf": f"""WITH {_tfidf("SELECT doc_id AS id, text FROM documents", "SELECT item_id AS id, text FROM benchmark")}
+SELECT query_id, item_id AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 5""",
+    "search_index_text": f"""WITH {_INDEX}, mine AS (SELECT * FROM idx WHERE source_id = 'src1'),
+{_tfidf("SELECT doc_id AS id, content AS text FROM mine", "SELECT item_id AS id, text FROM benchmark")}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id AS doc_id, source_id, score,
+       CAST(length(content) AS INTEGER) AS content_chars, table_name
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scores WHERE score > 0) s
+JOIN mine ON mine.doc_id = s.item_id WHERE rank <= 3""",
+    "search_ann_recall": f"""
+WITH ex AS (SELECT label AS query_label, arg_min(embedding, vec_id)::DOUBLE[] AS qv FROM embeddings GROUP BY label),
+exl AS (SELECT list(qv ORDER BY query_label) AS evs FROM ex),
+d AS (SELECT vec_id AS id, list_transform(evs, lambda e: list_dot_product(e, embedding::DOUBLE[])) AS d FROM embeddings, exl),
+dq AS (SELECT query_label AS id, list_transform(evs, lambda e: list_dot_product(e, qv)) AS d FROM ex, exl),
+t AS (SELECT unnest(range(4)) AS t),
+b AS (SELECT id, t, {_ann_bits()} AS bucket FROM d, t),
+bq AS (SELECT id AS query_label, t, {_ann_bits()} AS bucket FROM dq, t),
+pairs AS (SELECT DISTINCT query_label, b.id AS vec_id FROM b JOIN bq USING (t, bucket)),
+s AS (SELECT query_label, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], qv), 4) AS score FROM ex, embeddings e),
+x AS (SELECT query_label, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) <= 10),
+f AS (SELECT query_label, vec_id FROM pairs JOIN s USING (query_label, vec_id)
+      QUALIFY row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) <= 10),
+h AS (SELECT x.query_label, COUNT(f.vec_id) / 10.0::DOUBLE AS recall FROM x LEFT JOIN f USING (query_label, vec_id) GROUP BY 1),
+c AS (SELECT query_label, COUNT(*) AS n_candidates FROM pairs GROUP BY 1)
+SELECT query_label, recall, coalesce(n_candidates, 0) AS n_candidates FROM h LEFT JOIN c USING (query_label)""",
+    "context_pack_ranked": f"""WITH {_CHUNKS}, keyed AS (SELECT *, source || chr(0) || table_name AS cid FROM chunks),
+{_tfidf("SELECT cid AS id, content AS text FROM keyed", "SELECT item_id AS id, text FROM benchmark")},
+r AS (SELECT query_id, source, table_pos, table_name, score, CAST(length(content) // 4 AS BIGINT) AS tok,
+             CAST(coalesce(sum(length(content) // 4) OVER (PARTITION BY query_id, source ORDER BY score DESC, table_pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+      FROM scores JOIN keyed ON keyed.cid = scores.item_id WHERE score > 0)
+SELECT query_id AS item_id, source AS context_id, table_pos, table_name, score AS relevance_score,
+       CAST(CASE WHEN before + tok > 4000 THEN 4000 - before ELSE tok END AS BIGINT) AS tokens, before + tok > 4000 AS truncated
+FROM r WHERE before < 4000""",
+    "context_chunks_multi": _multi_chunks_sql(),
     "context_chunks": f"WITH {_CHUNKS} SELECT source, table_name, table_pos, n_rows, content, relevance_score FROM chunks",
     "context_pack": f"WITH {_CHUNKS} SELECT context_id, table_pos, table_name, tokens, truncated, content FROM packed2",
     "context_totals": f"""WITH {_CHUNKS},
@@ -514,6 +649,10 @@ f AS (SELECT api_key, list_reduce(evs, lambda acc, x:
              ELSE {{'b': acc.b, 'a': acc.a, 'r': acc.r + 1}} END,
         {{'b': 25, 'a': 0, 'r': 0}}) AS s FROM e)
 SELECT api_key, CAST(s.b AS BIGINT) AS final_balance, CAST(s.a AS BIGINT) AS n_admitted, CAST(s.r AS BIGINT) AS n_refused FROM f""",
+    "credit_admission_events": f"""WITH {_ADMITTED}
+SELECT api_key, r.id AS event_id, r.k AS kind, r.a AS admitted, r.b AS balance_after FROM admitted""",
+    "metered_ledger": f"WITH {_METERED} SELECT id, api_key, CAST(delta AS INTEGER) AS delta, reason, created_at FROM ledger",
+    "metered_balance": f"WITH {_METERED} SELECT api_key, CAST(SUM(delta) AS BIGINT) AS balance FROM ledger GROUP BY api_key",
     "payment_settlement": f"""WITH {PAYMENTS}, {PACKS},
 s AS (SELECT * FROM payment_events WHERE status IN ('finished', 'confirmed')
       QUALIFY row_number() OVER (PARTITION BY payment_id ORDER BY event_ts, seq) = 1)
@@ -524,6 +663,10 @@ FROM s LEFT JOIN credit_packs p ON s.credits = p.credits""",
     "curate_records": f"""
 WITH c AS (SELECT doc_id, text, upper({_strip('lang')}) AS lang, lower({_strip('source')}) AS source FROM documents),
 s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
+SELECT doc_id, {_redact_all('text')} AS text, {_redact_all('lang')} AS lang, {_redact_all('source')} AS source FROM s""",
+    "curate_records_first": f"""
+WITH c AS (SELECT doc_id, text, upper({_strip('lang')}) AS lang, lower({_strip('source')}) AS source FROM documents),
+s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
 SELECT doc_id, {_redact_first('text')} AS text, {_redact_first('lang')} AS lang, {_redact_first('source')} AS source FROM s""",
     "curate_report": f"""
 WITH c AS (SELECT doc_id, text, lang AS lang0, source AS source0, upper({_strip('lang')}) AS lang, lower({_strip('source')}) AS source

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from refinery import sources
 from refinery.operators import catalog, clean, context, dedup, ledger, profile, query, redact, search, workflows
 from refinery.plans import derived
-from refinery.session import TABLES, read_table, register_tables, spread
+from refinery.session import TABLES, read_table, register_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,10 +126,15 @@ def q_sql_set_ops(spark, d):
     with_orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"))
     building = _t(spark, d, "customer").where(F.col("c_mktsegment") == "BUILDING") \
         .select(F.col("c_custkey").alias("custkey"))
-    u = with_orders.union(building).distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("union").alias("op"), "n")
-    i = with_orders.intersect(building).agg(F.count(F.lit(1)).alias("n")).select(F.lit("intersect").alias("op"), "n")
-    e = building.subtract(with_orders).agg(F.count(F.lit(1)).alias("n")).select(F.lit("except").alias("op"), "n")
-    return u.unionByName(i).unionByName(e)
+    # Each customer once, with the sides it is on: all three sets in one aggregate.
+    sides = with_orders.select("custkey", F.lit(1).alias("a"), F.lit(0).alias("b")) \
+        .union(building.select("custkey", F.lit(0), F.lit(1))) \
+        .groupBy("custkey").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    counts = sides.agg(F.count(F.lit(1)).alias("u"), F.sum(F.col("a") * F.col("b")).alias("i"),
+                       F.sum((1 - F.col("a")) * F.col("b")).alias("e"))
+    return counts.select(F.explode(F.array(
+        *(F.struct(F.lit(op).alias("op"), F.coalesce(c, F.lit(0)).cast("long").alias("n"))
+          for op, c in (("union", F.col("u")), ("intersect", F.col("i")), ("except", F.col("e")))))).alias("r")).select("r.*")
 
 
 # ---------------------------------------------------------------------------
@@ -160,19 +166,7 @@ def q_source_tables(spark, d):
     tables = _all_tables(spark, d)
     counts = sources.table_counts(tables)
     ncols = spark.createDataFrame([(n, len(df.columns)) for n, df in tables.items()], "table_name string, n_columns int")
-    return counts.join(ncols, "table_name").orderBy("table_name").limit(20)
-
-
-def q_source_schema(spark, d):
-    return sources.table_schema(_all_tables(spark, d))
-
-
-def q_schema_text(spark, d):
-    return sources.schema_text(sources.table_schema(_all_tables(spark, d)))
-
-
-def q_source_health(spark, d):
-    return sources.source_health(_all_tables(spark, d), "testdata")
+    return counts.join(ncols, "table_name").orderBy("table_name")
 
 
 def q_json_safe_rows(spark, d):
@@ -249,13 +243,13 @@ def q_clean_stats(spark, d):
 # PII
 # ---------------------------------------------------------------------------
 def q_pii_redact_text(spark, d):
-    doc = spread(_t(spark, d, "documents").select("doc_id", "text"))
+    doc = _t(spark, d, "documents").select("doc_id", "text")
     out = redact.redact_with_audit(doc, fields=[], passthrough=("doc_id",))
     return out.select("doc_id", "text", F.try_element_at(redact.TYPES_COL, F.lit(1)).alias("pii_type"))
 
 
 def q_pii_stats(spark, d):
-    rep = redact.redact_report(redact.redact_with_audit(spread(_t(spark, d, "documents"))))
+    rep = redact.redact_report(redact.redact_with_audit(_t(spark, d, "documents")))
     return rep.select("records_in", "fields_redacted", F.concat_ws(",", "pii_types_found").alias("pii_types_found"))
 
 
@@ -266,11 +260,20 @@ def q_pii_redact_fields(spark, d):
                       F.col(redact.REDACTED_COL).alias("fields_redacted"))
 
 
+AUDITED = {"customer": ("c_name", "c_mktsegment"), "supplier": ("s_name",), "part": ("p_name", "p_brand", "p_type"),
+           "documents": ("text", "lang", "source"), "conversations": ("role", "text"), "pages": ("url",)}
+
+
 def q_pii_field_audit(spark, d):
-    from refinery.functions import pii as pf
-    cols = sources.table_schema(_all_tables(spark, d))
-    t = pf.classify_field_col(F.col("column_name"))
-    return cols.select("table_name", "column_name", t.isNotNull().alias("is_pii"), t.alias("pii_type"))
+    """Per text column: its name's family beside the number of values each pattern matches."""
+    return reduce(DataFrame.unionByName, (redact.field_audit(_t(spark, d, t), t, cols) for t, cols in AUDITED.items()))
+
+
+def q_pii_redact_all(spark, d):
+    """Every pattern replaced, with the number of values changed and the types found."""
+    doc = _t(spark, d, "documents").select("doc_id", "text", "source")
+    out = redact.redact_with_audit(doc, fields=[], mode="all", passthrough=("doc_id",))
+    return out.select("doc_id", "text", "source", F.col(redact.REDACTED_COL).alias("fields_redacted"))
 
 
 # ---------------------------------------------------------------------------
@@ -341,6 +344,14 @@ def q_search_text_tfidf(spark, d):
     return textsearch.tfidf_search(_t(spark, d, "documents"), _t(spark, d, "benchmark"), k=5)
 
 
+def q_search_index_text(spark, d):
+    """data.search: benchmark passages against the index, sources src1 only."""
+    from refinery.operators import textsearch
+    found = textsearch.search_index(_index(spark, d), _t(spark, d, "benchmark"), k=3, source="src1")
+    return found.select("query_id", "rank", "doc_id", "source_id", "score", F.length("content").alias("content_chars"),
+                        F.col("metadata")["table"].alias("table_name"))
+
+
 def q_search_ann_recall(spark, d):
     from refinery.operators import textsearch
     return textsearch.ann_recall(_t(spark, d, "embeddings"), k=10)
@@ -372,20 +383,27 @@ def q_context_pack(spark, d):
 
 
 def q_context_pack_ranked(spark, d):
-    """Chunks ranked by relevance to a topic (the first benchmark passage),
-    most relevant packed first."""
-    topic = _t(spark, d, "benchmark").orderBy("item_id").select("text").first()["text"]
-    ranked = context.rank_chunks(_chunks(spark, d), topic)
-    packed = context.pack(ranked.withColumnRenamed("source", "context_id").withColumn("source", F.col("context_id")),
-                          "context_id", [F.col("relevance_score").desc(), F.col("table_pos")],
+    """For every benchmark passage as a topic: the chunks that share a term with it,
+    most relevant first in each context's budget."""
+    ranked = context.rank_chunks(_chunks(spark, d), _t(spark, d, "benchmark"))
+    ranked = ranked.withColumn("context_id", F.concat_ws("/", F.col("query_id").cast("string"), "source"))
+    packed = context.pack(ranked, "context_id", [F.col("relevance_score").desc(), F.col("table_pos")],
                           budget=context.DEFAULT_BUDGET)
-    return packed.select("context_id", "table_pos", "table_name", "relevance_score", "tokens", "truncated")
+    return packed.select(F.col("query_id").alias("item_id"), F.col("source").alias("context_id"), "table_pos", "table_name",
+                         "relevance_score", "tokens", "truncated")
 
 
 def q_context_totals(spark, d):
-    ch = _chunks(spark, d)
-    packed = _packed(spark, d, ch)
-    return context.totals(ch.withColumnRenamed("source", "context_id"), packed, "context_id")
+    return context.totals(_chunks(spark, d).withColumnRenamed("source", "context_id"), "context_id", ["table_pos"])
+
+
+def q_context_chunks_multi(spark, d):
+    """One context over tables of different schema, packed."""
+    tables = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "nation": "n_nationkey"}
+    chunks = context.union_chunks({t: _t(spark, d, t).drop("o_orderdate", "c_acctbal", "o_totalprice", "p_retailprice")
+                                   for t in tables}, "warehouse", tables)
+    packed = context.pack(chunks.withColumn("context_id", F.col("source")), "context_id", ["table_pos"], budget=1000)
+    return packed.select("context_id", "table_pos", "table_name", "n_rows", "tokens", "truncated", "content")
 
 
 # ---------------------------------------------------------------------------
@@ -450,6 +468,19 @@ def q_credit_admission(spark, d):
     return ledger.admission_summary(ledger.admission(derived.usage_events(spark, d)))
 
 
+def q_credit_admission_events(spark, d):
+    """Every event with its verdict and the balance after it."""
+    return ledger.admission(derived.usage_events(spark, d)).select("api_key", "event_id", "kind", "admitted", "balance_after")
+
+
+def q_metered_ledger(spark, d):
+    return derived.metered_ledger(spark, d).select("id", "api_key", "delta", "reason", "created_at")
+
+
+def q_metered_balance(spark, d):
+    return ledger.balances(derived.metered_ledger(spark, d))
+
+
 def q_payment_settlement(spark, d):
     s = ledger.settlements(derived.payment_events(spark, d))
     # the pack table is a fixed 5-row dimension: broadcast, no second pass over s
@@ -463,18 +494,23 @@ def q_payment_settlement(spark, d):
 # ---------------------------------------------------------------------------
 # workflow
 # ---------------------------------------------------------------------------
-def _curate(spark, d):
+def _curate(spark, d, mode="all"):
     doc = _t(spark, d, "documents").select("doc_id", "text", "lang", "source")
     return workflows.curate_with_audit(doc, {"lang": "text_upper", "source": "text_lower"},
-                                       dedup_keys=["text"], order_by=["doc_id"], redact_fields=[])
+                                       dedup_keys=["text"], order_by=["doc_id"], redact_fields=[], mode=mode)
 
 
 def q_curate_records(spark, d):
     return _curate(spark, d).select("doc_id", "text", "lang", "source")
 
 
+def q_curate_records_first(spark, d):
+    """The same with one pattern per value replaced."""
+    return _curate(spark, d, "first").select("doc_id", "text", "lang", "source")
+
+
 def q_curate_report(spark, d):
-    rep = workflows.curate_report(_curate(spark, d))
+    rep = workflows.curate_report(_curate(spark, d, "first"))
     return rep.withColumn("pii_types_found", F.concat_ws(",", "pii_types_found"))
 
 
@@ -494,9 +530,6 @@ QUERIES: dict[str, Query] = {
     "fetch_total_available": q_fetch_total_available,
     "table_counts": q_table_counts,
     "source_tables": q_source_tables,
-    "source_schema": q_source_schema,
-    "schema_text": q_schema_text,
-    "source_health": q_source_health,
     "json_safe_rows": q_json_safe_rows,
     "source_current_state": q_source_current_state,
     "source_catalog": q_source_catalog,
@@ -514,6 +547,7 @@ QUERIES: dict[str, Query] = {
     "pii_stats": q_pii_stats,
     "pii_redact_fields": q_pii_redact_fields,
     "pii_field_audit": q_pii_field_audit,
+    "pii_redact_all": q_pii_redact_all,
     "dedup_full": q_dedup_full,
     "dedup_keys": q_dedup_keys,
     "dedup_stats": q_dedup_stats,
@@ -523,11 +557,13 @@ QUERIES: dict[str, Query] = {
     "search_topk_filtered": q_search_topk_filtered,
     "search_topk_batch": q_search_topk_batch,
     "search_text_tfidf": q_search_text_tfidf,
+    "search_index_text": q_search_index_text,
     "search_ann_recall": q_search_ann_recall,
     "context_chunks": q_context_chunks,
     "context_pack": q_context_pack,
     "context_pack_ranked": q_context_pack_ranked,
     "context_totals": q_context_totals,
+    "context_chunks_multi": q_context_chunks_multi,
     "dataset_profile": q_dataset_profile,
     "dataset_top_values": q_dataset_top_values,
     "credit_balance": q_credit_balance,
@@ -541,7 +577,11 @@ QUERIES: dict[str, Query] = {
     "credit_refunds": q_credit_refunds,
     "credit_pricing": q_credit_pricing,
     "credit_admission": q_credit_admission,
+    "credit_admission_events": q_credit_admission_events,
+    "metered_ledger": q_metered_ledger,
+    "metered_balance": q_metered_balance,
     "payment_settlement": q_payment_settlement,
     "curate_records": q_curate_records,
+    "curate_records_first": q_curate_records_first,
     "curate_report": q_curate_report,
 }

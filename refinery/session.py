@@ -52,18 +52,13 @@ def build_session(master: str | None = None, app_name: str = "refinery",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the folder must be on shared storage and is configured by the
-    deployment; it is only invented here (under the system temp dir) when the
-    setting is absent, which is the local/test case.
-    """
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``; ValueError
+    where none is configured (a folder of one machine would not be shared)."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="refinery-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -76,20 +71,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when a scan yields fewer partitions than there are
-    task slots (few large row groups, small inputs) — only worth it in front of
-    CPU-heavy narrow work such as regex scans. At scale, inputs already have far
-    more splits than slots and this is a no-op (no extra shuffle).
-
-    Call it on a plain scan (or scan + projection): counting partitions plans the
-    input, and with AQE a plan containing shuffles would be materialised."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 _SHIPPED: set[str] = set()
 
 
@@ -135,25 +116,9 @@ def cached_columns(key: tuple, build):
     return _COLUMNS[full]
 
 
-_READS: dict[tuple[str, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table as a DataFrame, opened once per application and path (like
-    a connection pool: the file listing and footer schema are resolved once;
-    DataFrames are immutable, so sharing the handle is safe). Set
-    ``refinery.session.CACHE_READS = False`` for inputs that change in place."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    if not CACHE_READS:
-        return spark.read.parquet(path)
-    key = (spark.sparkContext.applicationId, os.path.abspath(path))
-    df = _READS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
-
-
-CACHE_READS = True
+    """Parquet table as a DataFrame, listed afresh at each call."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:

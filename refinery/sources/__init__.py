@@ -3,14 +3,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refinery.sources import crm
-
 _FILE_FORMATS = ("parquet", "csv", "json", "orc", "text")
 # JDBC flavours: type -> driver class name (the driver jar must be on the classpath).
 _JDBC_DRIVERS = {
@@ -19,7 +18,17 @@ _JDBC_DRIVERS = {
     "mysql": "com.mysql.cj.jdbc.Driver",
     "derby": "org.apache.derby.iapi.jdbc.AutoloadedDriver",
 }
-SOURCE_TYPES = tuple(_FILE_FORMATS) + tuple(_JDBC_DRIVERS) + (crm.FORMAT,)
+_OWN: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_source(source_type: str, opener: Callable[..., DataFrame]) -> None:
+    """Add a source type: ``opener(spark, **options)`` returns a DataFrame (for
+    instance by ``spark.read.format`` of a Python data source)."""
+    _OWN[source_type] = opener
+
+
+def source_types() -> tuple[str, ...]:
+    return (*_FILE_FORMATS, *_JDBC_DRIVERS, *_OWN)
 
 
 def open_source(spark: SparkSession, source_type: str, **options) -> DataFrame:
@@ -44,17 +53,16 @@ def open_source(spark: SparkSession, source_type: str, **options) -> DataFrame:
         if driver and "driver" not in opts:
             opts["driver"] = driver
         return spark.read.format("jdbc").options(**opts).load()
-    if source_type == crm.FORMAT:
-        crm.register(spark)
-        return spark.read.format(crm.FORMAT).options(**options).load()
-    raise ValueError(f"Unsupported source type: {source_type}. Available: {list(SOURCE_TYPES)}")
+    if source_type in _OWN:
+        return _OWN[source_type](spark, **options)
+    raise ValueError(f"no reader for source type {source_type!r}; known types: {', '.join(source_types())}")
 
 
-def list_tables(spark: SparkSession, limit: int = 20) -> DataFrame:
+def list_tables(spark: SparkSession) -> DataFrame:
     """Name-sorted table list of the session catalogue (temp views included)."""
     names = sorted({t.name for t in spark.catalog.listTables()})
     schema = T.StructType([T.StructField("table_name", T.StringType(), False)])
-    return spark.createDataFrame([(n,) for n in names], schema).orderBy("table_name").limit(limit)
+    return spark.createDataFrame([(n,) for n in names], schema).orderBy("table_name")
 
 
 def table_schema(tables: dict[str, DataFrame]) -> DataFrame:
@@ -101,7 +109,7 @@ def source_health(tables: dict[str, DataFrame], source_name: str = "source") ->
 
 def json_safe(df: DataFrame) -> DataFrame:
     """Keep numbers, strings and booleans; render everything else as text
-    (timestamps as ISO text with microseconds, nested values as JSON); nulls stay null."""
+    (timestamps as ISO text, nested values as JSON); nulls stay null."""
     keep = (T.NumericType, T.StringType, T.BooleanType)
     cols = []
     for f in df.schema.fields:
@@ -109,7 +117,9 @@ def json_safe(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, keep) and not isinstance(f.dataType, T.DecimalType):
             cols.append(c)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            cols.append(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f.name))
+            # microseconds only where there are any, as Python prints them
+            text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            cols.append(F.regexp_replace(text, r"\.000000$", "").alias(f.name))
         elif isinstance(f.dataType, T.DateType):
             cols.append(F.date_format(c, "yyyy-MM-dd").alias(f.name))
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from refinery.operators import clean as cl
 from refinery.operators import ledger as lg
 from refinery.operators import redact as rd
-from refinery.plans import derived
+from refinery.constants import FREE_CREDITS
 from refinery.session import ship_package
 
 
@@ -77,7 +77,7 @@ ADMISSION_STATE = "balance long"
 
 def _admit_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Fold one key's rows of this micro-batch, continuing from its stored balance."""
-    bal = state.get[0] if state.exists else derived.FREE_CREDITS
+    bal = state.get[0] if state.exists else FREE_CREDITS
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
     ok, after, bal = lg.fold_admission(pdf["kind"].to_numpy(), pdf["cost"].to_numpy(), pdf["credits"].to_numpy(), bal)
     state.update((bal,))

@@ -6,7 +6,21 @@ from pyspark.sql import functions as F
 from refinery import sources
 from refinery.functions import sqlguard
 from refinery.operators import clean, dedup, ledger, query, redact
-from refinery.sources import crm
+
+
+PRODUCTS = [(i, f"product {i}", ("tools", "paper", "paint")[i % 3], 1.5 * i) for i in range(1, 13)]
+SALES = [(i, 1 + i % 12, ("open", "paid", "lost", "paid")[i % 4], 10.0 * i) for i in range(1, 21)]
+SALES_SCHEMA = "id int, product_id int, state string, total double"
+
+
+@pytest.fixture()
+def shop(spark):
+    """Two small tables of our own, as views and DataFrames."""
+    tables = {"products": spark.createDataFrame(PRODUCTS, "id int, name string, kind string, price double"),
+              "sales": spark.createDataFrame(SALES, SALES_SCHEMA)}
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return tables
 
 
 # --- dedup -----------------------------------------------------------------
@@ -126,66 +140,84 @@ def test_pii_non_string_never_scanned(spark):
     assert redact.redact(df, fields=[]).first().amount == 5551234567
 
 
-# --- demo CRM source -------------------------------------------------------
-def test_crm_tables_and_filters(spark):
-    t = crm.load_all(spark)
-    assert set(t) == {"companies", "contacts", "deals"}
-    assert t["companies"].count() == 8
-    assert "name" in t["companies"].columns and "revenue" in t["companies"].columns
-    assert query.fetch_rows(t["companies"], {"industry": "Software"}).count() == 2
-    assert query.run_query(spark, "SELECT * FROM deals WHERE stage = 'closed_won'").count() == 3
-    assert query.run_query(spark, "SELECT COUNT(*) AS count FROM contacts").first()[0] == 10
-    assert query.total_available(t["companies"], {"industry": "Software"}).first()[0] == 2
+# --- sources ---------------------------------------------------------------
+def test_tables_and_filters(spark, shop):
+    assert query.fetch_rows(shop["products"], {"kind": "tools"}).count() == 4
+    assert query.run_query(spark, "SELECT * FROM sales WHERE state = 'paid'").count() == 10
+    assert query.run_query(spark, "SELECT COUNT(*) AS n FROM products").first().n == 12
+    assert query.total_available(shop["products"], {"kind": "paint"}).first()[0] == 4
 
 
-def test_registry(spark):
-    df = sources.open_source(spark, "crm", table="deals")
-    assert df.count() == 8
-    with pytest.raises(ValueError):
+def test_registry_takes_own_sources(spark):
+    sources.register_source("counter", lambda spark, n: spark.range(int(n)))
+    assert sources.open_source(spark, "counter", n=7).count() == 7
+    assert "counter" in sources.source_types()
+    with pytest.raises(ValueError, match="oracle"):
         sources.open_source(spark, "oracle")
 
 
-def test_csv_json_roundtrip(spark, scratch):
-    t = crm.load_all(spark)
-    t["contacts"].write.mode("overwrite").option("header", True).csv(scratch + "/c")
-    t["contacts"].write.mode("overwrite").json(scratch + "/j")
-    c = sources.open_source(spark, "csv", path=scratch + "/c", header="true", schema=crm.SCHEMAS["contacts"])
-    j = sources.open_source(spark, "json", path=scratch + "/j", schema=crm.SCHEMAS["contacts"])
-    assert c.exceptAll(t["contacts"]).count() == 0 and j.exceptAll(t["contacts"]).count() == 0
+def test_csv_json_roundtrip(spark, shop, scratch):
+    shop["sales"].write.mode("overwrite").option("header", True).csv(scratch + "/c")
+    shop["sales"].write.mode("overwrite").json(scratch + "/j")
+    c = sources.open_source(spark, "csv", path=scratch + "/c", header="true", schema=SALES_SCHEMA)
+    j = sources.open_source(spark, "json", path=scratch + "/j", schema=SALES_SCHEMA)
+    assert c.exceptAll(shop["sales"]).count() == 0 and j.exceptAll(shop["sales"]).count() == 0
 
 
-def test_jdbc_derby_pushdown(spark):
+def test_jdbc_derby_pushdown(spark, shop):
     url = "jdbc:derby:memory:refinery_test;create=true"
-    t = crm.load_all(spark)
-    t["deals"].write.mode("overwrite").format("jdbc").options(
-        url=url, dbtable="deals", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
-    df = sources.open_source(spark, "derby", url=url, dbtable="deals", partitionColumn="ID",
-                             lowerBound=1, upperBound=9, numPartitions=2)
-    first_company = df.where(F.col("COMPANY_ID") == 1)
-    assert first_company.count() == 2
-    assert "EqualTo(company_id,1)" in first_company._jdf.queryExecution().executedPlan().toString()
+    shop["sales"].write.mode("overwrite").format("jdbc").options(
+        url=url, dbtable="sales", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    df = sources.open_source(spark, "derby", url=url, dbtable="sales", partitionColumn="ID",
+                             lowerBound=1, upperBound=21, numPartitions=2)
+    one = df.where(F.col("PRODUCT_ID") == 1)
+    assert one.count() == 1
+    assert "EqualTo(product_id,1)" in one._jdf.queryExecution().executedPlan().toString()
 
 
 # --- query routing and guard ----------------------------------------------
-def test_is_natural_language():
-    assert sqlguard.is_natural_language("show me all customers") is True
-    assert sqlguard.is_natural_language("what are the top deals?") is True
-    assert sqlguard.is_natural_language("SELECT * FROM users") is False
-    assert sqlguard.is_natural_language("select count(*) from orders") is False
-    assert sqlguard.is_natural_language("") is True
-
-
-def test_guard_applies_to_sql_path(spark):
-    with pytest.raises(ValueError):
-        query.run_query(spark, "DROP TABLE deals", mode="sql")
+@pytest.mark.parametrize("text,natural", [
+    ("list the best customers", True), ("how much was sold?", True), ("", True), ("selection of goods", True),
+    ("SELECT * FROM sales", False), ("select count(*) from sales", False), ("\t With x AS (SELECT 1) SELECT * FROM x", False),
+])
+def test_router(text, natural):
+    assert sqlguard.is_natural_language(text) is natural
+
+
+@pytest.mark.parametrize("sql", [
+    "DROP VIEW sales", "/* c */ DROP VIEW sales", "-- note\nDROP TABLE sales", "CREATE TABLE t2 USING parquet AS SELECT 1 AS a",
+    "WITH x AS (SELECT 1 AS a) INSERT INTO sales SELECT * FROM x", "INSERT OVERWRITE DIRECTORY '/tmp/x' USING csv SELECT 1",
+    "FROM sales INSERT INTO t1 SELECT id INSERT INTO t2 SELECT id", "TRUNCATE TABLE sales", "CACHE TABLE sales",
+    "SET spark.sql.shuffle.partitions=3", "CREATE OR REPLACE TEMP VIEW sales AS SELECT 1",
+])
+def test_guard_refuses_whatever_changes_something(spark, shop, sql):
+    for run in (lambda: query.run_query(spark, sql, mode="sql"), lambda: query.run_sql(spark, sql)):
+        with pytest.raises(sqlguard.NotReadOnly):
+            run()
+    assert spark.table("sales").count() == 20
+
+
+@pytest.mark.parametrize("sql,rows", [
+    ("WITH x AS (SELECT * FROM sales) SELECT * FROM x", 20), ("SELECT * FROM sales UNION ALL SELECT * FROM sales", 40),
+    ("VALUES (1), (2)", 2), ("SHOW TABLES LIKE 'sales'", 1), ("SELECT (SELECT max(id) FROM sales) AS m", 1),
+])
+def test_guard_lets_reading_pass(spark, shop, sql, rows):
+    assert query.run_query(spark, sql, mode="sql").count() == rows
+    assert query.run_sql(spark, sql).count() == rows
+
+
+def test_natural_language_without_translator(spark):
     with pytest.raises(NotImplementedError):
-        query.run_query(spark, "show me deals")
+        query.run_query(spark, "show me sales")
 
 
-def test_limit_always_applied(spark):
-    crm.load_all(spark)
-    df = query.run_query(spark, "SELECT id AS credit_limit FROM deals", limit=3)
-    assert df.count() == 3
+def test_limits(spark, shop):
+    spark.range(700).createOrReplaceTempView("many")
+    assert query.run_query(spark, "SELECT id AS credit_limit FROM sales", limit=3).count() == 3
+    assert query.run_query(spark, "SELECT id FROM many").count() == 100
+    assert query.run_query(spark, "SELECT id FROM many LIMIT 500").count() == 500
+    assert query.run_query(spark, "WITH m AS (SELECT id FROM many) SELECT id FROM m ORDER BY id LIMIT 300").count() == 300
+    assert query.run_query(spark, "SELECT id FROM (SELECT id FROM many LIMIT 500)").count() == 100
 
 
 # --- ledger ----------------------------------------------------------------
@@ -229,50 +261,56 @@ def test_all_mode_operator_matches_expression(spark):
     assert staged.agg(F.sum("_fields_redacted")).first()[0] == direct.where(F.size("_pii_types") > 0).count()
 
 
-def test_keyset_paging_covers_table_once(spark):
-    t = crm.load_all(spark)
+def test_keyset_paging_covers_table_once(spark, shop):
     seen, last = [], None
     while True:
-        page = [r.id for r in query.fetch_after(t["contacts"], "id", last, limit=3).collect()]
+        page = [r.id for r in query.fetch_after(shop["sales"], "id", last, limit=6).collect()]
         if not page:
             break
         seen += page
         last = page[-1]
-    assert seen == list(range(1, 11))
+    assert seen == list(range(1, 21))
 
 
-def test_offset_pages_are_disjoint_and_ordered(spark):
-    t = crm.load_all(spark)
-    p1 = [r.id for r in query.fetch_rows(t["deals"], limit=3, offset=0, order_by=["id"]).collect()]
-    p2 = [r.id for r in query.fetch_rows(t["deals"], limit=3, offset=3, order_by=["id"]).collect()]
+def test_offset_pages_are_disjoint_and_ordered(spark, shop):
+    p1 = [r.id for r in query.fetch_rows(shop["sales"], limit=3, offset=0, order_by=["id"]).collect()]
+    p2 = [r.id for r in query.fetch_rows(shop["sales"], limit=3, offset=3, order_by=["id"]).collect()]
     assert p1 == [1, 2, 3] and p2 == [4, 5, 6]
     with pytest.raises(ValueError):
-        query.fetch_rows(t["deals"], limit=0)
+        query.fetch_rows(shop["sales"], limit=0)
     with pytest.raises(ValueError):
-        query.fetch_rows(t["deals"], filters={"no_such": 1})
+        query.fetch_rows(shop["sales"], filters={"no_such": 1})
 
 
-def test_natural_language_path_uses_translator_and_guard(spark):
-    crm.load_all(spark)
-    df = query.run_query(spark, "how many deals are there", nl_to_sql=lambda q: "SELECT COUNT(*) AS n FROM deals")
-    assert df.first().n == 8
+def test_natural_language_path_uses_translator_and_guard(spark, shop):
+    df = query.run_query(spark, "how many sales are there", nl_to_sql=lambda q: "SELECT COUNT(*) AS n FROM sales")
+    assert df.first().n == 20
     with pytest.raises(ValueError):
-        query.run_query(spark, "remove all deals", nl_to_sql=lambda q: "DELETE FROM deals")
+        query.run_query(spark, "remove all sales", nl_to_sql=lambda q: "DELETE FROM sales")
 
 
-def test_list_tables_and_json_safe(spark):
-    crm.load_all(spark)
+def test_list_tables_and_json_safe(spark, shop):
+    import datetime as dt
+    for i in range(25):
+        spark.range(1).createOrReplaceTempView(f"view_{i:02d}")
     names = [r.table_name for r in sources.list_tables(spark).collect()]
-    assert names == sorted(names) and {"companies", "contacts", "deals"} <= set(names)
-    df = spark.createDataFrame([(1, [1, 2], {"a": None}, None)], "id int, xs array<int>, m map<string,string>, s string")
+    assert names == sorted(names) and {"products", "sales", "view_00", "view_24"} <= set(names)
+    df = spark.createDataFrame([(1, [1, 2], {"a": None}, None, dt.datetime(2024, 1, 2, 3, 4, 5),
+                                 dt.datetime(2024, 1, 2, 3, 4, 5, 60))],
+                               "id int, xs array<int>, m map<string,string>, s string, t timestamp, u timestamp")
     row = sources.json_safe(df).first()
     assert (row.id, row.xs, row.m, row.s) == (1, "[1,2]", '{"a":null}', None)
+    assert (row.t, row.u) == ("2024-01-02 03:04:05", "2024-01-02 03:04:05.000060")
+
 
+def test_schema_helpers(spark, shop):
+    text = {r.table_name: r.schema_text for r in sources.schema_text(sources.table_schema(shop)).collect()}
+    assert text["sales"] == "id (int), product_id (int), state (string), total (double)"
 
-def test_source_health_reports_failure_as_data(spark, scratch):
-    good = crm.load_all(spark)["deals"]
-    ok = sources.source_health({"deals": good}, "crm").first()
-    assert ok.connected and ok.sample_tables == ["deals"]
+
+def test_source_health_reports_failure_as_data(spark, shop, scratch):
+    ok = sources.source_health({"sales": shop["sales"]}, "shop").first()
+    assert ok.connected and ok.sample_tables == ["sales"]
     import os
     os.makedirs(scratch + "/corrupt")
     with open(scratch + "/corrupt/part-0.parquet", "w") as fh:
@@ -295,3 +333,33 @@ def test_packing_budget_edges(spark):
                    ("d", 1): (100, 400, False), ("d", 2): (100, 400, False)}
     got = {(r.ctx, r.pos): (r.tokens, len(r.content)) for r in context.pack(chunks, "ctx", ["pos"], budget=150).collect()}
     assert got[("c", 2)] == (50, 200) and ("c", 3) not in got
+
+
+def test_unknown_rule_keeps_the_type(spark):
+    df = spark.createDataFrame([(5, None, "x"), (None, "", "y")], "a int, b string, c string")
+    out = clean.clean(df, {"a": "no_such_rule", "b": "no_such_rule"})
+    assert dict(out.dtypes)["a"] == "int" and [tuple(r) for r in out.collect()] == [(5, "", "x"), (None, "", "y")]
+
+
+def test_redaction_keeps_columns_with_odd_names(spark):
+    df = spark.createDataFrame([("mail a@b.com", "x", "y")], "note string, __pii0 string, __all0_1 string")
+    for mode in ("first", "all"):
+        out = redact.redact(df, fields=[], mode=mode)
+        assert out.columns == df.columns and tuple(out.first()) == ("mail [REDACTED]", "x", "y")
+
+
+def test_read_table_sees_new_files(spark, scratch):
+    from refinery.session import read_table
+    spark.range(5).write.parquet(scratch + "/t.parquet")
+    assert read_table(spark, scratch, "t").count() == 5
+    spark.range(7).write.mode("append").parquet(scratch + "/t.parquet")
+    assert read_table(spark, scratch, "t").count() == 12
+
+
+def test_curated_text_matches_no_pattern(spark):
+    from refinery.functions import pii as pf
+    from refinery.operators import workflows
+    doc = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = workflows.curate(doc, {"text": "no_such_rule"}, ["text"], ["doc_id"], redact_fields=[])
+    hits = [F.col("text").rlike(pf.java_pattern(n)) for n, _ in pf.PII_PATTERNS]
+    assert out.where(F.greatest(*[h.cast("int") for h in hits]) == 1).count() == 0
