@@ -38,7 +38,7 @@ from refinery.llm.minhash import shingle_hashes
 from refinery.llm.store import in_tasks, saved
 from refinery.llm.textbatch import Words, pieces, utf8
 
-SAMPLE, WINDOW = 8_000, 8
+SAMPLE, WINDOW = 8_000, 4
 COMMON, SPECIFIC = 1500, 1500  # bytes of a dictionary
 SURE, ODDS = 3.0, 2.0  # standard errors, and the least log-odds, of a marking word
 LEAST_END, END_SHARE = 4, 0.001  # of toxic words that occur in ordinary ones: letters, share of documents

@@ -38,7 +38,7 @@ def by_force(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("split", ["97", "4096", "128m"])
+@pytest.mark.parametrize("split", ["3000", "128m"])
 def test_warc_round_trip_over_byte_ranges(spark, scratch, split):
     """Ranges far smaller than records, with payloads that do not compress (so that
     false magics and long members cross ranges)."""
@@ -97,7 +97,8 @@ def links_by_force(rows, threshold):
     units = []
     for _, v in rows:
         ok = v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v) and any(v)
-        units.append(np.array(v, float) / np.linalg.norm(v) if ok else None)
+        x = np.array(v, float) / max(map(abs, v)) if ok else None
+        units.append(x / np.linalg.norm(x) if ok else None)
     n = len(rows)
     parent = {i: i for i, _ in rows}
 
