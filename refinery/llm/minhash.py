@@ -12,9 +12,10 @@ out, so every such pair shares a key: none is lost. A longer signature of bytes
 (``CHECKS`` positions) then tells near pairs from accidental ones.
 
 Buckets are never expanded into all pairs. Members near their bucket's smallest id
-are joined into loose clusters; in buckets that still touch several clusters the
-rest is compared by signature, in blocks. After that every near pair lies inside
-one cluster. Links are confirmed inside clusters on the full shingle sets, starting
+are joined into loose clusters. A member left outside its bucket's cluster is then
+compared by signature with that cluster, once however many buckets they share, and
+with the bucket's other outsiders, all in blocks. After that every near pair lies
+inside one cluster. Links are confirmed inside clusters on the full shingle sets, starting
 from the document nearest to the cluster's commonest signature and skipping pairs
 that are joined already. A large cluster is cut into blocks; the blocks' central
 documents are treated likewise, level by level, and at last every document outside
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from refinery.llm.store import components, in_tasks, saved
 from refinery.llm.textbatch import Words, inner, mix, ngrams, pieces, powers
 
-POSITIONS, BITS, CHUNKS, CHECKS = 64, 16, 16, 256
+POSITIONS, BITS, CHECKS = 64, 16, 256
 MISS = 1e-5
 BLOCK = 512
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -65,8 +66,9 @@ def allowed_distance(similarity: float, positions: int = POSITIONS, miss: float
 
 def chunk_plan(distance: int) -> list[tuple[int, tuple[int, ...]]]:
     """(chunk, positions compared) of every key: for a chunk that may hold e
-    errors, all choices of its positions less e."""
-    chunks = min(CHUNKS, distance + 1)
+    errors, all choices of its positions less e. The fewest chunks are taken that may
+    hold one error at most: longer chunks tell more, more errors cost more keys."""
+    chunks = min(POSITIONS, -(-(distance + 1) // 2))
     spare = distance + 1 - chunks
     plan = []
     for c, at in enumerate(np.array_split(np.arange(POSITIONS), chunks)):
@@ -294,16 +296,29 @@ def _loose_clusters(reps: DataFrame, allowed: int, distance: int) -> DataFrame:
         star.join(by_id.toDF("a", "sa"), "a").join(by_id.toDF("b", "sb"), "b").select("a", "b", "sa", "sb"),
         _close(distance), "a long, b long"), "near")
     roots = components(near)
-    # Buckets whose members have several roots may hold near pairs still apart.
-    member = keys.join(roots.select(F.col("v").alias("id"), "root"), "id", "left") \
-        .select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")) \
-        .where("lo <> hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
-    spread = member.join(open_keys, "key") \
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("g").cast("long")).cast("int")) \
+    # Members outside their bucket head's cluster may be near other members: of that
+    # cluster (a), or outside like themselves (b).
+    main = heads.join(roots.select(F.col("v").alias("a"), F.col("root").alias("main")), "a", "left") \
+        .select("key", F.coalesce("main", "a").alias("main"))
+    outside = saved(
+        keys.join(roots.select(F.col("v").alias("id"), "root"), "id", "left").join(main, "key")
+        .select("key", "id", F.coalesce("root", "id").alias("root"), "main").where("root <> main"), "outside")
+    columns = ["key", "i", "j", "own", "id", "root"]
+    wanted = outside.select(F.col("main").alias("key"), "id", "root").distinct()
+    inside = roots.select(F.col("root").alias("key"), F.col("v").alias("id"), "root").join(
+        wanted.select("key").distinct(), "key", "left_semi")
+    size = inside.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
+    block = F.pmod(F.xxhash64("id"), F.col("g").cast("long")).cast("int")
+    seekers = F.lit(-1)  # the block of those that are compared with all blocks of a cluster
+    rows_a = inside.join(size, "key").select("key", block.alias("i"), seekers.alias("j"), block.alias("own"), "id", "root").union(
+        wanted.join(size, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"),
+                                        seekers.alias("j"), seekers.alias("own"), "id", "root"))
+    open_keys = outside.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")) \
+        .where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
+    rows_b = outside.join(open_keys, "key").withColumn("own", block) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))) \
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
-    spread = spread.join(by_id, "id").select("key", "i", "j", "own", "id", "root", "check")
+    spread = rows_a.union(rows_b).join(by_id, "id").select(*columns, "check")
     more = saved(in_tasks(spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"),
                           _blocks(distance), "a long, b long").distinct(), "near")
     return roots if more.isEmpty() else components(near.union(more))
