@@ -113,7 +113,7 @@ class _Numbers(dict):
 
 def _pack(*arrays: np.ndarray) -> bytes:
     raw = b"".join(a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(blob: bytes) -> bytes:
@@ -197,7 +197,7 @@ class _Block:
             mine = [raw[i] for i in own]
             ranks = rank[own]
             yield (int(p), block, 0, len(mine), _pack(np.fromiter(map(len, mine), np.uint32, len(mine))),
-                   zstandard.ZstdCompressor(level=1).compress(b"".join(mine)),
+                   zstandard.ZstdCompressor(level=3).compress(b"".join(mine)),
                    _pack(np.diff(ranks, prepend=0).astype(np.uint32)))
         known = np.array([i is not None for i in self.ids], bool)
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
