@@ -24,7 +24,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from refinery.llm.store import in_tasks, saved
 from refinery.llm.textbatch import Words, pieces, utf8
 
 SAMPLE = 20_000
-TREES, DEPTH, PENALTY, SEED = 24, 3, 0.002, 7
+TREES, DEPTH, PENALTY, SEED = 16, 3, 0.002, 7
 
 _CLASS_NAMES = ("space", "newline", "lower", "upper", "digit", "stop", "shout", "quote", "symbol", "other_ascii", "wide")
 _CLASSES = np.full(256, 9, np.uint8)
@@ -114,18 +113,22 @@ class RuleModel:
 
     def score(self) -> Column:
         """Probability of label 1 as an expression over the statistics."""
-        parts = [F.when(condition(r), F.lit(w)).otherwise(F.lit(0.0)) for r, w in self.rules]
-        return 1.0 / (1.0 + F.exp(-reduce(lambda a, b: a + b, parts, F.lit(self.bias))))
+        total = " + ".join([f"{self.bias!r}D", *(f"if({_sql(r)}, {w!r}D, 0D)" for r, w in self.rules)])
+        return F.expr(f"1D / (1D + exp(-({total})))")
 
 
-def condition(rule: Rule) -> Column:
+def _sql(rule: Rule) -> str:
     bounds = []
     for name, above, most in rule:
         if above > -math.inf:
-            bounds.append(F.col(name) > above)
+            bounds.append(f"{name} > {float(above)!r}D")
         if most < math.inf:
-            bounds.append(F.col(name) <= most)
-    return reduce(lambda a, b: a & b, bounds)
+            bounds.append(f"{name} <= {float(most)!r}D")
+    return " and ".join(bounds)
+
+
+def condition(rule: Rule) -> Column:
+    return F.expr(_sql(rule))
 
 
 def _paths(node, held: dict[str, tuple[float, float]], out: set[Rule]) -> None:
@@ -164,12 +167,12 @@ def fit(stats: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> RuleMod
     if not rules:
         share = seen[1.0] / sum(seen.values())
         return RuleModel(math.log(share / (1 - share)), ())
-    truth = rows.select("label", F.array(*(condition(r).cast("double") for r in rules)).alias("t"))
+    truth = rows.select("label", F.expr(f"array({', '.join(f'if({_sql(r)}, 1D, 0D)' for r in rules)})").alias("t"))
     from pyspark.ml.functions import array_to_vector
 
     truth = saved(truth.select("label", array_to_vector("t").alias("x")), "rules")
     lasso = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, regParam=PENALTY,
-                               standardization=False, maxIter=60, tol=1e-5).fit(truth)
+                               standardization=False, maxIter=40, tol=1e-5).fit(truth)
     weights = lasso.coefficients.toArray()
     return RuleModel(float(lasso.intercept), tuple((r, float(w)) for r, w in zip(rules, weights) if w != 0.0))
 
