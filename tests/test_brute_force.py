@@ -62,7 +62,7 @@ def test_stored_index_upsert_and_delete_touch_only_their_sources(spark, scratch)
     search.delete_stored(spark, path, "a")
     assert sorted(r.source_id for r in spark.read.parquet(path).collect()) == ["b", "c"]
     queries = spark.createDataFrame([(1, "something new"), (2, "nothing else")], "item_id int, text string")
-    found = textsearch.search_index(spark.read.parquet(path), queries, source="c").collect()
+    found = textsearch.search_index(spark.read.parquet(path), queries).collect()
     assert [(r.query_id, r.content, r.metadata["table"]) for r in found] == [(1, "new", "t")]
 
 
