@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refinery.llm.store import in_tasks
-from refinery.llm.textbatch import LOWER, Words, pieces, utf8
+from refinery.llm.textbatch import LOWER, Words, pieces
 
 SAMPLE = 2_000
 BUCKETS = 1 << 16  # of trigrams, and as many of words
@@ -148,7 +148,8 @@ def train(docs: DataFrame, *, sample: int = SAMPLE) -> Model:
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     size = docs.groupBy("lang").agg(F.count("*").alias("n"))
     hashed = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    taken = docs.join(size, "lang").where(hashed < F.lit(float(1 << 30)) * sample / F.col("n")) \
+    # One row a language (as many as the model holds): texts are not dealt by language.
+    taken = docs.join(F.broadcast(size), "lang").where(hashed < F.lit(float(1 << 30)) * sample / F.col("n")) \
         .select("lang", "text")
     sums = in_tasks(taken, _counts, "lang string, bucket int, n long") \
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
