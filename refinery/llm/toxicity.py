@@ -138,7 +138,9 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     size = labels.groupBy("label").agg(F.count("*").alias("n"))
     taken = labels.join(size, "label").where(
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * sample / F.col("n"))
-    return in_tasks(docs.join(taken.select("doc_id", "label"), "doc_id").select("doc_id", "label", "text"), _clean,
+    # About 2 * SAMPLE short rows: broadcast, so that no text is dealt out to pick them.
+    rows = docs.join(F.broadcast(taken.select("doc_id", "label")), "doc_id").select("doc_id", "label", "text")
+    return in_tasks(rows, _clean,
                     "doc_id long, label int, text string, words array<string>, least array<long>")
 
 
@@ -203,7 +205,7 @@ def _calibrated(rows: DataFrame) -> Column:
 def scored(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted of every row; ``labels``: (doc_id, label 0/1) to learn from."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labels = labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+    labels = labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     taken = saved(_sample(texts, labels, sample), "toxic_sample")
     seen = {r["label"]: r["count"] for r in taken.groupBy("label").count().collect()}
     if len(seen) < 2:
