@@ -4,8 +4,10 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,6 +371,44 @@ def test_decontamination_finds_verbatim_and_paraphrases(spark, monkeypatch):
     assert wrong == []
 
 
+def test_decontamination_without_the_rarest_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(300)
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    uses = Counter(w for t in texts.values() for w in (t or "").lower().split())
+    rng = random.Random(5)
+    rows, planted = list(texts.items()), set()
+    for n, r in enumerate(bench.where("text is not null").orderBy("item_id").limit(60).collect()):
+        w = r.text.split()
+        rare = set(sorted(range(len(w)), key=lambda k: uses[w[k].lower()])[:int(len(w) * 0.35)])
+        w = [f"new{rng.randrange(10 ** 7)}" if k in rare else x for k, x in enumerate(w)]
+        if decontam.lcs(*(decontam.words_of(x).tolist() for x in (r.text, " ".join(w)))) \
+                >= 0.6 * len(decontam.words_of(r.text)):
+            host = rng.choice([t for t in texts.values() if t]).split()[:200]
+            rows.append((10_000 + n, " ".join(host[:100] + w + host[100:])))
+            planted.add((10_000 + n, r.item_id))
+            if n == 0:  # an item copied into most documents, at any place
+                rows += [(20_000 + k, " ".join(host[:k % 90] + [r.text] + host[k % 90:])) for k in range(1_000)]
+                planted |= {(20_000 + k, r.item_id) for k in range(1_000)}
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, rows), bench).collect()}
+    assert len(planted) > 1_030
+    assert planted - got == set()
+
+
+def test_places_of_a_copied_item_count_once():
+    item = decontam.words_of("alpha beta gamma")
+    block = decontam.Block([1], [item], [item])
+    texts = pa.array(["x " * k + "one alpha beta gamma two" for k in range(50)]
+                     + [f"p{k} beta q{k}" for k in range(3_000)])
+    words = decontam.Words(texts, keep=decontam.ALNUM, lower=True)
+    h = words.hashes()
+    at, term = block.terms(h)
+    registers = np.zeros((3, decontam.REGISTERS), np.uint8)
+    decontam._register(registers, term, decontam._places(words, h, at))
+    n = decontam._distinct_places(registers)[np.searchsorted(block.vocab, item)]
+    assert abs(n[0] - 1) < 0.1 and abs(n[2] - 1) < 0.1 and 2_000 < n[1] < 4_000
+
+
 def test_decontamination_empty_sides(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "other text of the same id")], "item_id long, text string")
