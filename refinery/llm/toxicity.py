@@ -5,12 +5,15 @@ cover trainer they are made of segments chosen by score: first the words common
 all text, the same in both, then the words that mark the one class. A word's score
 is a lower confidence bound of its log-odds between classes, counted once a
 document, and copies of a document count once (documents that share any of four
-minhashes), so that a group of copies with one label does not become a mark.
+minhashes), so that a group of copies with one label does not become a mark. Every
+word that marks a class is held, and zstandard's tables grow with the dictionary.
 
 A text is cut into windows of ``WINDOW`` words. A window is compressed with either
 dictionary, and the difference of the lengths is its distance: where only the toxic
 dictionary matches, the toxic one is shorter. Dictionaries and windows share a
-leading mark, so that all windows are coded alike and short ones are not stored.
+leading mark, so that all windows are coded alike and short ones are not stored;
+every word stands between marks of its own, so that one of two letters is a match
+whatever the words beside it are.
 A document's three largest distances are compared with a row of thresholds each,
 whose weights a logistic fit calibrates to a probability.
 
@@ -26,6 +29,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,9 +43,11 @@ from refinery.llm.store import in_tasks, saved
 from refinery.llm.textbatch import Words, pieces, utf8
 
 SAMPLE, WINDOW = 8_000, 4
-COMMON, SPECIFIC = 1500, 1500  # bytes of a dictionary
+COMMON = 1500  # bytes of a dictionary for words of all text
+LEAST_MATCH = 6  # bytes: a word of two letters with the marks around it
+_OPEN, _CLOSE = b"((", b"))"
 SURE, ODDS = 3.0, 2.0  # standard errors, and the least log-odds, of a marking word
-LEAST_END, END_SHARE = 4, 0.001  # of toxic words that occur in ordinary ones: letters, share of documents
+LEAST_END, END_SHARE = LEAST_MATCH - 2, 0.001  # of toxic words that occur in ordinary ones: bytes, share of documents
 FEATURES = ("first", "second", "third")
 #: Thresholds of the largest, second and third distance of a document, in bytes.
 STEPS = {"first": range(2, 11), "second": range(2, 8), "third": range(2, 8)}
@@ -54,22 +60,28 @@ _MARK = bytes((*range(1, 9), *range(14, 22)))
 def _compressor(content: bytes):
     import zstandard
 
+    room = max(13, (2 * len(content)).bit_length())
+    alike = Counter(content[i:i + LEAST_MATCH] for i in range(len(content)))  # the matches of a place
+    tries = max((n for part, n in alike.items() if part.strip()), default=1)
     params = zstandard.ZstdCompressionParameters(
-        window_log=13, hash_log=12, chain_log=12, search_log=4, min_match=6, target_length=0,
+        window_log=room, hash_log=room - 1, chain_log=room - 1, search_log=max(4, tries.bit_length()),
+        min_match=LEAST_MATCH, target_length=0,
         strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
     trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     trained.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=trained, compression_params=params)
 
 
-def segments(words: list[bytes], size: int) -> bytes:
-    """Words with the spaces around them, the best last (nearest to the text)."""
-    out = b" "
+def segments(words: list[bytes], size: int | None = None) -> bytes:
+    """Words with their marks, the best last (nearest to the text): all, or the best
+    that fit ``size``. The space between two is in no window, so matches end there."""
+    held, length = [], 0
     for w in words:
-        if len(out) + len(w) + 1 > size:
+        length += len(_OPEN) + len(w) + len(_CLOSE) + 1
+        if size is not None and length > size:
             break
-        out = b" " + w + out
-    return out
+        held.append(_OPEN + w + _CLOSE + b" ")
+    return b"".join(reversed(held))
 
 
 @dataclass(frozen=True)
@@ -80,7 +92,7 @@ class Dictionaries:
     @staticmethod
     def of(common: list[bytes], toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
         shared = segments(common, COMMON)
-        a, b = segments(toxic, SPECIFIC), segments(ordinary, SPECIFIC)
+        a, b = segments(toxic), segments(ordinary)
         size = max(len(a), len(b))  # equal sizes: shared words are equally far away
         return Dictionaries(shared + a.rjust(size) + _MARK, shared + b.rjust(size) + _MARK)
 
@@ -102,7 +114,7 @@ def _distances(dictionaries: Dictionaries):
                     continue
                 d = []
                 for at in range(0, len(words), WINDOW):
-                    window = _MARK + b" " + b" ".join(words[at:at + WINDOW]) + b" "
+                    window = _MARK + b"".join(_OPEN + w + _CLOSE for w in words[at:at + WINDOW])
                     d.append(len(ordinary(window)) - len(toxic(window)))
                 d = sorted(d, reverse=True)[:len(FEATURES)]
                 rows[i, :len(d)] = d
@@ -159,28 +171,28 @@ def train(sample: DataFrame) -> Dictionaries:
     error = SURE * F.sqrt(1 / F.col("a") + 1 / F.col("b"))
     word = saved(word.select("word", "a", "b", (odds - error).alias("t"), (-odds - error).alias("o")), "words")
 
-    def best(order: Column, condition: str) -> list[bytes]:
-        found = word.where(condition).orderBy(order.desc(), "word").limit(400).collect()
-        return [r["word"].encode() for r in found]
+    def best(order: Column, condition: str, limit: int | None = None) -> list[bytes]:
+        found = word.where(condition).orderBy(order.desc(), "word")
+        return [r["word"].encode() for r in (found.limit(limit) if limit else found).collect()]
 
     toxic = best(F.col("t"), f"t >= {ODDS}")
     ends = [e.encode() for e in _ordinary_ends(word, toxic, n0)]
-    return Dictionaries.of(best(F.col("a") / n1 + F.col("b") / n0, f"t < {ODDS} and o < {ODDS}"),
+    return Dictionaries.of(best(F.col("a") / n1 + F.col("b") / n0, f"t < {ODDS} and o < {ODDS}", COMMON // 4),
                            toxic, ends + best(F.col("o"), f"o >= {ODDS}"))
 
 
 def _ordinary_ends(word: DataFrame, toxic: list[bytes], documents: int) -> list[str]:
     """Beginnings and ends of toxic words that ordinary words have as well. In the
     ordinary dictionary they keep such words from looking toxic."""
-    ends = {kind + part for w in (t.decode("utf8", "replace") for t in toxic) for k in range(LEAST_END, len(w))
-            for kind, part in (("<", w[:k]), (">", w[-k:]))}
+    ends = {kind + part for w in (t.decode("utf8", "replace") for t in toxic) for k in range(1, len(w))
+            for kind, part in (("<", w[:k]), (">", w[-k:])) if len(part.encode()) >= LEAST_END}
     if not ends:
         return []
-    sizes = F.sequence(F.lit(LEAST_END), F.least(F.length("word") - 1, F.lit(max(map(len, ends)))))
+    sizes = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(max(map(len, ends)) - 1)))
     parts = F.concat(F.transform(sizes, lambda k: F.concat(F.lit("<"), F.substring("word", F.lit(1), k))),
                      F.transform(sizes, lambda k: F.concat(F.lit(">"), F.substring("word", -k, k))))
     wanted = word.sparkSession.createDataFrame([(e,) for e in sorted(ends)], "part string")
-    found = word.where(F.length("word") > LEAST_END).select(F.explode(parts).alias("part"), "b").join(wanted, "part") \
+    found = word.where(F.octet_length("word") > LEAST_END).where("length(word) > 1").select(F.explode(parts).alias("part"), "b").join(wanted, "part") \
         .groupBy("part").agg(F.sum(F.col("b") - 0.5).alias("n")).where(F.col("n") >= max(3, documents * END_SHARE)) \
         .orderBy(F.desc("n"), "part").collect()
     return [r["part"][1:] for r in found]

@@ -302,6 +302,35 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out.collect())
 
 
+def test_toxicity_dictionaries_hold_every_mark():
+    rng = random.Random(8)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхц", "αβγδεζηθικλμνξοπρστυ", "áéíóúñçãõüöä"]
+    marks = sorted({"".join(rng.choices(abc, k=n)) for abc in letters for n in (2, 3, 3, 5, 8) for _ in range(60)})
+    other = [f"{w}{n}" for w in ("plain", "usual", "every") for n in "bcdfghjklm"]
+    words = ["the", "and", "with"]
+    mark, plain = ([w.encode() for w in ws] for ws in (marks, other))
+    held = toxicity.Dictionaries.of([w.encode() for w in words], mark, plain)
+    rows = [(n, f"the {w} and with") for n, w in enumerate(marks)] + [(-1, "the and with the and")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])],
+                                       names=["doc_id", "text"])
+    got = [d for b in toxicity._distances(held)([batch]) for d in b.column("first").to_pylist()]
+    assert len(marks) > 900 and [w for w, d in zip(marks, got) if d < 2] == [] and got[-1] <= 0
+
+
+def test_toxicity_of_a_three_letter_mark(spark):
+    rng = random.Random(2)
+    plain = [f"w{rng.randrange(10 ** 5)}x" for _ in range(2_000)]
+    rows = []
+    for n in range(1_500):
+        w = rng.choices(plain, k=20)
+        if n % 2:
+            w[rng.randrange(20)] = "kys"
+        rows.append((n, " ".join(w)))
+    labels = spark.createDataFrame([(n, n % 2) for n in range(1_200)], "doc_id long, label int")
+    got = toxicity.scored(frame(spark, rows), labels).where("doc_id >= 1200").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.98
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
