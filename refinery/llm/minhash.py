@@ -387,7 +387,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 4, den: int
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document of smallest id."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component stays, that of smallest id (a null one last). Every
+    row is a vertex of its own, so rows without an id or with one id are told apart.
+    Rows without words link with nothing and stay."""
+    vertex = "vertex"
+    while vertex in docs.columns:
+        vertex += "_"
+    # Written once: the numbers must not change when the rows are read again.
+    rows = saved(docs.withColumn(vertex, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, id_col=vertex, text_col=text_col, **options) \
+        .select(F.col("doc_id").alias(vertex), "component_id")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(vertex))
+    stay = rows.select(vertex, order.alias("order")).join(found, vertex).groupBy("component_id") \
+        .agg(F.min("order").getField(vertex).alias(vertex)).select(vertex)
+    return rows.join(stay, vertex, "left_semi").select(*docs.columns)

@@ -37,6 +37,24 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     assert len(good & ids) / len(good) > 0.97
 
 
+def test_null_and_repeated_ids_through_the_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    rng = random.Random(6)
+    own = [" ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(80)) for _ in range(6)]
+    planted = [(None, own[0]), (None, own[1]), (None, own[1] + " end"),  # without ids
+               (80_001, own[2]), (80_001, own[2]),  # a repeated row
+               (80_002, own[3]), (80_003, own[4]), (80_003, own[3] + " end"),  # two texts of one id
+               (None, own[5]), (80_004, own[5])]
+    rows = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in planted], docs.schema)
+    out = docs.union(rows)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, out, SF)
+    got = [(r.doc_id, r.text) for r in out.collect() if r.doc_id is None or r.doc_id > 80_000]
+    alone = [t for i, t in got if i is None]
+    assert own[0] in alone and len(alone) == 2 and len({own[1], own[1] + " end"} & set(alone)) == 1
+    assert sorted(x for x in got if x[0]) == [(80_001, own[2]), (80_002, own[3]), (80_003, own[4]), (80_004, own[5])]
+
+
 def test_run_is_the_stages_in_turn(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
