@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refinery.llm import bpe, decontam, langid, license, minhash, multi_index, rules, substring, toxicity, warc
+from refinery.llm import (
+    bpe, collocations, decontam, langid, license, minhash, multi_index, rules, substring, suffixes, toxicity, warc, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,21 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.labels(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 leading components of all embeddings, whitened."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 100-byte strings that occur earlier, removed from every document."""
+    return suffixes.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to four words of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_decontam": op2_decontam,
@@ -74,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_minhash": op9_minhash,
     "op10_license": op10_license,
+    "op11_whitening": op11_whitening,
+    "op12_suffixes": op12_suffixes,
+    "op13_collocations": op13_collocations,
 }
 
 #: None of these can be said in SQL with the method's own results; tests hold them
