@@ -285,7 +285,8 @@ def _homes(right: np.ndarray, dlo: np.ndarray, dhi: np.ndarray, splitters: np.nd
     one = first == last
     parts = [(which[one], first[one], dlo[one], dhi[one])]
     across = which[~one]
-    for some in np.array_split(across, len(across) // 4096 + 1):
+    for k in range(0, len(across), 4096):
+        some = across[k:k + 4096]
         size = dhi[some] - dlo[some] + 1
         each = np.repeat(some, size)
         d = ragged(dlo[some], size)

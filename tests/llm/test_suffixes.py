@@ -67,6 +67,13 @@ def test_windows_across_splitters_and_parts(spark, monkeypatch):
     check(spark, rows, bucket_bytes=500)
 
 
+def test_no_window_across_a_splitter(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=400)) for _ in range(50)]
+    want = check(spark, list(enumerate(texts)) + [(100 + i, t[150:]) for i, t in enumerate(texts)], bucket_bytes=10_000)
+    assert [r[2] for r in want].count(250) == 50
+
+
 def test_hot_passage_ranks_last(spark):
     """Windows that hold some bytes of their own are not sorted under a passage of all documents."""
     rng = random.Random(2)
