@@ -5,12 +5,14 @@ end): one padded window of the longest order. Only these windows are counted; Sp
 ROLLUP over their columns then sums them to every shorter prefix, which gives the
 frequency of all phrases of one to four words without exploding n-grams of each order.
 
-A window also ends before a pair of adjacent words that is rare for certain: a
-candidate of ``LEAST`` occurrences holds no rarer pair, so candidates, and the parts of
-candidates, keep their exact frequency (single words keep all theirs). Certainty comes
-from a table of counters indexed by a hash of (lang, pair), each an upper bound of its
-pairs' counts. Its size follows the number of bytes up to a bound (``sketch.MAX_SLOTS``); a fuller table
-ends fewer windows, which costs shuffle and changes no result.
+A window also ends before a word that makes its prefix rare for certain: candidates of
+``LEAST`` occurrences, and the parts of candidates, are no rarer, so they keep their exact
+frequency (single words keep all theirs), and rare tails collapse in the task that reads
+them. Certainty comes from tables of counters, one for each order, indexed by a hash of
+(lang, phrase), each an upper bound of its phrases' counts; a phrase is counted only if its
+parts may be frequent. A table's size follows the number of bytes up to a bound
+(``sketch.MAX_SLOTS``); a fuller one ends fewer windows, which costs shuffle and changes
+no result.
 
 All counts are exact: words are told apart by their bytes, and scores are computed with
 decimals. Everything after the windows is joins and aggregates on phrases that occur
@@ -59,15 +61,20 @@ class _Slice:
         self.follows = np.zeros(len(words), bool)  # the next word is of the same piece
         self.follows[:-1] = (piece[1:] == piece[:-1]) & (words.doc[1:] == words.doc[:-1])
 
-    def pairs(self) -> np.ndarray:
-        """Hash of the pair that each word begins (of no meaning at the end of a piece)."""
-        h = self.words.hashes()
+    def lasting(self, often: list[np.ndarray], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 2, 3, ... ``order`` words from each word on: whether they are of one piece and, as far
+        as ``often`` (bits for each of these orders) goes, may be frequent; and their hash."""
+        n, h = len(self.words), self.words.hashes()
         salt = np.array([hash_of(x) for x in self.langs.to_pylist()], np.uint64)
-        pair = h * _M
-        pair[:-1] ^= h[1:]
-        if len(pair):
-            pair = mix(pair ^ salt[self.lang])
-        return pair
+        phrase = mix(h ^ salt[self.lang]) if n else h
+        stays = np.ones(n, bool)
+        for m in range(2, order + 1):
+            # Both parts of one word less stay, and no piece ends between.
+            stays = np.append(stays[:-1] & stays[1:] & self.follows[:-1], False)[:n] if m > 2 else self.follows.copy()
+            phrase = np.append(mix(phrase[:n - m + 1] * _M ^ h[m - 1:]), np.zeros(min(m - 1, n), np.uint64))[:n]
+            if m - 2 < len(often):
+                stays &= reached(often[m - 2], phrase)
+            yield stays, phrase
 
     def ids(self) -> tuple[pa.Array, np.ndarray]:
         """Distinct words, and the number of each word among them."""
@@ -85,29 +92,33 @@ def hash_of(lang: str) -> int:
     return zlib.crc32(lang.encode()) * 0x9E3779B97F4A7C15 % (1 << 64)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    for batch in pieces(batches, "text", SLICE_BYTES):
-        part = _Slice(batch)
-        yield part.pairs()[part.follows]
+def _phrases(bits: list[bytes], order: int):
+    """Hashes of the phrases of ``order`` words whose parts may be frequent."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        often = [np.frombuffer(b, np.uint8) for b in bits]
+        for batch in pieces(batches, "text", SLICE_BYTES):
+            for stays, phrase in _Slice(batch).lasting(often, order):
+                pass
+            yield phrase[stays]
+    return found
 
 
-def _windows(bits: bytes, order: int):
+def _windows(bits: list[bytes], order: int):
     """Distinct padded windows of each slice with their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.frombuffer(bits, np.uint8)
+        often = [np.frombuffer(b, np.uint8) for b in bits]
         for batch in pieces(batches, "text", SLICE_BYTES):
             part = _Slice(batch)
             n = len(part.words)
             if not n:
                 continue
-            goes_on = part.follows & reached(often, part.pairs())
             words, ids = part.ids()
             key = part.lang.astype(np.int64) * len(words) + ids
-            leads, inside = [ids], np.ones(n, bool)
-            for j in range(1, order):
-                inside = inside[:n - j] & goes_on[j - 1:n - 1]
+            leads = [ids]
+            for j, (stays, _) in enumerate(part.lasting(often, order), 1):
                 lead = np.zeros(n, np.int64)  # 0: null
-                lead[:n - j] = np.where(inside, ids[j:] + 1, 0)
+                at = np.flatnonzero(stays)
+                lead[at] = ids[at + j] + 1
                 leads.append(lead)
                 # Windows so far, numbered anew, so that a further word fits beside the number.
                 _, key = np.unique(key * (len(words) + 1) + lead, return_inverse=True)
@@ -137,7 +148,9 @@ def window_counts(docs: DataFrame, *, order: int = ORDER, least: int = LEAST, sl
     if slots is None:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         slots = slots_for(size // 24)
-    often = frequent(texts, _pairs, slots, least)
+    often: list[bytes] = []
+    for m in range(2, order + 1):
+        often.append(frequent(texts, _phrases(often, m), slots, least))
     ddl = ", ".join(["lang string", *(f"{c} string" for c in _names(order)), "n long"])
     return in_tasks(texts, _windows(often, order), ddl)
 

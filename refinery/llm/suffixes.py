@@ -49,7 +49,7 @@ LENGTH, GRAM = 100, 16
 NO_ID = (1 << 63) - 1
 SLICE_BYTES = 4 << 20
 #: Text bytes behind a bucket, splitters at most.
-BUCKET_BYTES, MAX_SPLITTERS = 16 << 20, 1 << 14
+BUCKET_BYTES, MAX_SPLITTERS = 8 << 20, 1 << 14
 #: The sample: pieces of texts, of so many characters each, drawn in proportion to length. Grams in
 #: at least this share of the pieces (and in 3) rank last; of these the most frequent, up to a number.
 SAMPLE_PIECES, PIECE_CHARS, HOT_SHARE, HOT_GRAMS = 1024, 4096, 0.004, 1 << 16
@@ -379,7 +379,9 @@ def _sorted_buckets(length: int, gram: int):
         size = length + dhi - dlo
         begin = np.cumsum(size) - size + dhi  # the suffix in ``data``
         # Only grams that two places share need sorting.
-        _, group, count = np.unique(Grams.hashes(data, gram)[begin], return_inverse=True, return_counts=True)
+        first = np.lib.stride_tricks.sliding_window_view(data, gram)[begin].ravel()
+        _, group, count = np.unique(Grams.hashes(first, gram)[::gram], return_inverse=True, return_counts=True)
+        del first
         pick = np.flatnonzero(count[group] > 1)
         pick = pick[np.lexsort((at[pick], doc[pick]))]
         if len(pick) < 2:
