@@ -30,6 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refinery.llm.store import in_tasks
 from refinery.llm.textbatch import pieces, ragged, utf8
@@ -39,8 +40,8 @@ _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text where no pre-token can run across: before single spaces and around
 #: runs of white space. Each piece is then matched by the real pattern, once.
 _CUT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-BLOCK_BYTES = 16 << 20
-ROWS_OUT_BYTES = 8 << 20
+BLOCK_BYTES = 8 << 20
+ROWS_OUT_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -211,7 +212,7 @@ def _split(pattern: str, parts: int, block_bytes: int):
 
         compiled = regex.compile(pattern)
         base, n, block = TaskContext.get().partitionId() << 32, 0, _Block()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", min(block_bytes, 1 << 20)):
             block.add(batch)
             if block.bytes >= block_bytes:
                 yield from _bounded(block.rows(base + n, compiled, parts))
@@ -233,6 +234,13 @@ def _bounded(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield _rows(kept)
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: a batch's packs are not copied all at once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _encode_words(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known, part = ranks.value, {}, None  # known: words of the part at hand
@@ -254,21 +262,18 @@ def _encode_words(ranks):
             flat = np.array([i for ids in found for i in ids], np.uint32)
             return row["part"], row["block"], 2, row["n"], _pack(counts), _pack(flat), row["c"]
 
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield from _bounded(tuple(r[f.name] for f in _ROW) if r["kind"] == 1 else reply(r) for r in rows)
+        yield from _bounded(tuple(r[f.name] for f in _ROW) if r["kind"] == 1 else reply(r) for r in _each(batches))
     return run
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (block, kind): a block's documents, then its packs of ids."""
     held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["block"] != held[0]["block"]:
-                yield from _documents(held)
-                held = []
-            held.append(row)
+    for row in _each(batches):
+        if held and row["block"] != held[0]["block"]:
+            yield from _documents(held)
+            held = []
+        held.append(row)
     if held:
         yield from _documents(held)
 
@@ -331,14 +336,13 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = table.value.__getitem__
-        for batch in batches:
-            out = [None if v is None else b"".join(map(get, np.frombuffer(v, "<u4").tolist()))
-                   for v in batch.column("ids").to_pylist()]
+        for batch in pieces(batches, "ids", ROWS_OUT_BYTES):
+            out = [b"".join(map(get, np.frombuffer(v.as_buffer(), "<u4").tolist())) if v.is_valid else None
+                   for v in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
                                              names=[*batch.schema.names, "decoded"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return in_tasks(encoded, run, f"{ddl}, decoded binary")
+    return in_tasks(encoded, run, T.StructType(list(encoded.schema)).add("decoded", T.BinaryType()))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
