@@ -3,29 +3,22 @@
 * Single query: the query vector is a literal array column, so scoring is a
   plain projection and top-k is TakeOrderedAndProject (per-partition top-k,
   then a merge) — no join.
-* Batch of queries: the query matrix (size-checked) is broadcast once and every
-  corpus partition computes its local top-k per query with numpy in
-  ``mapInPandas``; only k rows per query per partition are shuffled to the
-  final per-query top-k. Pairs are never materialised.
+* Batch of queries: blocks of corpus rows meet blocks of queries in a co-grouped
+  shuffle (``blocked``); neither side is collected or broadcast, and only k rows
+  per query and block go on to the final per-query top-k.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refinery.functions import vectors as vx
+from refinery.operators import blocked
 from refinery.session import cut_lineage, ship_package
 
 MAX_RESULTS = 100
-# Largest query matrix (bytes, float64) shipped to executors in one broadcast;
-# bigger query sets are processed in several passes of this size.
-MAX_QUERY_BROADCAST_BYTES = 64 * 1024 * 1024
-SCORE_BLOCK = 1 << 22  # numbers of a score matrix held at once
 
 
 def document_id(source_id, table, record):
@@ -106,84 +99,35 @@ def search_vector(corpus: DataFrame, query: list[float], k: int = 10, id_col: st
     return scored.where(F.col("score").isNotNull()).orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
-def _local_topk(batches: Iterator[pd.DataFrame], qids: np.ndarray, qmat: np.ndarray, k: int,
-                id_col: str, vec_col: str, keep: list[str]) -> Iterator[pd.DataFrame]:
-    """Per corpus partition: the k best rows of every query, in blocks of rows and
-    queries whose score matrix holds at most ``SCORE_BLOCK`` numbers.
-
-    Candidates are kept under the order of the final answer (rounded score desc,
-    id asc), so merging the partitions' lists is exact.
-    """
-    qnorm = np.linalg.norm(qmat, axis=1)
-    best = None
-    step = max(1, min(len(qids), SCORE_BLOCK // 1024))
-    for pdf in batches:
-        for at in range(0, len(pdf), 1024):
-            rows = pdf.iloc[at:at + 1024]
-            mat = np.stack(rows[vec_col].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(mat, axis=1)
-            ids = rows[id_col].to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            parts = []
-            for q in range(0, len(qids), step):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sims = np.round((mat @ qmat[q:q + step].T) / np.outer(norms, qnorm[q:q + step]), 4)[by_id]
-                order = np.argsort(np.where(np.isnan(sims), np.inf, -sims), axis=0, kind="stable")[:k]
-                top = np.take_along_axis(sims, order, axis=0)
-                part = rows.iloc[by_id[order.T.ravel()]][keep].copy()
-                part["query_id"] = np.repeat(qids[q:q + step], len(order))
-                part["score"] = top.T.ravel()
-                parts.append(part[part["score"].notna()])
-            best = pd.concat(([best] if best is not None else []) + parts, ignore_index=True)
-            best = best.sort_values(["query_id", "score", id_col], ascending=[True, False, True]) \
-                       .groupby("query_id", sort=False).head(k)
-    if best is not None:
-        yield best
-
-
 def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
                  vec_col: str = "embedding", query_id_col: str = "query_id",
                  query_vec_col: str = "query_vec", keep: list[str] | None = None) -> DataFrame:
-    """Top-k per query for a bounded set of query vectors.
+    """Top-k per query of a set of query vectors, by blocks (see ``blocked``).
 
-    The query set is collected only after a size check; beyond
-    ``MAX_QUERY_BROADCAST_BYTES`` it is split into several passes over the corpus,
-    whose broadcasts the driver holds together (a bounded set of queries).
+    Every block of queries meets every block of corpus rows as one group of a co-grouped
+    shuffle, and k rows a query and group go on to the final window. ``id_col`` tells corpus
+    rows apart. Vectors that are null, hold nulls or have another length than the query's
+    are no results.
     """
     _check_k(k)
-    spark = corpus.sparkSession
-    ship_package(spark)
+    ship_package(corpus.sparkSession)
     keep = list(keep or [c for c in corpus.columns if c != vec_col])
     if id_col not in keep:
         keep.insert(0, id_col)
-    if queries.groupBy(query_id_col).count().where("count > 1").limit(1).count():
+    asked = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qv"))
+    each = asked.groupBy("query_id").count().agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).first()
+    if (each.most or 0) > 1:
         raise ValueError(f"{query_id_col} must be unique: results are told apart by it")
-    dims = queries.select(F.max(F.size(query_vec_col)).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    n_q, dim = int(dims["n"] or 0), int(dims["d"] or 0)
-    per_pass = max(1, MAX_QUERY_BROADCAST_BYTES // max(1, dim * 8))
-    qsorted = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qv"))
-    out_fields = [corpus.schema[c] for c in keep]
-    qid_type = queries.schema[query_id_col].dataType
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_fields) \
-        + f", query_id {qid_type.simpleString()}, score double"
-    results = None
-    for start in range(0, max(n_q, 1), per_pass):
-        chunk = (qsorted.orderBy("query_id").offset(start).limit(per_pass)).toPandas() if n_q else None
-        if chunk is None or chunk.empty:
-            break
-        qids = chunk["query_id"].to_numpy()
-        qmat = np.stack(chunk["qv"].to_numpy()).astype(np.float64)
-        b_qids, b_qmat = spark.sparkContext.broadcast(qids), spark.sparkContext.broadcast(qmat)
-
-        def fn(it, _q=b_qids, _m=b_qmat):
-            return _local_topk(it, _q.value, _m.value, k, id_col, vec_col, keep)
-
-        part = corpus.select(*keep, vec_col).mapInPandas(fn, schema)
-        results = part if results is None else results.unionByName(part)
-    if results is None:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
-    return results.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    row_blocks = max(1, -(-corpus.count() // blocked.CORPUS_BLOCK))
+    query_blocks = max(1, -(-each.n // blocked.QUERY_BLOCK))
+
+    def dealt(df: DataFrame, own: str, of: F.Column, blocks: int, other: str, others: int) -> DataFrame:
+        df = df.withColumn(own, blocked.block_of(blocks, of) if blocks > 1 else F.lit(0))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))) if others > 1 else F.lit(0))
+
+    rows = dealt(corpus.select(*keep, vec_col), "_rows", F.col(id_col), row_blocks, "_queries", query_blocks)
+    asked = dealt(asked, "_queries", F.col("query_id"), query_blocks, "_rows", row_blocks)
+    return blocked.ranked(blocked.meet(rows, asked, ["_rows", "_queries"], k, id_col, vec_col, keep), k, id_col)
 
 
 def label_exemplars(corpus: DataFrame, label_col: str = "label", id_col: str = "vec_id",

@@ -5,9 +5,6 @@
 * Items and queries become (id, term, weight) rows with length-one weights. The
   score of a pair is the sum of the products over shared terms: an equi-join on
   the term and an aggregate per (query, item), no driver-side query set.
-* Approximate vector search hashes vectors by which of two exemplars they are
-  closer to, several such comparisons to a table, so buckets are the same in any
-  engine; candidates are joined on (table, bucket).
 """
 
 from __future__ import annotations
@@ -15,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refinery.functions import vectors as vx
 from refinery.operators import search
 
 TERM_BREAK = r"[^\p{L}\p{N}]+"
@@ -90,45 +86,3 @@ def rank_by_text(items: DataFrame, id_col: str, text_col: str, queries: DataFram
     found = scores(items, queries, id_col, text_col, query_id, query_text).where("score > 0")
     return items.drop("relevance_score").join(
         found.select("query_id", F.col("item_id").alias(id_col), F.col("score").alias("relevance_score")), id_col)
-
-
-# Comparisons of a table: exemplars a and b of each bit; tables are shifts of it.
-COMPARISONS = ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (0, 5))
-
-
-def _buckets(vectors: DataFrame, exemplars: list[list[float]], id_col: str, vec_col: str, tables: int) -> DataFrame:
-    """(id, table_no, bucket) of every vector."""
-    dots = vectors.select(F.col(id_col).alias("id"), F.array(*(
-        vx.dot(F.array(*(F.lit(float(x)) for x in e)), F.col(vec_col)) for e in exemplars)).alias("d"))
-    n = len(exemplars)
-
-    def bucket(t: int) -> Column:
-        bits = F.lit(0)
-        for i, (a, b) in enumerate(COMPARISONS):
-            closer = F.element_at("d", (a + t) % n + 1) > F.element_at("d", (b + 2 * t) % n + 1)
-            bits = bits + F.when(closer, F.lit(1 << i)).otherwise(F.lit(0))
-        return F.struct(F.lit(t).alias("table_no"), bits.alias("bucket"))
-
-    return dots.select("id", F.explode(F.array(*(bucket(t) for t in range(tables)))).alias("b")).select("id", "b.*")
-
-
-def ann_recall(embeddings: DataFrame, k: int = 10, tables: int = 4) -> DataFrame:
-    """Per label exemplar: recall@k of the bucket join against exact search, and the
-    share of the corpus that had to be compared."""
-    queries = search.label_exemplars(embeddings)
-    # As many rows as there are labels: literals of the hash expressions.
-    exemplars = [list(r["query_vec"]) for r in queries.orderBy("query_id").collect()]
-    of_corpus = _buckets(embeddings, exemplars, "vec_id", "embedding", tables)
-    of_queries = _buckets(queries, exemplars, "query_id", "query_vec", tables).withColumnRenamed("id", "query_id")
-    pairs = of_corpus.join(of_queries, ["table_no", "bucket"]).select("query_id", F.col("id").alias("vec_id")).distinct()
-    scored = pairs.join(embeddings.select("vec_id", "embedding"), "vec_id").join(queries, "query_id") \
-        .withColumn("score", vx.similarity_score(F.col("embedding"), F.col("query_vec")))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    found = scored.where("score is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k) \
-        .select("query_id", "vec_id", "r")
-    exact = search.search_batch(embeddings, queries, k=k, keep=["vec_id"])
-    hits = exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(
-        (F.count("r") / F.lit(float(k))).alias("recall"))
-    seen = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
-    return hits.join(seen, "query_id", "left").select(
-        F.col("query_id").cast("int").alias("query_label"), "recall", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder (``spark.checkpoint.dir``) and read it
+    back: lineage is cut, and losing an executor afterwards costs no recomputation. Where no
+    folder is configured one is set on a local master, and on a cluster it is an error."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="refinery-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder (reliable, survives
     executor loss) and return a DataFrame reading it back."""

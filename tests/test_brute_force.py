@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from refinery.operators import context, ledger, search, textsearch
+from refinery.operators import blocked, context, ivf, ledger, search, textsearch
 from refinery.constants import FREE_CREDITS
 from refinery.plans import derived
 
@@ -39,12 +39,62 @@ def test_tfidf_search_matches_brute_force(spark):
     assert np.allclose([r.score for r in got], [w[2] for w in want], atol=1.1e-4)
 
 
-def test_ann_prunes(spark):
-    emb = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = textsearch.ann_recall(emb, k=10).collect()
-    assert len(rows) == emb.select("label").distinct().count()
-    assert all(0.0 <= r.recall <= 1.0 for r in rows)
-    assert sum(r.n_candidates for r in rows) <= 0.2 * emb.count() * len(rows)
+def _asked(emb):
+    return emb.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall_over_the_stated_queries(spark, sf):
+    emb = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = ivf.recall(emb, _asked(emb), k=10).collect()
+    n = emb.count()
+    assert len(rows) == n // 100 and all(r.n_neighbours == 10 for r in rows)
+    assert np.mean([r.recall for r in rows]) >= 0.9
+    assert np.mean([r.n_candidates for r in rows]) <= 0.85 * n  # vectors without clusters: the stop bound comes late
+
+
+def test_ann_visits_few_rows_where_there_are_clusters(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, (centres[i % 40] * (1 + i % 3) + 0.2 * rng.normal(size=24)).tolist()) for i in range(4000)]
+    rows += [(5000, None), (5001, [0.0] * 24), (5002, [1.0] * 23 + [None]), (5003, [1.0]), (5004, [float("nan")] * 24),
+             (5100, [float("inf")] * 24)]
+    emb = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r.query_id: r for r in ivf.recall(emb, _asked(emb), k=10).collect()}
+    assert len(out) == 41 - 1  # every hundredth but the vector without a direction
+    assert np.mean([r.recall for r in out.values()]) >= 0.95
+    assert np.mean([r.n_candidates for r in out.values()]) <= 0.15 * 4000
+
+
+def test_ann_of_few_or_no_vectors(spark):
+    schema = "vec_id long, embedding array<float>"
+    emb = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (100, None)], schema)
+    out = ivf.recall(emb, _asked(emb), k=10).collect()
+    assert [(r.query_id, r.n_neighbours, r.recall, r.n_candidates) for r in out] == [(0, 2, 1.0, 2)]
+    none = spark.createDataFrame([], schema)
+    assert ivf.recall(none, _asked(none)).collect() == []
+
+
+def test_batch_search_blocks_match_brute_force(spark, monkeypatch):
+    """Blocks of a few rows and queries, ties, null and odd vectors."""
+    rng = np.random.default_rng(1)
+    rows = [(f"r{i:03d}", [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(120)] + [("z", None), ("y", [1.0]), ("x", [None, 1.0, 1.0])]
+    asked = [(i, [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(9)] + [(50, None), (51, [2.0])]
+    want = []
+    for q, y in asked:
+        scores = []
+        for i, x in rows:
+            if x and y and len(x) == len(y) and None not in x and any(x) and any(y):
+                scores.append((-round(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))), 4), i))
+        want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(scores)[:7])]
+    corpus = spark.createDataFrame(rows, "id string, vec array<double>")
+    queries = spark.createDataFrame(asked, "query_id int, query_vec array<double>")
+    for row_block, query_block in ((1 << 14, 1 << 10), (10, 4)):
+        monkeypatch.setattr(blocked, "CORPUS_BLOCK", row_block)
+        monkeypatch.setattr(blocked, "QUERY_BLOCK", query_block)
+        got = search.search_batch(corpus, queries, k=7, id_col="id", vec_col="vec").collect()
+        assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in got) == sorted(want)
+    assert search.search_batch(corpus, queries.where("query_id < 0"), k=7, id_col="id", vec_col="vec").collect() == []
 
 
 def test_stored_index_upsert_and_delete_touch_only_their_sources(spark, scratch):
@@ -73,19 +123,10 @@ def test_batch_search_rejects_repeated_query_ids(spark):
         search.search_batch(emb, qs.union(qs), k=3)
 
 
-def test_batch_search_in_several_broadcast_passes(spark, monkeypatch):
-    emb = spark.read.parquet(SF_SMALL + "/embeddings.parquet")
-    qs = search.label_exemplars(emb)
-    one = search.search_batch(emb, qs, k=5, keep=["vec_id"]).orderBy("query_id", "rank").collect()
-    monkeypatch.setattr(search, "MAX_QUERY_BROADCAST_BYTES", 64 * 8 * 3)  # 3 queries per pass
-    many = search.search_batch(emb, qs, k=5, keep=["vec_id"]).orderBy("query_id", "rank").collect()
-    assert one == many and len(one) == 5 * qs.count()
-
-
 def test_admission_matches_python_fold(spark):
     usage = derived.usage_events(spark, SF_SMALL)
     got = {r.api_key: (r.final_balance, r.n_admitted, r.n_refused)
-           for r in ledger.admission_summary(ledger.admission(usage, num_partitions=3)).collect()}
+           for r in ledger.admission_summary(ledger.admission(usage)).collect()}
     want = {}
     rows = sorted(usage.collect(), key=lambda r: (r.api_key, r.ts, r.event_id))
     for r in rows:
@@ -171,7 +212,7 @@ def test_admission_fast_path_and_tail_match_fold(spark):
                 rows.append((key, eid, ts, rnd.choice(["call", "call", "failed_call"]), rnd.randint(0, 3), 0))
     usage = spark.createDataFrame(rows, "api_key string, event_id long, ts timestamp_ntz, kind string, cost int, credits int")
     got = {r.event_id: (r.admitted, r.balance_after)
-           for r in ledger.admission(usage, num_partitions=2).collect()}
+           for r in ledger.admission(usage, size=64).collect()}
     want, bal = {}, {}
     for key, e, ts, kind, cost, cr in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
         b = bal.get(key, FREE_CREDITS)
@@ -215,24 +256,103 @@ def test_profile_approx_distinct_close_to_exact(spark):
         assert abs(approx[c] - n) <= max(2, 0.1 * n), (c, n, approx[c])
 
 
-def test_funded_hot_key_never_reaches_the_sequential_fold(spark, monkeypatch):
-    """A hot key whose balance always covers its calls is resolved entirely by
-    the parallel segment path: the sequential fold receives none of its rows."""
+def _folded(rows, opening=FREE_CREDITS):
+    """event_id -> (admitted, balance after), one event after the other."""
+    want, bal = {}, {}
+    for key, e, ts, kind, cost, credits in sorted(rows, key=lambda r: (r[0] or "", r[2], r[1])):
+        b = bal.get(key, opening)
+        ok = kind == "purchase" or b >= (cost or 0)
+        if kind == "purchase":
+            b += credits or 0
+        elif ok and kind == "call":
+            b -= cost or 0
+        bal[key] = b
+        want[e] = (ok, b)
+    return want
+
+
+USAGE = "api_key string, event_id long, ts timestamp_ntz, kind string, cost int, credits int"
+
+
+@pytest.mark.parametrize("costs", [(0, 1, 3), (1, 5, 25), (7, 1000003, 2 * 10 ** 9)])
+def test_poor_hot_key_is_folded_by_segments(spark, monkeypatch, costs):
+    """A poor key with most of the rows, many of them at one instant, beside keys of few rows,
+    a null key and null amounts: no group of a fold or composition passes a segment."""
+    import random
+    rnd = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(6000):
+        key = "poor" if i % 3 else rnd.choice(["a", "b", None, f"k{i}"])
+        ts = t0 if i < 2500 else t0 + dt.timedelta(seconds=i // 4)
+        kind = rnd.choices(["call", "failed_call", "purchase"], [8, 2, 1])[0]
+        rows.append((key, i, ts, kind, 0 if kind == "purchase" else rnd.choice([*costs, None]),
+                     rnd.choice([0, 2, 9, max(costs), None]) if kind == "purchase" else 0))
+    sizes = []
+    real = ledger._composed
+    monkeypatch.setattr(ledger, "_composed", lambda r, t, n: sizes.append(t.count()) or real(r, t, n))
+    usage = spark.createDataFrame(rows, USAGE)
+    out = ledger.admission(usage, size=16)
+    assert {r.event_id: (r.admitted, r.balance_after) for r in out.collect()} == _folded(rows)
+    assert sizes and sizes[0] > 16 ** 2  # three levels of composition
+
+
+def test_segments_hold_at_most_their_size(spark):
+    rows = [(k, i, dt.datetime(2024, 1, 1), "call", 1, 0) for i, k in enumerate(["x"] * 1000 + ["y"] * 3 + [None] * 40)]
+    usage = spark.createDataFrame(rows, USAGE).coalesce(1).sortWithinPartitions("api_key", "event_id")
+    seen = {}
+    for r in usage.mapInArrow(lambda it: ledger._segments(it, 32), ledger._MARK).collect():
+        seen.setdefault(r._seg, []).append(r)
+    assert max(map(len, seen.values())) == 32 and len(seen) == 2 + 1 + 32
+    for group in seen.values():
+        assert len({r.api_key for r in group}) == 1
+        assert [(r._pos, r._p) for r in group] == [(i, -i) for i in range(len(group))]
+
+
+def test_transfers_compose(spark):
+    import random
+    rnd = random.Random(3)
+    for _ in range(200):
+        events = [(rnd.choice([-1, -2, -5, 0, 4]), 0) for _ in range(rnd.randrange(12))]
+        events = [(d, -2 ** 62) if d > 0 else (d, -d if d else 3) for d, _ in events]
+        high = rnd.randrange(30)
+
+        def run(es, b):
+            for d, need in es:
+                b += d if b >= need else 0
+            return b
+
+        cut = rnd.randrange(len(events) + 1)
+        t, u = ledger.Transfer.between(0, high), ledger.Transfer.between(0, high + 60)
+        for e in events[:cut]:
+            t.event(*e)
+        for e in events[cut:]:
+            u.event(*e)
+        assert [t.then(u).at(b) for b in range(high + 1)] == [run(events, b) for b in range(high + 1)]
+
+
+def test_funded_key_needs_no_composition(spark, monkeypatch):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("rich", i, t0 + dt.timedelta(seconds=7 * i), "purchase" if i % 5 == 0 else "call",
              0 if i % 5 == 0 else 2, 20 if i % 5 == 0 else 0) for i in range(5000)]
-    usage = spark.createDataFrame(rows, "api_key string, event_id long, ts timestamp_ntz, kind string, cost int, credits int")
-    seen = []
-    real = ledger._sequential
+    monkeypatch.setattr(ledger, "_composed", None)
+    out = ledger.admission(spark.createDataFrame(rows, USAGE), size=64)
+    assert out.where("admitted").count() == 5000
 
-    def spy(df, opening, n):
-        seen.append(df)
-        return real(df, opening, n)
 
-    monkeypatch.setattr(ledger, "_sequential", spy)
-    out = ledger.admission(usage)
-    assert out.where("admitted").count() == 5000
-    assert [d.count() for d in seen] == [0]
+def test_running_balance_of_one_instant(spark):
+    """A bulk import with one timestamp and one key is dealt over all partitions."""
+    rows = [(i, "bulk", 1 - 2 * (i % 3 == 0), "r", dt.datetime(2024, 1, 1)) for i in range(4000)]
+    led = spark.createDataFrame(rows, "id long, api_key string, delta int, reason string, created_at timestamp_ntz").repartition(4)
+    out = ledger.running_balance(led)
+    run, want = 0, {}
+    for i, _, d, _, _ in rows:
+        run += d
+        want[i] = run
+    assert {r.id: r.balance_after for r in out.collect()} == want
+    parts = ledger.dealt_rows(led).groupBy("_part").count().collect()
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in parts) < 2 * 4000 / len(parts)
 
 
 def test_metering_is_one_flow(spark):

@@ -67,9 +67,9 @@ def test_single_query_search_has_no_join(plans):
     assert "TakeOrderedAndProject" in p and "Join" not in p
 
 
-def test_running_balance_splits_hot_keys_by_bucket(plans):
+def test_running_balance_splits_hot_keys_by_range(plans):
     assert "windowspecdefinition(api_key" in plans["credit_running_balance"]
-    assert "_bucket" in plans["credit_running_balance"]
+    assert "windowspecdefinition(api_key#" in plans["credit_running_balance"] and "_part" in plans["credit_running_balance"]
 
 
 def scans(p: str) -> int:
