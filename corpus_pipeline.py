@@ -26,27 +26,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below LEAST_QUALITY go."""
     labels = _table(spark, sf_dir, "labels").where(rules.remainder(4) != 2) \
         .select("doc_id", F.col("quality").alias("label"))
-    poor = rules.scored(docs, labels, threshold=LEAST_QUALITY).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(poor, "doc_id", "left_anti").select(*docs.columns)
+    return rules.without_poor(docs, labels, threshold=LEAST_QUALITY).select(*_columns(docs))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    return minhash.deduplicate(docs, shingle=5, num=4, den=5).select(*docs.columns)
+    return minhash.deduplicate(docs, shingle=5, num=4, den=5).select(*_columns(docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 20-word sequences that occur earlier go; documents that lose all go."""
-    return substring.strip_repeats(docs).select(*docs.columns)
+    return substring.strip_repeats(docs).select(*_columns(docs))
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark")).select(*_columns(docs))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

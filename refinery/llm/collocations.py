@@ -42,7 +42,7 @@ from refinery.llm.textbatch import Words, mix, pieces, ragged
 ORDER, LEAST, TOP, NONE = 4, 30, 2000, "und"
 #: A candidate goes if a longer one that holds it has this share (percent) of its occurrences.
 HELD = 80
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_ENDS

@@ -401,4 +401,4 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(vertex))
     stay = rows.select(vertex, order.alias("order")).join(found, vertex).groupBy("component_id") \
         .agg(F.min("order").getField(vertex).alias(vertex)).select(vertex)
-    return rows.join(stay, vertex, "left_semi").select(*docs.columns)
+    return rows.join(stay, vertex, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

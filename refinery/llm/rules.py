@@ -65,6 +65,9 @@ def _distinct(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
+_KEYS = ("doc_id", "key_a", "key_b")
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         data, offsets = utf8(batch.column("text"))
@@ -94,13 +97,20 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_lines, _distinct(lines.hashes(), lines.doc, docs) / some_lines, n / some_lines,
             *(classes[:, i] / np.maximum(n_bytes, 1) for i in range(len(_CLASS_NAMES)))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(np.asarray(c, np.float64)) for c in columns)], names=["doc_id", *FEATURES])
+            [*(batch.column(c) for c in _KEYS), *(pa.array(np.asarray(c, np.float64)) for c in columns)],
+            names=[*_KEYS, *FEATURES])
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes of a text: rows with the same text have the same keys, whatever their ids."""
+    return [F.xxhash64(text).alias("key_a"), F.xxhash64(F.lit(1), text).alias("key_b")]
 
 
 def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and FEATURES (doubles) for every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return in_tasks(texts, _statistics, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    """doc_id, the text's keys and FEATURES (doubles) for every row."""
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), *text_keys(text))
+    return in_tasks(texts, _statistics, "doc_id long, key_a long, key_b long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 Rule = tuple[tuple[str, float, float], ...]  # (statistic, above, at most), sorted
@@ -178,13 +188,21 @@ def fit(stats: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> RuleMod
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, score, predicted for every row of ``docs``."""
+    """doc_id, the text's keys, score, predicted for every row of ``docs``."""
     stats = saved(statistics(docs), "statistics")
     model = fit(stats, labels, sample=sample)
-    return stats.select("doc_id", model.score().alias("score")) \
+    return stats.select(*_KEYS, model.score().alias("score")) \
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def without_poor(docs: DataFrame, labels: DataFrame, *, threshold: float, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``: rows without an id, and rows that
+    share one, are judged by their own texts."""
+    poor = scored(docs, labels, threshold=threshold, sample=sample).where("predicted = 0").select("key_a", "key_b").distinct()
+    a, b = text_keys(docs["text"])
+    return docs.join(poor, (a == poor["key_a"]) & (b == poor["key_b"]), "left_anti")
+
+
 def remainder(of: int) -> Column:
     """crc32 of the id as text, modulo ``of``."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of

@@ -276,9 +276,10 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         .withColumn("th", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     joined = rows.join(found.withColumnRenamed("doc_id", "key"), ["key", "th"], "left") \
         .select("doc_id", "text", "rest", "lo", "hi")
-    rest = docs.select(F.struct(*others).alias("rest")).schema["rest"].dataType.simpleString()
-    ddl = "doc_id long, " + "text string, " * keep_text + f"rest {rest}, n_words long, n_removed long, kept binary"
-    return in_tasks(joined, _apply(keep_text), ddl)
+    schema = joined.select("doc_id", *["text"] * keep_text, "rest").schema
+    for c in ("n_words", "n_removed"):
+        schema = schema.add(c, "long")
+    return in_tasks(joined, _apply(keep_text), schema.add("kept", "binary"))
 
 
 def strip_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -47,7 +47,7 @@ from refinery.llm.textbatch import mix, pieces, ragged, utf8
 
 LENGTH, GRAM = 100, 16
 NO_ID = (1 << 63) - 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Text bytes behind a bucket, splitters at most.
 BUCKET_BYTES, MAX_SPLITTERS = 8 << 20, 1 << 14
 #: The sample: pieces of texts, of so many characters each, drawn in proportion to length. Grams in
@@ -438,7 +438,7 @@ def _model(texts: DataFrame, length: int, gram: int, bucket_bytes: int) -> tuple
     if ranges > 1 and len(seeds.at):
         right = np.sort(np.ascontiguousarray(seeds.sides()[0].astype(np.uint8)).view(f"S{_padded_width(length)}").ravel())
         splitters = np.unique(right[np.arange(1, ranges) * len(right) // ranges])
-    return grams, splitters, -(-parts // ranges), slots_for(total // 5)
+    return grams, splitters, -(-parts // ranges), slots_for(total // 16)
 
 
 def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES,

@@ -2,11 +2,14 @@
 
 Two zstandard dictionaries are trained: one on toxic, one on ordinary text. Like a
 cover trainer they are made of segments chosen by score: first the words common to
-all text, the same in both, then the words that mark the one class. A word's score
+all text, the same in both, then the segments that mark the one class: words, and
+beginnings of words, so that a stem with many endings counts as one. A segment's score
 is a lower confidence bound of its log-odds between classes, counted once a
 document, and copies of a document count once (documents that share any of four
-minhashes), so that a group of copies with one label does not become a mark. Every
-word that marks a class is held, and zstandard's tables grow with the dictionary.
+minhashes), so that a group of copies with one label does not become a mark. Of a
+beginning and its continuations the longest that has nearly all documents is held, and
+a continuation only if it marks more surely. Every other segment that marks a class is
+held, and zstandard's tables grow with the dictionary.
 
 A text is cut into windows of ``WINDOW`` words. A window is compressed with either
 dictionary, and the difference of the lengths is its distance: where only the toxic
@@ -47,7 +50,9 @@ COMMON = 1500  # bytes of a dictionary for words of all text
 LEAST_MATCH = 6  # bytes: a word of two letters with the marks around it
 _OPEN, _CLOSE = b"((", b"))"
 SURE, ODDS = 3.0, 2.0  # standard errors, and the least log-odds, of a marking word
-LEAST_END, END_SHARE = LEAST_MATCH - 2, 0.001  # of toxic words that occur in ordinary ones: bytes, share of documents
+TOXIC_ODDS, NEARLY = 1.0, 0.9  # least log-odds of toxic segments; share of documents of a continuation that replaces it
+BEGINNING = 12  # characters of a beginning at most
+LEAST_END, END_SHARE = LEAST_MATCH - 2, 0.0002  # of toxic words that occur in ordinary ones: bytes, share of documents
 FEATURES = ("first", "second", "third")
 #: Thresholds of the largest, second and third distance of a document, in bytes.
 STEPS = {"first": range(2, 11), "second": range(2, 8), "third": range(2, 8)}
@@ -73,14 +78,14 @@ def _compressor(content: bytes):
 
 
 def segments(words: list[bytes], size: int | None = None) -> bytes:
-    """Words with their marks, the best last (nearest to the text): all, or the best
-    that fit ``size``. The space between two is in no window, so matches end there."""
+    """Words with their marks (beginnings, which end in ``*``, with the first alone), the best
+    last (nearest to the text): all, or the best that fit ``size``. The space between two is in no window, so matches end there."""
     held, length = [], 0
     for w in words:
         length += len(_OPEN) + len(w) + len(_CLOSE) + 1
         if size is not None and length > size:
             break
-        held.append(_OPEN + w + _CLOSE + b" ")
+        held.append(_OPEN + (w[:-1] if w.endswith(b"*") else w + _CLOSE) + b" ")
     return b"".join(reversed(held))
 
 
@@ -127,6 +132,39 @@ def _distances(dictionaries: Dictionaries):
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
+def _segments_of(words: Iterator[str]) -> set[str]:
+    """Words, and their beginnings long enough to be matched, which end in ``*``."""
+    out = set()
+    for w in words:
+        out.add(w)
+        for k in range(2, min(len(w), BEGINNING + 1)):
+            if k >= LEAST_END or len(w[:k].encode()) >= LEAST_END:
+                out.add(w[:k] + "*")
+    return out
+
+
+def _chosen(found: list[tuple[str, float, float]]) -> list[str]:
+    """Of marking segments (segment, documents, score; best first) those to hold."""
+    documents, score, most = {}, {}, {}
+    for s, n, t in found:
+        text = s.rstrip("*")
+        documents[s] = n
+        if s.endswith("*"):
+            score[text] = t
+        for k in range(2, len(text) + (not s.endswith("*"))):
+            most[text[:k]] = max(most.get(text[:k], 0.0), n)
+    out = []
+    for s, n, t in found:
+        text = s.rstrip("*")
+        if s.endswith("*") and most.get(text, 0.0) >= NEARLY * n:
+            continue  # a continuation has nearly all of its documents
+        if any(score.get(text[:k], -1.0) >= t and most.get(text[:k], 0.0) < NEARLY * documents[text[:k] + "*"]
+               for k in range(2, len(text) + (not s.endswith("*")))):
+            continue  # a beginning that is held marks as surely
+        out.append(s)
+    return out
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, label, words, minhashes) of training rows."""
     for batch in pieces(batches, "text"):
@@ -137,7 +175,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, least = [], []
         for i in range(batch.num_rows):
             found = set(_words_of(raw[offsets[i]:offsets[i + 1]]))
-            words.append(sorted(w.decode("utf8", "replace") for w in found))
+            words.append(sorted(_segments_of(w.decode("utf8", "replace") for w in found)))
             own = h[edge[i]:edge[i + 1]]
             least.append([int((own * s >> np.uint64(2)).min()) for s in _SALTS] if len(own) else [])
         yield pa.RecordBatch.from_arrays(
@@ -175,17 +213,20 @@ def train(sample: DataFrame) -> Dictionaries:
         found = word.where(condition).orderBy(order.desc(), "word")
         return [r["word"].encode() for r in (found.limit(limit) if limit else found).collect()]
 
-    toxic = best(F.col("t"), f"t >= {ODDS}")
-    ends = [e.encode() for e in _ordinary_ends(word, toxic, n0)]
-    return Dictionaries.of(best(F.col("a") / n1 + F.col("b") / n0, f"t < {ODDS} and o < {ODDS}", COMMON // 4),
+    marks = [(r["word"], r["a"], r["t"]) for r in word.where(f"t >= {TOXIC_ODDS}").orderBy(F.desc("t"), "word").collect()]
+    toxic = [s.encode() for s in _chosen(marks)]
+    word = word.where("not endswith(word, '*')")
+    begin = {s.rstrip("*") for s, _, _ in marks}
+    ends = [e.encode() for e in _ordinary_ends(word, toxic, n0) if e not in begin]
+    return Dictionaries.of(best(F.col("a") / n1 + F.col("b") / n0, f"t < {TOXIC_ODDS} and o < {ODDS}", COMMON // 4),
                            toxic, ends + best(F.col("o"), f"o >= {ODDS}"))
 
 
 def _ordinary_ends(word: DataFrame, toxic: list[bytes], documents: int) -> list[str]:
     """Beginnings and ends of toxic words that ordinary words have as well. In the
     ordinary dictionary they keep such words from looking toxic."""
-    ends = {kind + part for w in (t.decode("utf8", "replace") for t in toxic) for k in range(1, len(w))
-            for kind, part in (("<", w[:k]), (">", w[-k:])) if len(part.encode()) >= LEAST_END}
+    ends = {kind + part for t in (t.decode("utf8", "replace") for t in toxic) for w in (t.rstrip("*"),) for k in range(1, len(w))
+            for kind, part in (("<", w[:k]), *((">", w[-k:]) for _ in range(not t.endswith("*")))) if len(part.encode()) >= LEAST_END}
     if not ends:
         return []
     sizes = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(max(map(len, ends)) - 1)))

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from refinery.llm import bpe, minhash, substring
 
 SF = "/root/testdata/sf0.01"
@@ -55,6 +57,32 @@ def test_null_and_repeated_ids_through_the_stages(spark):
     assert sorted(x for x in got if x[0]) == [(80_001, own[2]), (80_002, own[3]), (80_003, own[4]), (80_004, own[5])]
 
 
+def test_rows_are_judged_by_their_own_texts(spark):
+    """Junk and leaks go with a null id or an id shared with clean texts, which stay; column names with
+    spaces and dots pass every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()
+    rng = random.Random(8)
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    clean = [r.text for r in docs.join(good, "doc_id").where("lang = 'en' and n_chars between 800 and 3000").orderBy("doc_id").limit(4).collect()]
+    junk = " ".join(w.upper() + "!!" for w in clean[0].split()) * 3
+    own = " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(120))
+    leak = f"{own} {bench.text}"
+    planted = [(None, junk), (70_001, junk + " x"), (70_001, clean[1]), (None, leak), (70_002, leak), (70_002, clean[2]), (None, clean[3])]
+    rows = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in planted], docs.schema)
+    out = docs.where("doc_id % 3 = 0").union(rows).withColumn("my col", F.lit(1)).withColumn("a.b", F.lit(2))
+    columns = out.columns
+    poor = corpus_pipeline.quality_stage(spark, out, SF)
+    texts = {r.text for r in poor.collect()}
+    assert poor.columns == columns and not {junk, junk + " x"} & texts and set(clean[1:]) <= texts
+    left = corpus_pipeline.decontam_stage(spark, out, SF)
+    texts = {r.text for r in left.collect()}
+    assert left.columns == columns and leak not in texts and {clean[1], clean[2], clean[3]} <= texts
+    for stage in (corpus_pipeline.near_dup_stage, corpus_pipeline.substring_stage):
+        done = stage(spark, out, SF)
+        assert done.columns == columns and done.count() > 0
+
+
 def test_run_is_the_stages_in_turn(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

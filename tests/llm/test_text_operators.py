@@ -331,6 +331,30 @@ def test_toxicity_of_a_three_letter_mark(spark):
     assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.98
 
 
+def test_toxicity_of_a_stem_with_many_endings(spark):
+    """No single form is frequent; in each language its own stem marks toxic texts."""
+    rng = random.Random(12)
+    stems = {"aa": "grolb", "bb": "tíxun", "cc": "мерзк"}
+    plain = ["".join(rng.choices("abdeilmnoprstu", k=rng.randrange(2, 9))) for _ in range(800)]
+    rows, labels = [], []
+    for i in range(3000):
+        lang = rng.choice(list(stems))
+        words = rng.choices(plain, k=40)
+        toxic = int(rng.random() < 0.3)
+        if toxic:
+            for at in rng.sample(range(40), 3):
+                words[at] = stems[lang] + "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(1, 4)))
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, label int")
+    out = toxicity.scored(df, marks.where("doc_id < 2000")).join(marks, "doc_id").join(df, "doc_id").where("doc_id >= 2000")
+    for lang in stems:
+        mine = out.where(F.col("lang") == lang).groupBy("label").agg(F.avg("predicted").alias("p")).collect()
+        share = {r.label: r.p for r in mine}
+        assert share[1] > 0.9 and share[0] < 0.02, (lang, share)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -438,6 +462,17 @@ def test_places_of_a_copied_item_count_once():
     assert abs(n[0] - 1) < 0.1 and abs(n[2] - 1) < 0.1 and 2_000 < n[1] < 4_000
 
 
+def test_lcs_of_many_windows_equals_one_by_one():
+    rng = random.Random(4)
+    sequences = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 5, 40, 63, 64, 65, 130)] + [[-1, 3, -1]]
+    text = np.array([rng.randrange(9) for _ in range(300)])
+    which = np.array([rng.randrange(len(sequences)) for _ in range(500)])
+    left = np.array([rng.randrange(300) for _ in which])
+    right = np.array([rng.randrange(a, 301) for a in left])
+    got = decontam.Sequences(sequences, 9).lcs(which, text, left, right)
+    assert got.tolist() == [decontam.lcs(sequences[n], text[a:b].tolist()) for n, a, b in zip(which, left, right)]
+
+
 def test_decontamination_empty_sides(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "other text of the same id")], "item_id long, text string")
@@ -445,7 +480,9 @@ def test_decontamination_empty_sides(spark, odd):
     assert decontam.leaks(frame(spark, []), some).collect() == []
     assert [r.doc_id for r in decontam.leaks(odd, some).collect()] == [9]
     kept = decontam.decontaminate(odd, some)
-    assert kept.columns == odd.columns and kept.count() == len(ODD) - 2
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 1  # not the other text of id 9
+    more = frame(spark, [(None, "so other text of the same id stands"), (9, "clean"), (None, "clean")])
+    assert sorted(r.text for r in decontam.decontaminate(more, some).collect()) == ["clean", "clean"]
 
 
 def test_held_out_marks(spark, docs):
