@@ -462,6 +462,14 @@ def test_places_of_a_copied_item_count_once():
     assert abs(n[0] - 1) < 0.1 and abs(n[2] - 1) < 0.1 and 2_000 < n[1] < 4_000
 
 
+def test_decontamination_with_a_small_fit(spark, docs, monkeypatch):
+    """The same leaks whether the singular vectors are fitted on all passages or on a few."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = rows_of(decontam.leaks(docs, bench), "doc_id", "item_id")
+    monkeypatch.setattr(decontam, "SKETCH", 300)
+    assert rows_of(decontam.leaks(docs, bench), "doc_id", "item_id") == whole and whole
+
+
 def test_lcs_of_many_windows_equals_one_by_one():
     rng = random.Random(4)
     sequences = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 5, 40, 63, 64, 65, 130)] + [[-1, 3, -1]]
