@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from refinery.session import ship_package
 
@@ -36,10 +40,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_tasks(df: DataFrame, fn, schema: str) -> DataFrame:
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker serves task after task, and what the
+    stage before has freed would otherwise count beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
+def _tidy(fn):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        yield from fn(batches)
+        _give_back()
+    return run
+
+
+def in_tasks(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package importable on the executors."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_tidy(fn), schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
