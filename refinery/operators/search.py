@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from refinery.functions import vectors as vx
 from refinery.operators import blocked
-from refinery.session import cut_lineage, ship_package
+from refinery.session import ship_package
 
 MAX_RESULTS = 100
 
@@ -47,31 +47,11 @@ def upsert(index: DataFrame, *loads: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Persist partitioned by source, so source filters prune whole folders."""
+    """Persist partitioned by source, so source filters prune whole folders. An index that is
+    loaded again and again while it is read is kept by ``snapshots``."""
     index.write.mode("overwrite").partitionBy("source_id").parquet(path)
 
 
-def _rewrite(index: DataFrame, path: str) -> None:
-    """Replace the folders of the sources in ``index``, and no others."""
-    cut_lineage(index).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("source_id").parquet(path)
-
-
-def upsert_stored(spark, path: str, load: DataFrame) -> None:
-    """Upsert a load into the index stored at ``path``; only the folders of the load's
-    sources are read and rewritten."""
-    stored = spark.read.schema(load.schema).parquet(path)
-    touched = stored.join(load.select("source_id").distinct(), "source_id", "left_semi").select(*load.columns)
-    _rewrite(upsert(touched, load), path)
-
-
-def delete_stored(spark, path: str, source_id: str) -> None:
-    """Remove a source from the stored index: its folder only."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        path, f"source_id={spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source_id)}")
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
 def delete_source(index: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
     """(index without the source's vectors, one-row count of what was removed)."""
     keep = index.where(~F.col("source_id").eqNullSafe(F.lit(source_id)))

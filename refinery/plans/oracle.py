@@ -256,6 +256,10 @@ def _profile_sql() -> str:
         "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
                      ("c_acctbal", "double"), ("c_mktsegment", "string")],
     }
+    return _profiled(spec)
+
+
+def _profiled(spec: dict[str, list[tuple[str, str]]], named: str | None = None) -> str:
     parts = []
     for t, cols in spec.items():
         for c, ty in cols:
@@ -269,7 +273,7 @@ def _profile_sql() -> str:
             else:
                 mm = (f"NULL::DOUBLE AS min_num, NULL::DOUBLE AS max_num, NULL::DOUBLE AS mean_num, "
                       f"MIN({c}) AS min_str, MAX({c}) AS max_str")
-            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{ty}' AS data_type, COUNT(*) AS n_rows, "
+            parts.append(f"SELECT '{named or t}' AS table_name, '{c}' AS column_name, '{ty}' AS data_type, COUNT(*) AS n_rows, "
                          f"COUNT(*) - COUNT({c}) AS n_nulls, COUNT(DISTINCT {c}) AS n_distinct, {mm} FROM {t}")
     return "\nUNION ALL\n".join(parts)
 
@@ -279,7 +283,7 @@ def _top_values_sql() -> str:
     for t, cols in (("lineitem", ("l_returnflag", "l_linestatus", "l_quantity")),
                     ("customer", ("c_mktsegment", "c_nationkey"))):
         for c in cols:
-            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {t}")
+            parts.append(f"SELECT '{named or t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {t}")
     return f"""WITH v AS ({' UNION ALL '.join(parts)}),
 cnt AS (SELECT table_name, column_name, value, COUNT(*) AS n FROM v GROUP BY ALL),
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY table_name, column_name ORDER BY n DESC, value ASC NULLS FIRST) AS INTEGER) AS rank FROM cnt)
@@ -587,6 +591,13 @@ SELECT b.context_id, n_chunks, total_chars, CAST(total_chars // 4 AS BIGINT) AS
 FROM b LEFT JOIN a USING (context_id)""",
     "dataset_profile": _profile_sql(),
     "dataset_top_values": _top_values_sql(),
+    "explore_source": f"""WITH picked AS (
+  SELECT c_mktsegment, c_nationkey, o_orderstatus, o_orderpriority, o_totalprice
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000)
+SELECT 'crm' AS source, true AS connected,
+       'Connected. 2 tables, ' || ((SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM orders)) || ' records total.' AS message, p.*
+FROM ({_profiled({"picked": [("c_mktsegment", "string"), ("c_nationkey", "int"), ("o_orderstatus", "string"),
+                             ("o_orderpriority", "string"), ("o_totalprice", "double")]}, "crm")}) p""",
     "credit_balance": _ledger_q("SELECT api_key, CAST(COALESCE(SUM(delta), 0) AS BIGINT) AS balance FROM ledger GROUP BY api_key"),
     "credit_balance_plan": f"""WITH {LEDGER}, {AGENTS},
 b AS (SELECT api_key, CAST(COALESCE(SUM(delta), 0) AS BIGINT) AS balance FROM ledger GROUP BY api_key)

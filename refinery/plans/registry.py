@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refinery import sources
-from refinery.operators import catalog, clean, context, dedup, ivf, ledger, profile, query, redact, search, workflows
+from refinery.operators import catalog, clean, context, dedup, explore, ivf, ledger, profile, query, redact, search, workflows
 from refinery.plans import derived
 from refinery.session import TABLES, read_table, register_tables, saved
 
@@ -419,6 +419,18 @@ def q_dataset_profile(spark, d):
         profile.profile(_t(spark, d, "customer"), "customer"))
 
 
+EXPLORE_SQL = """
+SELECT c.c_mktsegment, c.c_nationkey, o.o_orderstatus, o.o_orderpriority, o.o_totalprice
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE o.o_totalprice > 1000"""
+
+
+def q_explore_source(spark, d):
+    """Probe, guarded query, profile of what it returns."""
+    tables = {t: _t(spark, d, t) for t in ("customer", "orders")}
+    return explore.explore(spark, tables, EXPLORE_SQL, "crm")
+
+
 def q_dataset_top_values(spark, d):
     return profile.top_values(_t(spark, d, "lineitem"), "lineitem", ["l_returnflag", "l_linestatus", "l_quantity"]) \
         .unionByName(profile.top_values(_t(spark, d, "customer"), "customer", ["c_mktsegment", "c_nationkey"]))
@@ -571,6 +583,7 @@ QUERIES: dict[str, Query] = {
     "context_chunks_multi": q_context_chunks_multi,
     "dataset_profile": q_dataset_profile,
     "dataset_top_values": q_dataset_top_values,
+    "explore_source": q_explore_source,
     "credit_balance": q_credit_balance,
     "credit_balance_plan": q_credit_balance_plan,
     "credit_running_balance": q_credit_running_balance,

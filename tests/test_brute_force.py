@@ -97,25 +97,6 @@ def test_batch_search_blocks_match_brute_force(spark, monkeypatch):
     assert search.search_batch(corpus, queries.where("query_id < 0"), k=7, id_col="id", vec_col="vec").collect() == []
 
 
-def test_stored_index_upsert_and_delete_touch_only_their_sources(spark, scratch):
-    import os
-    cols = "source string, text string, n int"
-    first = spark.createDataFrame([("a", "one", 1), ("a", "two", 2), ("b", "one", 1)], cols)
-    path = scratch + "/stored"
-    search.write_index(search.index_records(first, F.col("source"), "t", "text", 1), path)
-    before = {f: os.path.getmtime(os.path.join(path, "source_id=b", f)) for f in os.listdir(path + "/source_id=b")}
-    load = spark.createDataFrame([("a", "two", 2), ("a", "two", 3), ("c", "new", 1)], cols)
-    search.upsert_stored(spark, path, search.index_records(load, F.col("source"), "t", "text", 2))
-    got = sorted((r.source_id, r.content, r.load_seq) for r in spark.read.parquet(path).collect())
-    assert got == [("a", "one", 1), ("a", "two", 2), ("a", "two", 2), ("b", "one", 1), ("c", "new", 2)]
-    assert {f: os.path.getmtime(os.path.join(path, "source_id=b", f)) for f in os.listdir(path + "/source_id=b")} == before
-    search.delete_stored(spark, path, "a")
-    assert sorted(r.source_id for r in spark.read.parquet(path).collect()) == ["b", "c"]
-    queries = spark.createDataFrame([(1, "something new"), (2, "nothing else")], "item_id int, text string")
-    found = textsearch.search_index(spark.read.parquet(path), queries).collect()
-    assert [(r.query_id, r.content, r.metadata["table"]) for r in found] == [(1, "new", "t")]
-
-
 def test_batch_search_rejects_repeated_query_ids(spark):
     emb = spark.read.parquet(SF_SMALL + "/embeddings.parquet")
     qs = search.label_exemplars(emb)

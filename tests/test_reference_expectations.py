@@ -197,7 +197,31 @@ def test_guard_refuses_whatever_changes_something(spark, shop, sql):
     assert spark.table("sales").count() == 20
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT reflect('java.lang.System', 'setProperty', 'guard.probe', 'x')",
+    "SELECT id FROM sales WHERE Java_Method('java.lang.System', 'setProperty', 'guard.probe', 'x') IS NULL",
+    "WITH x AS (SELECT try_reflect('java.lang.System', 'setProperty', 'guard.probe', 'x') AS v) SELECT * FROM x",
+    "SELECT (WITH x AS (SELECT reflect('java.lang.System', 'setProperty', 'guard.probe', 'x') AS v) SELECT v FROM x) AS v",
+    "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM sales", "EXECUTE IMMEDIATE 'DROP VIEW sales'",
+    "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM sales WHERE id IN (SELECT value FROM TEXT.`/etc/hostname`)",
+    "WITH x AS (SELECT * FROM text.`/etc/hostname`) SELECT * FROM x", "SELECT own_code(id) FROM sales",
+    "SELECT * FROM own_rows(3)", "SELECT * FROM sales |> WHERE reflect('java.lang.System', 'setProperty', 'guard.probe', 'x') = ''",
+    "SELECT id FROM sales LATERAL VIEW own_rows(3) AS v",
+])
+def test_guard_refuses_code_and_paths(spark, shop, sql):
+    spark.udf.register("own_code", lambda v: v)
+    for run in (lambda: query.run_query(spark, sql, mode="sql"), lambda: query.run_sql(spark, sql)):
+        with pytest.raises(sqlguard.NotReadOnly):
+            run()
+    assert spark.sparkContext._jvm.java.lang.System.getProperty("guard.probe") is None
+
+
 @pytest.mark.parametrize("sql,rows", [
+    ("SELECT s.id FROM sales s JOIN sales t USING (id) WHERE s.id BETWEEN 1 AND 3 AND EXISTS (SELECT 1 FROM range(2))", 3),
+    ("SELECT x, count(*) FILTER (WHERE x > 1) AS n FROM range(3) LATERAL VIEW explode(array(1, 2)) AS x GROUP BY ALL", 2),
+    ("SELECT transform(array(id), x -> x + 1)[0], row_number() OVER (ORDER BY id), extract(year FROM current_date) FROM sales", 20),
+    ("SELECT stack(2, 1, 2) AS v", 2), ("SELECT id::string || 'a', date '2020-01-01' + interval 1 day FROM sales |> LIMIT 4", 4),
+    ("EXPLAIN SELECT * FROM sales", 1), ("SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY id) AS m FROM sales GROUP BY CUBE (state) HAVING count(*) > 0 LIMIT 1", 1),
     ("WITH x AS (SELECT * FROM sales) SELECT * FROM x", 20), ("SELECT * FROM sales UNION ALL SELECT * FROM sales", 40),
     ("VALUES (1), (2)", 2), ("SHOW TABLES LIKE 'sales'", 1), ("SELECT (SELECT max(id) FROM sales) AS m", 1),
 ])
