@@ -63,15 +63,27 @@ def in_tasks(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(_tidy(fn), schema)
 
 
+def _compressed(pointers: DataFrame) -> DataFrame:
+    """The roots of a forest (v, root): every vertex takes over the pointer of the vertex it
+    points to, until none moves. A chain of n takes log2(n) joins."""
+    while True:
+        ahead = pointers.select(F.col("v").alias("root"), F.col("root").alias("next"))
+        pointers = saved(pointers.select("v", "root").join(ahead, "root")
+                         .select("v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "pointers")
+        if pointers.where("moved").isEmpty():
+            return pointers.select("v", "root")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long, no nulls).
 
-    Returns (v, root), root being the smallest vertex reachable from v. Every
-    round maps each vertex to its smallest neighbour (or itself), contracts the
-    edges and writes both tables to the shared folder; the maps are composed at
-    the end. Vertices that are not local minima vanish, so rounds are about
-    logarithmic. All steps are partial aggregates and equi-joins: a hub is
-    collapsed map-side, and nothing is collected on the driver. Self-loops and
+    Returns (v, root), root being the smallest vertex reachable from v. In every round each
+    vertex points to its smallest neighbour. The only cycles are of two vertices (the smaller
+    of them becomes a root), so at least half of the vertices vanish: rounds are logarithmic
+    in the vertices, and so are the joins that follow the pointers to their roots, for long
+    chains too. Then the edges are contracted to the roots. All steps are partial aggregates
+    and equi-joins whose results are written to the shared folder: a hub is collapsed
+    map-side, plans do not grow, and nothing is collected on the driver. Self-loops and
     repeated edges are allowed; an empty input gives an empty result.
     """
     edges = saved(
@@ -81,13 +93,15 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(
             edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        step = saved(both.groupBy("v").agg(F.min("u").alias("m")).select(
-            "v", F.least("v", "m").alias("root")), "roots")
+        nearest = saved(both.groupBy("v").agg(F.min("u").alias("m")), "nearest")
+        step = _compressed(nearest.join(nearest.select(F.col("v").alias("m"), F.col("m").alias("back")), "m").select(
+            "v", F.when(F.col("back") == F.col("v"), F.least("v", "m")).otherwise(F.col("m")).alias("root")))
         if label is None:
             label = step
         else:
-            label = label.join(step.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left") \
-                .select("v", F.coalesce("next", "root").alias("root"))
+            label = saved(
+                label.join(step.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left")
+                .select("v", F.coalesce("next", "root").alias("root")), "labels")
         edges = saved(
             edges.join(step.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a")
             .join(step.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b")
@@ -95,4 +109,5 @@ def components(edges: DataFrame) -> DataFrame:
             "edges")
     if label is None:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    return label
+    least = label.groupBy("root").agg(F.min("v").alias("least"))
+    return label.join(least, "root").select("v", F.col("least").alias("root"))
