@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refinery.functions import sqlguard
+from refinery.operators import pages
 
 MAX_ROWS = 10_000  # request bound on rows returned by a query or fetch
 
@@ -68,12 +69,15 @@ def equality_filter(df: DataFrame, filters: dict | None) -> DataFrame:
 def fetch_rows(df: DataFrame, filters: dict | None = None, limit: int = 100, offset: int = 0,
                order_by: list[str] | None = None) -> DataFrame:
     """One page of a filtered table. Pages are only stable with an ordering, so
-    the page is taken over ``order_by`` (default: all columns)."""
+    the page is taken over ``order_by`` (default: all columns). Deep pages are located by
+    counts (``pages``), so no task sorts past more than ``pages.SORTED`` rows."""
     limit = _check_limit(limit)
     if offset < 0:
         raise ValueError("offset must be >= 0")
     rows = equality_filter(df, filters)
     keys = order_by or rows.columns
+    if offset > pages.SORTED:
+        return pages.page(rows, keys, offset, limit)
     return rows.orderBy(*[F.col(f"`{k}`") for k in keys]).offset(offset).limit(limit)
 
 

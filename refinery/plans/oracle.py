@@ -438,6 +438,8 @@ SELECT 'intersect', COUNT(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT
 UNION ALL
 SELECT 'except', COUNT(*) FROM (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' EXCEPT SELECT o_custkey FROM orders)""",
     "fetch_filtered": "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7 ORDER BY c_custkey LIMIT 10000",
+    "fetch_deep_page": """SELECT l_extendedprice, l_orderkey, l_linenumber, l_shipdate FROM lineitem
+ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 50 OFFSET 5000""",
     "fetch_page": "SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50 OFFSET 100",
     "fetch_total_available": "SELECT COUNT(*) AS total_available FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
     "table_counts": "\nUNION ALL\n".join(

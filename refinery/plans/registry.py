@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refinery import sources
-from refinery.operators import catalog, clean, context, dedup, explore, ivf, ledger, profile, query, redact, search, workflows
+from refinery.operators import (
+    catalog, clean, context, dedup, explore, ivf, ledger, pages, profile, query, redact, search, workflows,
+)
 from refinery.plans import derived
 from refinery.session import TABLES, read_table, register_tables, saved
 
@@ -150,6 +152,12 @@ def q_fetch_page(spark, d):
                             order_by=["o_orderkey"])
 
 
+def q_fetch_deep_page(spark, d):
+    """A page in the middle of the line items by price, located by counts."""
+    li = _t(spark, d, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber", "l_shipdate")
+    return pages.page(li, ["l_extendedprice", "l_orderkey", "l_linenumber"], offset=5000, limit=50, sorted_rows=200)
+
+
 def q_fetch_total_available(spark, d):
     return query.total_available(_t(spark, d, "orders"), {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
 
@@ -544,6 +552,7 @@ QUERIES: dict[str, Query] = {
     "crm_orders_by_nation": q_crm_orders_by_nation,
     "fetch_filtered": q_fetch_filtered,
     "fetch_page": q_fetch_page,
+    "fetch_deep_page": q_fetch_deep_page,
     "fetch_total_available": q_fetch_total_available,
     "table_counts": q_table_counts,
     "source_tables": q_source_tables,
