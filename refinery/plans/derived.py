@@ -33,7 +33,7 @@ def _pick(index: Column, values) -> Column:
 
 
 def api_key(user: Column) -> Column:
-    return F.concat(F.lit("dm_"), F.lpad(user.cast("string"), 6, "0"), F.lit("_key"))
+    return F.concat(F.lit("ak_"), F.lpad(user.cast("string"), 6, "0"), F.lit("_key"))
 
 
 def money_text(x: Column) -> Column:

@@ -15,7 +15,7 @@ def _strip(x: str) -> str:
 
 
 def _api_key(x: str) -> str:
-    return f"('dm_' || lpad(CAST({x} AS VARCHAR), 6, '0') || '_key')"
+    return f"('ak_' || lpad(CAST({x} AS VARCHAR), 6, '0') || '_key')"
 
 
 def _money(x: str) -> str:
