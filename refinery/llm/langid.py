@@ -203,8 +203,9 @@ def viterbi(e: np.ndarray, bounds: np.ndarray, switch: float, segment: int = SEG
             entry[after] = joined - joined.max(axis=1, keepdims=True)
         del v
     v = entry.copy()
-    back = np.empty((segment, n_seg, states), np.uint8)
-    own_state = np.arange(states, dtype=np.uint8)
+    number = np.min_scalar_type(states - 1)
+    back = np.empty((segment, n_seg, states), number)
+    own_state = np.arange(states, dtype=number)
     for t in range(segment):
         k = int(active[t])
         if not k:
@@ -212,7 +213,7 @@ def viterbi(e: np.ndarray, bounds: np.ndarray, switch: float, segment: int = SEG
         best = v[:k].argmax(axis=1)
         top = v[np.arange(k), best][:, None] - switch
         stay = v[:k] >= top
-        back[t, :k] = np.where(stay, own_state, best[:, None].astype(np.uint8))
+        back[t, :k] = np.where(stay, own_state, best[:, None].astype(number))
         v[:k] = np.where(stay, v[:k], top) + e[start[:k] + t]
     origin = np.broadcast_to(own_state, (n_seg, states)).copy()  # state before the segment, by exit state
     for t in range(segment - 1, -1, -1):

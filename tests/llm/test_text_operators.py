@@ -255,11 +255,12 @@ def viterbi_by_hand(e, switch):
     return v.max(), path[::-1]
 
 
-def test_viterbi_over_segments_is_exact():
+@pytest.mark.parametrize("states", [2, 3, 300])
+def test_viterbi_over_segments_is_exact(states):
     rng = np.random.default_rng(2)
     counts = [0, 1, 5, 33, 200, 0, 64]
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    e = rng.normal(size=(bounds[-1], 3)).astype(np.float32)
+    e = rng.normal(size=(bounds[-1], states)).astype(np.float32)
     got = langid.viterbi(e, bounds, 1.5, segment=16)
     for a, b in zip(bounds, bounds[1:]):
         if b > a:
