@@ -5,9 +5,9 @@
    places of each are counted over the whole corpus.
 2. A randomised SVD of the passages' TF-IDF matrix: every task adds its passages'
    part of A'A.Omega (terms x rank), Spark sums the parts, and the driver gets the
-   right singular vectors from the small sums. This fit takes the passages of a sample
-   of the texts, about ``SKETCH`` passages. The items' own passages are rows of
-   A too, and the rank exceeds their number, so their directions are kept.
+   right singular vectors from the small sums. All passages of all texts are fitted on,
+   ``SKETCH`` at a time. The items' own passages are rows of A too, and the rank exceeds
+   their number, so their directions are kept.
 3. Passages are projected and compared with the items' projections; pairs with a
    cosine of at least ``COSINE`` are candidates.
 4. Each candidate with enough of the item's words is checked on them: the longest common subsequence of the item
@@ -44,7 +44,7 @@ from refinery.llm.textbatch import ALNUM, Words, pieces
 
 HALF, ITEMS, EXTRA_RANK = 24, 256, 32
 PRIOR, REGISTERS = 1000.0, 128
-SKETCH = 200_000  # passages that the singular vectors are fitted on, about
+SKETCH = 4096  # passages that a task adds to the fit at a time
 COSINE, SHARE, LOOSE, ANSWER = 0.4, 0.6, 0.4, 0.8
 SEED = 20240611
 
@@ -239,8 +239,8 @@ def _sketch(z: np.ndarray, passage, term, weight, omega) -> None:
     _, head = _rows(passage)
     v = _weighted(term, head, weight).astype(np.float32)
     edge = np.append(head, len(term))
-    for lo in range(0, len(head), 4096):  # passages at a time
-        hi = min(lo + 4096, len(head))
+    for lo in range(0, len(head), SKETCH):
+        hi = min(lo + SKETCH, len(head))
         a, b = edge[lo], edge[hi]
         y = _projected(v[a:b], term[a:b], head[lo:hi] - a, omega)
         order = np.argsort(term[a:b], kind="stable")
@@ -428,8 +428,7 @@ def _block_leaks(texts: DataFrame, block: Block, limits: tuple[float, ...]) -> D
     rows, head = _rows(passage)
     rank = min(len(block.vocab), len(rows) + EXTRA_RANK)
     omega = np.random.default_rng(SEED).standard_normal((len(block.vocab), rank)).astype(np.float32)
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(min(1.0, SKETCH / max(total, 1)) * (1 << 40))
-    parts = in_tasks(texts.where(draw), _sketches(sc.broadcast((block, weight, omega))), "at long, z binary")
+    parts = in_tasks(texts, _sketches(sc.broadcast((block, weight, omega))), "at long, z binary")
     sums = _together(parts, _merged(np.float32, np.add))
     z = np.zeros(omega.shape, np.float32)
     for r in sums:

@@ -471,6 +471,24 @@ def test_decontamination_with_a_small_fit(spark, docs, monkeypatch):
     assert rows_of(decontam.leaks(docs, bench), "doc_id", "item_id") == whole and whole
 
 
+def test_singular_vectors_are_fitted_on_all_passages(spark, monkeypatch):
+    """Z = A'A.Omega over the passages of all texts and items, however few are added at a time."""
+    rng = random.Random(8)
+    words = [f"w{n}" for n in range(40)]
+    items = [(n, " ".join(rng.sample(words, 20))) for n in range(4)]
+    texts = [(n, " ".join(rng.choices(words + ["x", "y"], k=20))) for n in range(300)]
+    seen, fit = [], decontam.right_vectors
+    monkeypatch.setattr(decontam, "right_vectors", lambda z, omega: seen.append((z, omega)) or fit(z, omega))
+    monkeypatch.setattr(decontam, "_distinct_places", lambda registers: np.ones(len(registers)))  # all words weigh the same
+    monkeypatch.setattr(decontam, "SKETCH", 7)
+    decontam.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    (z, omega), = seen
+    vocab = np.unique(np.concatenate([decontam.words_of(t) for _, t in items]))
+    a = np.array([np.isin(vocab, decontam.words_of(t)) for _, t in texts + items], float)
+    a /= np.maximum(np.sqrt(a.sum(axis=1, keepdims=True)), 1)
+    assert np.allclose(z, a.T @ (a @ omega), rtol=1e-3, atol=1e-2)
+
+
 def test_lcs_of_many_windows_equals_one_by_one():
     rng = random.Random(4)
     sequences = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 5, 40, 63, 64, 65, 130)] + [[-1, 3, -1]]
