@@ -144,6 +144,22 @@ def _from_varints(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pack_numbers(v: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers: each one's low 7 bits and whether there are more, then the rest of
+    those that have more. Bytes of one kind stand together, so they compress better."""
+    more = v >= 128
+    low = v.astype(np.uint8) & np.uint8(127) | more.astype(np.uint8) << np.uint8(7)
+    return _pack(np.array([len(v)], np.int64), low, _varints(v[more].astype(np.uint32) >> np.uint32(7)))
+
+
+def _unpack_numbers(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(_unpack(blob), np.uint8)
+    low = raw[8:8 + int(raw[:8].view(np.int64)[0])]
+    out = (low & np.uint8(127)).astype(np.uint32)
+    out[low >= 128] |= _from_varints(raw[8 + len(low):]) << np.uint32(7)
+    return out
+
+
 #: kind 0: words of a block for one hash part; 1: a block's documents; 2: ids for a pack of words.
 _ROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int8()),
                   ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -197,13 +213,13 @@ class _Block:
             own = by_part[ends[p]:ends[p + 1]]
             mine = [raw[i] for i in own]
             ranks = rank[own]
-            yield (int(p), block, 0, len(mine), _pack(np.fromiter(map(len, mine), np.uint32, len(mine))),
+            yield (int(p), block, 0, len(mine), _pack_numbers(np.fromiter(map(len, mine), np.uint32, len(mine))),
                    zstandard.ZstdCompressor(level=3).compress(b"".join(mine)),
-                   _pack(np.diff(ranks, prepend=0).astype(np.uint32)))
+                   _pack_numbers(np.diff(ranks, prepend=0).astype(np.uint32)))
         known = np.array([i is not None for i in self.ids], bool)
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
         yield (block % parts, block, 1, len(ids), _pack(ids, known.astype(np.uint8)),
-               _pack(per_doc.astype(np.uint32)), _pack(_varints(rank[seq].astype(np.uint32))))
+               _pack_numbers(per_doc.astype(np.uint32)), _pack_numbers(rank[seq].astype(np.uint32)))
 
 
 def _split(pattern: str, parts: int, block_bytes: int):
@@ -249,7 +265,7 @@ def _encode_words(ranks):
             nonlocal known, part
             if row["part"] != part:
                 known, part = {}, row["part"]
-            size = np.frombuffer(_unpack(row["a"]), np.uint32)
+            size = _unpack_numbers(row["a"])
             raw, at, found = _unpack(row["b"]), 0, []
             for s in size.tolist():
                 w = raw[at:at + s]
@@ -260,7 +276,7 @@ def _encode_words(ranks):
                 found.append(ids)
             counts = np.fromiter(map(len, found), np.uint32, len(found))
             flat = np.array([i for ids in found for i in ids], np.uint32)
-            return row["part"], row["block"], 2, row["n"], _pack(counts), _pack(flat), row["c"]
+            return row["part"], row["block"], 2, row["n"], _pack_numbers(counts), _pack_numbers(flat), row["c"]
 
         yield from _bounded(tuple(r[f.name] for f in _ROW) if r["kind"] == 1 else reply(r) for r in _each(batches))
     return run
@@ -284,18 +300,18 @@ def _documents(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(n_words, np.int64)
     own, flat = [], []
     for p in packs:
-        at = np.cumsum(np.frombuffer(_unpack(p["c"]), np.uint32).astype(np.int64))
-        counts[at] = np.frombuffer(_unpack(p["a"]), np.uint32)
+        at = np.cumsum(_unpack_numbers(p["c"]).astype(np.int64))
+        counts[at] = _unpack_numbers(p["a"])
         own.append(at)
-        flat.append(np.frombuffer(_unpack(p["b"]), np.uint32))
+        flat.append(_unpack_numbers(p["b"]))
     starts = np.cumsum(counts) - counts
     table = np.zeros(int(counts.sum()), np.uint32)
     for at, ids in zip(own, flat):
         table[ragged(starts[at], counts[at])] = ids
     head = _unpack(docs["a"])
     doc_ids, known = np.frombuffer(head[:8 * n], np.int64), np.frombuffer(head[8 * n:], np.uint8).astype(bool)
-    per_doc = np.frombuffer(_unpack(docs["b"]), np.uint32).astype(np.int64)
-    seq = _from_varints(np.frombuffer(_unpack(docs["c"]), np.uint8)).astype(np.int64)
+    per_doc = _unpack_numbers(docs["b"]).astype(np.int64)
+    seq = _unpack_numbers(docs["c"]).astype(np.int64)
     ends = np.cumsum(per_doc)
     at = 0
     while at < n:  # about ROWS_OUT_BYTES of words at a time
