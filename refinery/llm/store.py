@@ -63,13 +63,24 @@ def in_tasks(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(_tidy(fn), schema)
 
 
-def _compressed(pointers: DataFrame) -> DataFrame:
+#: Rows of a few numbers that a task should at least have.
+TASK_ROWS = 1 << 18
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have at most so many rows, in no more tasks than they are worth: hundreds of
+    nearly empty shuffle partitions cost more than their rows."""
+    tasks = max(1, -(-rows // TASK_ROWS))
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _compressed(pointers: DataFrame, rows: int) -> DataFrame:
     """The roots of a forest (v, root): every vertex takes over the pointer of the vertex it
     points to, until none moves. A chain of n takes log2(n) joins."""
     while True:
         ahead = pointers.select(F.col("v").alias("root"), F.col("root").alias("next"))
-        pointers = saved(pointers.select("v", "root").join(ahead, "root")
-                         .select("v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "pointers")
+        pointers = saved(few(pointers.select("v", "root").join(ahead, "root").select(
+            "v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), rows), "pointers")
         if pointers.where("moved").isEmpty():
             return pointers.select("v", "root")
 
@@ -83,30 +94,31 @@ def components(edges: DataFrame) -> DataFrame:
     in the vertices, and so are the joins that follow the pointers to their roots, for long
     chains too. Then the edges are contracted to the roots. All steps are partial aggregates
     and equi-joins whose results are written to the shared folder: a hub is collapsed
-    map-side, plans do not grow, and nothing is collected on the driver. Self-loops and
-    repeated edges are allowed; an empty input gives an empty result.
+    map-side, plans do not grow, and nothing but counts comes to the driver: a round's tables are
+    written by as few tasks as their rows are worth (``few``). Self-loops and repeated edges are
+    allowed; an empty input gives an empty result.
     """
-    edges = saved(
+    edges = saved(few(
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "edges")
-    label = None
-    while not edges.isEmpty():
+        edges.count()), "edges")
+    label, vertices = None, 0
+    while n := edges.count():
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(
             edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        nearest = saved(both.groupBy("v").agg(F.min("u").alias("m")), "nearest")
+        nearest = saved(few(both.groupBy("v").agg(F.min("u").alias("m")), 2 * n), "nearest")
         step = _compressed(nearest.join(nearest.select(F.col("v").alias("m"), F.col("m").alias("back")), "m").select(
-            "v", F.when(F.col("back") == F.col("v"), F.least("v", "m")).otherwise(F.col("m")).alias("root")))
+            "v", F.when(F.col("back") == F.col("v"), F.least("v", "m")).otherwise(F.col("m")).alias("root")), 2 * n)
         if label is None:
-            label = step
+            label, vertices = step, 2 * n
         else:
-            label = saved(
+            label = saved(few(
                 label.join(step.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left")
-                .select("v", F.coalesce("next", "root").alias("root")), "labels")
-        edges = saved(
+                .select("v", F.coalesce("next", "root").alias("root")), vertices), "labels")
+        edges = saved(few(
             edges.join(step.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a")
             .join(step.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b")
             .where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
-            "edges")
+            n), "edges")
     if label is None:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     least = label.groupBy("root").agg(F.min("v").alias("least"))

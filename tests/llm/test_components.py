@@ -65,3 +65,27 @@ def test_random_graphs_stars_and_shuffled_paths(spark, tables):
 
 def test_no_edges(spark):
     assert found(spark, []) == {} == found(spark, [(3, 3)])
+
+
+def test_small_graphs_are_written_by_few_tasks(spark, monkeypatch):
+    """Each table by one task here, however many shuffle partitions there are; each by as many as its rows are worth."""
+    parts, saved = [], store.saved
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in conf}
+
+    def noted(df, name):
+        out = saved(df, name)
+        parts.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(store, "saved", noted)
+    edges = [(v, v + 1) for v in range(0, 2000) if v % 10]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = found(spark, edges)
+        assert got == reachable(edges) and max(parts) == 1
+        assert store.few(spark.range(9).repartition(50), 3 * store.TASK_ROWS).rdd.getNumPartitions() == 3
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
