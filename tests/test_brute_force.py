@@ -2,6 +2,7 @@
 plus sink round trips and skew fixtures."""
 
 import datetime as dt
+import random
 import re
 from collections import Counter
 
@@ -358,3 +359,24 @@ def test_profile_covers_nested_columns(spark):
     df = spark.createDataFrame([(1, [1, 2], {"a": 1}), (2, [1, 2], None)], "id int, xs array<int>, m map<string,int>")
     rows = {r.column_name: r for r in profile.profile(df, "t").collect()}
     assert (rows["xs"].n_distinct, rows["xs"].min_str, rows["m"].n_nulls) == (1, "[1,2]", 1)
+
+
+def test_text_search_stays_with_the_item_and_equals_the_join(spark, monkeypatch):
+    """Repeated and null ids, ties and slices of a few products; pair sums shuffle by query only."""
+    rng = random.Random(6)
+    words = [f"w{n}" for n in range(30)]
+    rows = [(n % 90 if n % 7 else None, " ".join(rng.choices(words, k=rng.randrange(0, 12)))) for n in range(200)]
+    rows += [(1000 + n, "w1 w2, W3") for n in range(20)] + [(5, None)]
+    items = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, "w3 unseen"), (2, "w4"), (None, "w5"), (3, None), (4, "unseen")],
+                                    "item_id long, text string")
+
+    def found(k):
+        return sorted(map(tuple, textsearch.tfidf_search(items, queries, k).collect()))
+
+    plan = textsearch.tfidf_search(items, queries, 3)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(dealt) == 2 and dealt[0].startswith("query_id") and dealt[1].startswith("doc_id")
+    whole = {k: found(k) for k in (1, 3, 100)}
+    monkeypatch.setattr(textsearch, "BROADCAST_ROWS", 0)
+    assert {k: found(k) for k in whole} == whole and len(whole[1]) == 2
