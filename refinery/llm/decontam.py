@@ -4,7 +4,8 @@
    ``HALF``); benchmark items likewise. Terms are the items' words; the distinct
    places of each are counted over the whole corpus.
 2. A randomised SVD of the passages' TF-IDF matrix: every task adds its passages'
-   part of A'A.Omega (terms x rank), Spark sums the parts, and the driver gets the
+   part of A'A.Omega (terms x rank; from the pairs of each passage's terms while A'A is no
+   larger than ``GRAM``, else from its rows of Omega), Spark sums the parts, and the driver gets the
    right singular vectors from the small sums. All passages of all texts are fitted on,
    ``SKETCH`` at a time. The items' own passages are rows of A too, and the rank exceeds
    their number, so their directions are kept.
@@ -45,6 +46,8 @@ from refinery.llm.textbatch import ALNUM, Words, pieces
 HALF, ITEMS, EXTRA_RANK = 24, 256, 32
 PRIOR, REGISTERS = 1000.0, 128
 SKETCH = 4096  # passages that a task adds to the fit at a time
+GRAM = 1 << 25  # numbers of A'A that a task may hold (128 MB); wider vocabularies go by rows of Omega
+OFTEN = 64  # a term of one passage in so many is worth a column of a matrix product
 COSINE, SHARE, LOOSE, ANSWER = 0.4, 0.6, 0.4, 0.8
 SEED = 20240611
 
@@ -220,15 +223,30 @@ def _weighted(term: np.ndarray, head: np.ndarray, weight: np.ndarray) -> np.ndar
 
 
 def _projected(v: np.ndarray, term: np.ndarray, head: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Sums of the entries' basis rows times ``v``, a row for each head."""
-    out = np.empty((len(head), basis.shape[1]), np.float32)
-    edge = np.append(head, len(term))
-    for lo in range(0, len(head), 32):  # what fits the processor's cache
-        hi = min(lo + 32, len(head))
-        a, b = edge[lo], edge[hi]
-        part = basis[term[a:b]]
-        part *= v[a:b, None]
-        np.add.reduceat(part, head[lo:hi] - a, out=out[lo:hi])
+    """Sums of the entries' basis rows times ``v``, a row for each head. Terms that one passage
+    in ``OFTEN`` has are taken as one matrix product, the others entry by entry."""
+    n = len(head)
+    row = np.repeat(np.arange(n), np.diff(np.append(head, len(term))))
+    often = np.flatnonzero(np.bincount(term, minlength=len(basis)) * OFTEN >= max(n, 1))
+    column = np.full(len(basis), -1)
+    column[often] = np.arange(len(often))
+    place = column[term]
+    own = place >= 0
+    dense = np.zeros((n, len(often)), np.float32)
+    dense[row[own], place[own]] = v[own]
+    out = dense @ basis[often]
+    v, term = v[~own], term[~own]
+    size = np.bincount(row[~own], minlength=n)
+    first = np.cumsum(size) - size
+    for lo in range(0, n, 512):  # what fits the processor's cache
+        order = lo + np.argsort(-size[lo:lo + 512], kind="stable")
+        total = np.zeros((len(order), basis.shape[1]), np.float32)
+        for k in range(size[order[0]]):  # the k-th entry of all passages that have one
+            at = first[order[:np.searchsorted(-size[order], -k)]] + k
+            part = basis[term[at]]
+            part *= v[at, None]
+            total[:len(at)] += part
+        out[order] += total
     return out
 
 
@@ -253,13 +271,40 @@ def _sketch(z: np.ndarray, passage, term, weight, omega) -> None:
             z[t] += np.add.reduceat(part, first)
 
 
+def _products(gram: np.ndarray, passage, term, weight) -> None:
+    """Add the passages' part of A'A to the upper triangle of ``gram``: a passage has at most
+    2 * HALF terms, so their pairs are far fewer than their rows of Omega are long."""
+    if not len(term):
+        return
+    _, head = _rows(passage)
+    v = _weighted(term, head, weight).astype(np.float32)
+    size = np.diff(np.append(head, len(term)))
+    order = np.argsort(size, kind="stable")  # passages of as many terms at a time
+    flat = gram.reshape(-1)
+    for same in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        i, j = np.triu_indices(size[same[0]])
+        for k in range(0, len(same), SKETCH):
+            at = head[same[k:k + SKETCH]][:, None] + np.arange(size[same[0]])
+            t, x = term[at], v[at]  # a passage's terms ascend
+            np.add.at(flat, (t[:, i] * len(gram) + t[:, j]).ravel(), (x[:, i] * x[:, j]).ravel())
+
+
 def _sketches(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, weight, omega = held.value
         z = np.zeros(omega.shape, np.float32)
+        size = len(omega)
+        gram = np.zeros((size, size), np.float32) if size * size <= GRAM else None
         for batch in pieces(batches, "text"):
             p = Passages(batch, block)
-            _sketch(z, p.passage, p.term, weight, omega)
+            if gram is None:
+                _sketch(z, p.passage, p.term, weight, omega)
+            else:
+                _products(gram, p.passage, p.term, weight)
+        if gram is not None:
+            gram[np.arange(size), np.arange(size)] /= 2
+            for k in range(0, size, 512):
+                z[k:k + 512] = (gram[k:k + 512] + gram[:, k:k + 512].T) @ omega
         yield from _blobs(z)
     return run
 
@@ -369,15 +414,15 @@ def _search(held, limits):
                 hi = min(lo + 4096, len(head))
                 a, b = edge[lo], edge[hi]
                 y = _projected(v[a:b], p.term[a:b], head[lo:hi] - a, basis)
-                y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-12)
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", y, y)), np.float32(1e-12))
                 near = y @ targets.T
-                r, t = np.nonzero(near >= cosine)
+                r, t = np.nonzero(near >= np.float32(cosine) * norm[:, None])
                 if not len(r):
                     continue
                 pair = r * len(items.length) + block.owner[t]
                 order = np.argsort(pair, kind="stable")
                 pair, first = _rows(pair[order])
-                best = np.maximum.reduceat(near[r, t][order], first)
+                best = np.maximum.reduceat((near[r, t] / norm[r])[order], first)
                 passage, item = rows[lo + pair // len(items.length)], pair % len(items.length)
                 doc, start = p.place(passage)
                 # Other words than the items' are in no common subsequence.

@@ -489,6 +489,54 @@ def test_singular_vectors_are_fitted_on_all_passages(spark, monkeypatch):
     assert np.allclose(z, a.T @ (a @ omega), rtol=1e-3, atol=1e-2)
 
 
+def test_fit_by_pairs_of_terms_equals_the_fit_by_rows(monkeypatch):
+    """A'A.Omega from the pairs of each passage's terms, without a row of Omega for each entry;
+    from rows of Omega for vocabularies whose A'A would not fit."""
+    rng = random.Random(9)
+    words = [f"w{n}" for n in range(700)]
+    block = decontam._block([{"item_id": n, "text": " ".join(words[7 * n:7 * n + 7])} for n in range(100)])
+    texts = [None, "", "x y"] + [" ".join(rng.choices(words[:20], k=30) + rng.choices(words, k=rng.randrange(90))) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    omega = np.random.default_rng(1).standard_normal((len(block.vocab), 5)).astype(np.float32)
+    weight = np.random.default_rng(2).uniform(0.5, 3, len(block.vocab))
+    p = decontam.Passages(batch, block)
+    a = np.zeros((p.passage.max() + 1, len(block.vocab)))
+    a[p.passage, p.term] = weight[p.term]
+    a /= np.maximum(np.sqrt((a * a).sum(axis=1, keepdims=True)), 1e-12)
+
+    def fitted():
+        z = np.zeros(omega.shape, np.float32)
+        held = type("Held", (), {"value": (block, weight, omega)})
+        for b in decontam._sketches(held)(iter([batch, batch])):
+            for at, blob in zip(*(c.to_pylist() for c in b.columns)):
+                part = np.frombuffer(blob, np.float32).reshape(-1, omega.shape[1])
+                z[at:at + len(part)] += part
+        return z
+
+    by_rows = decontam._sketch
+    monkeypatch.setattr(decontam, "_sketch", lambda *_: pytest.fail("a row of Omega for each entry"))
+    want = 2 * a.T @ (a @ omega)
+    assert np.allclose(fitted(), want, rtol=1e-3, atol=1e-3)
+    monkeypatch.setattr(decontam, "_sketch", by_rows)
+    monkeypatch.setattr(decontam, "GRAM", 0)
+    assert np.allclose(fitted(), want, rtol=1e-3, atol=1e-3)
+
+
+@pytest.mark.parametrize("often", [0, 3, 64, 10**9])
+def test_projection_with_frequent_terms_as_a_matrix_product(monkeypatch, often):
+    monkeypatch.setattr(decontam, "OFTEN", often)
+    rng = np.random.default_rng(3)
+    basis = rng.standard_normal((50, 6)).astype(np.float32)
+    rows = [np.sort(rng.choice(50, n, replace=False, p=np.arange(1, 51) / 1275)) for n in rng.integers(1, 20, 600)]
+    head = np.cumsum([0] + [len(r) for r in rows[:-1]])
+    term = np.concatenate(rows)
+    v = rng.uniform(0, 1, len(term)).astype(np.float32)
+    a = np.zeros((len(rows), 50))
+    a[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), term] = v
+    assert np.allclose(decontam._projected(v, term, head, basis), a @ basis, atol=1e-4)
+    assert decontam._projected(v[:0], term[:0], head[:0], basis).shape == (0, 6)
+
+
 def test_lcs_of_many_windows_equals_one_by_one():
     rng = random.Random(4)
     sequences = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 5, 40, 63, 64, 65, 130)] + [[-1, 3, -1]]
