@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,34 @@ def _compressed(pointers: DataFrame, rows: int) -> DataFrame:
             return pointers.select("v", "root")
 
 
+def _relabelled(label: DataFrame, step: DataFrame) -> DataFrame:
+    return label.join(step.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left") \
+        .select("v", F.coalesce("next", "root").alias("root"))
+
+
+def _small_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, root) of a task's edges: every vertex that has edges points to its smallest neighbour, pointers
+    are followed by doubling, edges contracted, until none is left."""
+    batches = list(batches)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(x.column(c).to_numpy() for x in batches)]) for c in ("a", "b"))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    own = np.arange(len(names))
+    root, a, b = own.copy(), at[:len(a)], at[len(a):]
+    while len(a):
+        to = np.full(len(names), len(names))
+        np.minimum.at(to, a, b)
+        np.minimum.at(to, b, a)
+        to = np.where(to == len(names), own, to)
+        to = np.where(to[to] == own, np.minimum(own, to), to)
+        while (to[to] != to).any():
+            to = to[to]
+        root, a, b = to[root], to[a], to[b]
+        a, b = a[a != b], b[a != b]
+    least = np.full(len(names), len(names))
+    np.minimum.at(least, root, own)
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[least[root]])], names=["v", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long, no nulls).
 
@@ -95,14 +124,22 @@ def components(edges: DataFrame) -> DataFrame:
     chains too. Then the edges are contracted to the roots. All steps are partial aggregates
     and equi-joins whose results are written to the shared folder: a hub is collapsed
     map-side, plans do not grow, and nothing but counts comes to the driver: a round's tables are
-    written by as few tasks as their rows are worth (``few``). Self-loops and repeated edges are
-    allowed; an empty input gives an empty result.
+    written by as few tasks as their rows are worth (``few``). Once no more than one task's worth of
+    edges is left, that task does all remaining rounds: as joins they would take the driver dozens of
+    plans, jobs and broadcasts for next to no rows. Self-loops and repeated edges are allowed; an
+    empty input gives an empty result.
     """
     edges = saved(few(
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         edges.count()), "edges")
     label, vertices = None, 0
     while n := edges.count():
+        if n <= TASK_ROWS:
+            step = saved(in_tasks(edges.coalesce(1), _small_roots, "v long, root long"), "nearest")
+            if label is None:
+                return step
+            label = _relabelled(label, step)
+            break
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(
             edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
         nearest = saved(few(both.groupBy("v").agg(F.min("u").alias("m")), 2 * n), "nearest")
@@ -111,9 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
         if label is None:
             label, vertices = step, 2 * n
         else:
-            label = saved(few(
-                label.join(step.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left")
-                .select("v", F.coalesce("next", "root").alias("root")), vertices), "labels")
+            label = saved(few(_relabelled(label, step), vertices), "labels")
         edges = saved(few(
             edges.join(step.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a")
             .join(step.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b")

@@ -89,3 +89,34 @@ def test_small_graphs_are_written_by_few_tasks(spark, monkeypatch):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def graphs():
+    draw = random.Random(8)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)]       # with self-loops
+    edges += edges[:30] + [(b, a) for a, b in edges[30:50]]                        # repeated edges
+    edges += [(1999, v) for v in range(1000, 1060)]                                # a hub with the largest number
+    path = list(range(3000, 3200))
+    draw.shuffle(path)
+    edges += list(zip(path, path[1:]))
+    return edges + [(-5, 2 ** 62), (2 ** 62, -(2 ** 62))]
+
+
+@pytest.mark.parametrize("rows", [0, 60, 1 << 18])
+def test_rounds_of_joins_and_the_one_task_agree(spark, monkeypatch, rows):
+    """No, some or all rounds by the one task that takes what is left."""
+    monkeypatch.setattr(store, "few", lambda df, n: df)
+    monkeypatch.setattr(store, "TASK_ROWS", rows)
+    edges = graphs()
+    assert found(spark, edges) == reachable(edges)
+
+
+def test_edges_worth_one_task_take_few_jobs(spark):
+    """Rounds of joins took the driver dozens of jobs, plans and broadcasts for a few hundred edges."""
+    edges = spark.createDataFrame(graphs(), "a long, b long")
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    try:
+        store.components(edges)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
